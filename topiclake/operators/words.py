@@ -51,9 +51,9 @@ def vocab_coverage(df: DataFrame, key: str, text: str, min_freq: int = 150) -> D
     return totals.select(
         "frequent_words",
         (F.col("tokens") - F.col("frequent_words")).alias("other_tokens"),
-        (F.col("frequent_words") / F.col("vocabulary")).alias("vocab_share"),
-        (F.col("frequent_tokens") / F.col("tokens")).alias("token_coverage"),
-        (covered / posts).alias("post_coverage"),
+        F.try_divide("frequent_words", "vocabulary").alias("vocab_share"),
+        F.try_divide("frequent_tokens", "tokens").alias("token_coverage"),
+        F.try_divide(covered, posts).alias("post_coverage"),
     )
 
 
