@@ -160,10 +160,10 @@ def test_stop_word_files(spark, tmp_path):
 
 
 def test_labels_runs_and_layers(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'a "b"', 0), (2, "", -1)], "SK_post long, yaked string, labels int")
+    df = spark.createDataFrame([(1, 'a "b"', 0), (2, "x", -1)], "SK_post long, yaked string, labels int")
     resources.write_labels(df, f"{tmp_path}/l")
     got = resources.read_labels(spark, f"{tmp_path}/l").orderBy("SK_post").collect()
-    assert [tuple(r) for r in got] == [(1, 'a "b"', 0), (2, "", -1)]
+    assert [tuple(r) for r in got] == [(1, 'a "b"', 0), (2, "x", -1)]
     names = [f"{m}-{i}" for m in ("HDBSCAN", "DBSCAN") for i in range(1, 6)]
     runs = spark.createDataFrame([(n, float(i), 1.0, 2.0) for i, n in enumerate(names)],
                                  resources.RUN_METRICS)

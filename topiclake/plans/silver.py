@@ -13,7 +13,7 @@ from topiclake.functions.keywords import extract_keywords
 from topiclake.functions.segment import learn_vocabulary, segment_words
 from topiclake.functions.words import ENGLISH, drop_words
 from topiclake.operators.keys import assign_keys
-from topiclake.session import small_side, spread, stage
+from topiclake.session import spread, stage
 from topiclake.sources.catalog import Catalog, first_mark, high_water
 
 COUNTERS = ["like_count", "repost_count", "quote_count", "reply_count"]
@@ -94,10 +94,13 @@ def new_authors(authors: DataFrame, known: DataFrame, start: int) -> DataFrame:
 
 
 def with_keys(posts: DataFrame, time: DataFrame, author: DataFrame) -> DataFrame:
-    """Surrogate keys from the whole dimensions, old and new rows alike."""
-    minutes = small_side(time.select("created_at", "SK_time"))
-    people = small_side(author.select("author", "SK_author"))
-    return posts.join(minutes, "created_at").join(people, "author")
+    """Surrogate keys from the whole dimensions, old and new rows alike.
+
+    The size of the written tables decides between a broadcast and a sorted join, in which a very
+    busy author is split.
+    """
+    minutes = time.select("created_at", "SK_time")
+    return posts.join(minutes, "created_at").join(author.select("author", "SK_author"), "author")
 
 
 def load_posts(
@@ -109,23 +112,25 @@ def load_posts(
     if late_safe:
         seen = catalog.load("silver", "ledger").select("h1", "h2")
         posts = posts.join(seen, ["h1", "h2"], "left_anti")
-    numbered = assign_keys(spread(posts), "_row", 0)
+    # Written before its row ids are used, so that they cannot change.
+    numbered = stage(
+        spread(posts).withColumn("_row", F.monotonically_increasing_id()), "posts"
+    )
     mark = high_water(numbered, "created_at")
     if mark is None:
         return 0
     words = text_plan(numbered.withColumn("created_at", to_minute("created_at")), "_row")
-    # Written once: the two dimensions and the fact all start from it.
-    batch = stage(words.filter(F.trim("yaked") != ""), "batch")
+    last_post = high_water(catalog.load("silver", "loads"), "last_post") or 0
+    # Written once, with its keys: the two dimensions and the fact all start from it.
+    batch = assign_keys(words.filter(F.trim("yaked") != ""), "SK_post", last_post + 1)
 
     time, author = catalog.load("silver", "time"), catalog.load("silver", "author")
     last = [high_water(time, "SK_time") or 0, high_water(author, "SK_author") or 0]
-    last_post = high_water(catalog.load("silver", "loads"), "last_post") or 0
     catalog.append(new_times(batch.select("created_at"), time, last[0] + 1), "silver", "time")
     catalog.append(new_authors(batch.select("author"), author, last[1] + 1), "silver", "author")
-    keyed = with_keys(batch, catalog.load("silver", "time"), catalog.load("silver", "author"))
-    fact = assign_keys(keyed, "SK_post", last_post + 1)
-    catalog.append(fact, "silver", "posts")
-    count = fact.count()
+    time, author = catalog.load("silver", "time"), catalog.load("silver", "author")
+    catalog.append(with_keys(batch, time, author), "silver", "posts")
+    count = batch.count()
     # The mark and the ledger cover the posts that were read, also those without words.
     catalog.append(numbered.select("h1", "h2", "day_collect"), "silver", "ledger")
     row = [(mark, last_post + count)]

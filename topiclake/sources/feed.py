@@ -9,6 +9,8 @@ from topiclake.schemas import FEED, RAW
 
 # How the raw CSV files are written.
 CSV = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "multiLine": "true"}
+# Creation times keep their microseconds.
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 DATE = r"(\d{4}-\d{2}-\d{2})"
 
 
@@ -28,7 +30,9 @@ def flatten_feed(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Headed CSV, one folder per value of ``by``; line breaks inside quotes survive."""
-    writer = df.write.options(**CSV).option("quoteAll", "true")
+    writer = df.write.options(**CSV).option("quoteAll", "true").option(
+        "timestampFormat", TIME_FORMAT
+    )
     writer = writer.option("ignoreLeadingWhiteSpace", "false").option(
         "ignoreTrailingWhiteSpace", "false"
     )

@@ -9,22 +9,11 @@ from topiclake.functions.clean import clean_text
 from topiclake.functions.words import first_part, is_ascii_alnum, tokens
 from topiclake.operators import authors, interactions, labels, temporal, words
 from workload import views as v
+from workload.registry import registry
 
 MIN_FREQ = 150
 
-Q: dict = {}
-SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        Q[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return register
-
+Q, SQL, query = registry()
 
 W = "unnest(string_split(post, ' '))"
 
