@@ -27,21 +27,23 @@ def _neighbours(occurrences: Column, sides: list[str]) -> Column:
 def term_scores(df: DataFrame, key: str, text: str, window: int = 2) -> DataFrame:
     """(key, term, tf, score, positions) of every term of every text; low scores matter most."""
     arr = df.select(key, F.split(F.trim(text), " +").alias("t")).repartition(key)
+    # Neighbours are only counted, so 64-bit digests stand for them.
+    arr = arr.withColumn("h", F.transform("t", lambda w: F.xxhash64(w)))
     left = [f"l{i}" for i in range(1, window + 1)]
     right = [f"r{i}" for i in range(1, window + 1)]
-    words = arr.select(
-        key, F.posexplode(
-            F.transform(
-                "t",
-                lambda w, i: F.struct(
-                    w.alias("term"),
-                    *[F.get(F.col("t"), i - int(s[1:])).alias(s) for s in left],
-                    *[F.get(F.col("t"), i + int(s[1:])).alias(s) for s in right],
-                ),
-            )
-        ).alias("pos", "w"),
-    ).filter("w.term <> ''")
-    terms = words.groupBy(key, F.col("w.term").alias("term")).agg(
+    # Neighbours come from shifted copies of the token array, side by side.
+    none = F.array().cast("array<long>")
+    shifted = [
+        F.concat(F.array_repeat(F.lit(None).cast("long"), i), "h") for i in range(1, window + 1)
+    ] + [
+        F.when(F.size("t") > i, F.slice("h", i + 1, F.size("h"))).otherwise(none)
+        for i in range(1, window + 1)
+    ]
+    zipped = arr.select(
+        key, "t", *[c.alias(n) for c, n in zip(shifted, left + right)]
+    ).select(key, F.posexplode(F.arrays_zip("t", *left, *right)).alias("pos", "w"))
+    words = zipped.filter("w.t is not null and w.t <> ''")
+    terms = words.groupBy(key, F.col("w.t").alias("term")).agg(
         F.collect_list(F.struct("pos", *[F.col(f"w.{s}").alias(s) for s in left + right])).alias("o")
     )
     long = F.length("term") >= MIN_LENGTH
@@ -117,7 +119,8 @@ def extract_keywords(
     """
     good = keyword_candidates(df, key, text, n, window).filter(F.col("score") < max_score)
     ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("score", "first", "keyword"))),
+        # Rounded, so that equal scores reached by other products stay equal.
+        F.array_sort(F.collect_list(F.struct(F.round("score", 12), "first", "keyword"))),
         lambda s: s["keyword"],
     )
     lists = good.groupBy(key).agg(ordered.alias("k"))

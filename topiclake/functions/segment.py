@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -18,9 +18,18 @@ MAX_WORDS = 125_000
 def learn_vocabulary(
     df: DataFrame, text: str, max_words: int = MAX_WORDS, min_count: int = 2
 ) -> DataFrame:
-    """(word, n): the most frequent words of the corpus."""
+    """(word, n): the most frequent words of the corpus.
+
+    The least count that makes the list is found from how many words have each count, so that only
+    the words on the list are sorted. There are at most √(2 · tokens) different counts.
+    """
     counts = word_counts(df, text).filter((F.col("n") >= min_count) & (F.col("word") != ""))
-    return counts.orderBy(F.desc("n"), "word").limit(max_words)
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sizes.withColumn("above", F.coalesce(F.sum("words").over(above), F.lit(0)))
+    least = ranked.filter(F.col("above") < max_words).agg(F.min("n").alias("n")).scalar()
+    listed = counts.filter(F.col("n") >= least)
+    return listed.orderBy(F.desc("n"), "word").limit(max_words)
 
 
 def word_costs(vocabulary: DataFrame) -> dict[str, float]:

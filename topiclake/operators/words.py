@@ -63,15 +63,9 @@ def cooccurrence(df: DataFrame, text: str, min_freq: int = 150, directed: bool =
     Neighbours come from the token array itself, so no window sort is needed, and pairs are counted
     before the frequent words are joined, so the joins see each pair once.
     """
-    arr = df.select(tokens(text).alias("t"))
-    pairs = arr.select(
-        F.explode(
-            F.transform(
-                F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))),
-                lambda w, i: F.struct(w.alias("w1"), F.get(F.col("t"), i + 1).alias("w2")),
-            )
-        ).alias("p")
-    ).select("p.w1", "p.w2")
+    arr = df.select(tokens(text).alias("w1"))
+    arr = arr.filter(F.size("w1") > 1).withColumn("w2", F.slice("w1", 2, F.size("w1")))
+    pairs = arr.select(F.inline(F.arrays_zip("w1", "w2"))).filter("w2 is not null")
     if not directed:
         pairs = pairs.select(
             F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")

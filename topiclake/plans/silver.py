@@ -110,8 +110,10 @@ def load_posts(
     """Load a batch of bronze rows into the star; returns the number of new posts."""
     posts = _digests(distinct_posts(bronze.dropna(subset=["text"])))
     if late_safe:
-        seen = catalog.load("silver", "ledger").select("h1", "h2")
-        posts = posts.join(seen, ["h1", "h2"], "left_anti")
+        # The day is the ledger's partition, so only the days of this batch need be read.
+        posts = posts.join(
+            catalog.load("silver", "ledger"), ["day_collect", "h1", "h2"], "left_anti"
+        )
     # Written before its row ids are used, so that they cannot change.
     numbered = stage(
         spread(posts).withColumn("_row", F.monotonically_increasing_id()), "posts"

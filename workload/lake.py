@@ -415,14 +415,25 @@ def _(s, d):
     )
 
 
-@query("x3_x5_keywords")
+@query(
+    "x3_x5_keywords",
+    CANDIDATES
+    + """, l AS (SELECT "SK_post", list([keyword] ORDER BY round(score, 12), first, keyword) AS k
+      FROM k WHERE score < 0.05 GROUP BY "SK_post"),
+  t AS (SELECT "SK_post", list_reduce(k, lambda acc, x: CASE WHEN len(acc) < 15 AND
+      len(list_filter(acc, lambda y: 1 - levenshtein(y, x[1]) / greatest(length(y), length(x[1]))
+          > 0.85)) = 0 THEN list_concat(acc, x) ELSE acc END, CAST([] AS VARCHAR[])) AS taken FROM l),
+  u AS (SELECT "SK_post", string_split(array_to_string(taken, ' '), ' ') AS w FROM t)
+  SELECT "SK_post", array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ')
+    AS yaked FROM u""",
+)
 def _(s, d):
     return keywords.extract_keywords(v.cleaned(s, d), "SK_post", "post")
 
 
 @query("x2_segmented_words")
 def _(s, d):
-    rows = v.cleaned(s, d).select("SK_post", "post")
+    rows = v.cleaned(s, d, written=True).select("SK_post", "post")
     return segment.segment_words(rows, "post", segment.learn_vocabulary(rows, "post"))
 
 
@@ -443,7 +454,7 @@ def _(s, d):
 
 @query("f1_m3_vectors")
 def _(s, d):
-    rows = v.cleaned(s, d).select("SK_post", "post")
+    rows = v.cleaned(s, d, written=True).select("SK_post", "post")
     return vectorize.vectorize(rows, "post", idf=vectorize.fit_idf(rows, "post")).drop("post")
 
 

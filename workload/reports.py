@@ -41,15 +41,10 @@ def _(s, d):
 @query(
     "p13_plain_ascii_words",
     """SELECT word, regexp_full_match(word, '[A-Za-z0-9]*') AS plain, count(*) AS n
-       FROM (SELECT unnest(string_split(source || ' ' || lang || ' ' || split_part(text, ' ', 1),
-                                        ' ')) AS word
-             FROM documents) GROUP BY ALL""",
+       FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY ALL""",
 )
 def _(s, d):
-    text = F.concat_ws(" ", "source", "lang", F.split_part("text", F.lit(" "), F.lit(1)))
-    counts = words.word_counts(
-        v.table(s, d, "documents").select(text.alias("t")), "t"
-    )
+    counts = words.word_counts(v.spread(v.table(s, d, "documents")), "text")
     return counts.select("word", is_ascii_alnum("word").alias("plain"), "n")
 
 
@@ -104,7 +99,7 @@ def top_20_words(s, d):
     "SELECT word, n, round(n / (SELECT max(n) FROM c), 9) AS weight FROM c",
 )
 def _(s, d):
-    weights = words.word_weights(v.cleaned(s, d), "post")
+    weights = words.word_weights(v.cleaned(s, d, written=True), "post")
     return weights.withColumn("weight", F.round("weight", 9))
 
 
@@ -132,7 +127,7 @@ def _(s, d):
     FROM t""",
 )
 def _(s, d):
-    c = words.vocab_coverage(v.cleaned(s, d), "SK_post", "post", MIN_FREQ)
+    c = words.vocab_coverage(v.cleaned(s, d, written=True), "SK_post", "post", MIN_FREQ)
     return c.select(
         "frequent_words", "other_tokens",
         *[F.round(x, 9).alias(x) for x in ("vocab_share", "token_coverage", "post_coverage")],
@@ -153,7 +148,7 @@ PAIRS = f"""WITH {v.CLEANED}, t AS (SELECT string_split(post, ' ') AS t FROM cle
     WHERE a <> b AND a IN (FROM f) AND b IN (FROM f) GROUP BY ALL""",
 )
 def _(s, d):
-    return words.cooccurrence(v.cleaned(s, d), "post", MIN_FREQ)
+    return words.cooccurrence(v.cleaned(s, d, written=True), "post", MIN_FREQ)
 
 
 @query(
@@ -163,7 +158,7 @@ def _(s, d):
     WHERE a <> b AND a IN (FROM f) AND b IN (FROM f) GROUP BY ALL""",
 )
 def _(s, d):
-    return words.cooccurrence(v.cleaned(s, d), "post", MIN_FREQ, directed=True)
+    return words.cooccurrence(v.cleaned(s, d, written=True), "post", MIN_FREQ, directed=True)
 
 
 TOP_WORDS = f"""WITH {v.LABELLED}, w AS (SELECT labels, {W} AS word FROM labelled),
@@ -185,7 +180,7 @@ def _(s, d):
     FROM top t GROUP BY labels""",
 )
 def _(s, d):
-    return words.topic_coverage(v.labelled(s, d), "labels", "post", 5)
+    return words.topic_coverage(v.labelled(s, d, written=True), "labels", "post", 5)
 
 
 def _medians(names):
@@ -200,7 +195,7 @@ def _medians(names):
     WHERE list_contains(string_split(l.post, ' '), t.word) GROUP BY labels, word""",
 )
 def _(s, d):
-    return words.topic_interactions(v.labelled(s, d), "labels", "post", 5)
+    return words.topic_interactions(v.labelled(s, d, written=True), "labels", "post", 5)
 
 
 GROUPS = ["passive_count", "active_count"]
@@ -216,7 +211,7 @@ GROUPS = ["passive_count", "active_count"]
     WHERE list_contains(string_split(l.post, ' '), t.word) GROUP BY labels, word""",
 )
 def _(s, d):
-    rows = interactions.with_interaction_groups(v.labelled(s, d))
+    rows = interactions.with_interaction_groups(v.labelled(s, d, written=True))
     return words.topic_interactions(rows, "labels", "post", 5, GROUPS)
 
 
@@ -244,7 +239,7 @@ VOCAB = f"""WITH {v.LABELLED},
     VOCAB + ' SELECT a, b, "both", either, round(jaccard, 9) AS jaccard FROM r',
 )
 def _(s, d):
-    pairs = words.vocabulary_jaccard(v.labelled(s, d), "labels", "post")
+    pairs = words.vocabulary_jaccard(v.labelled(s, d, written=True), "labels", "post")
     return pairs.withColumn("jaccard", F.round("jaccard", 9))
 
 
@@ -255,7 +250,7 @@ def _(s, d):
       ((SELECT count(*) FROM sz) - 1) / 2), 9) AS jaccard_mean FROM r""",
 )
 def _(s, d):
-    mean = words.mean_jaccard(v.labelled(s, d), "labels", "post")
+    mean = words.mean_jaccard(v.labelled(s, d, written=True), "labels", "post")
     return mean.select(F.round("jaccard_mean", 9).alias("jaccard_mean"))
 
 
@@ -373,8 +368,8 @@ AUTHORS = f"""WITH {v.LABELLED_ROWS}, a AS (SELECT * EXCLUDE (author),
     split_part(author, '.', 1) AS author FROM labelled WHERE labels <> -1)"""
 
 
-def _by_author(s, d, text=False):
-    return authors.with_short_author(labels.clustered(v.labelled(s, d, text)))
+def _by_author(s, d, text=False, written=False):
+    return authors.with_short_author(labels.clustered(v.labelled(s, d, text, written)))
 
 
 @query(
@@ -425,7 +420,7 @@ AUTHORS_TEXT = f"""WITH {v.LABELLED}, a AS (SELECT * EXCLUDE (author),
     + """ SELECT labels, rank, author, "SK_post", post FROM a JOIN top USING (labels, author)""",
 )
 def _(s, d):
-    return authors.top_author_posts(_by_author(s, d, True), "SK_post", "labels", "post")
+    return authors.top_author_posts(_by_author(s, d, True, True), "SK_post", "labels", "post")
 
 
 @query(
@@ -436,7 +431,7 @@ def _(s, d):
     SELECT *, round(n / max(n) OVER (PARTITION BY labels, author), 9) AS weight FROM c""",
 )
 def _(s, d):
-    out = authors.top_author_words(_by_author(s, d, True), "labels", "post")
+    out = authors.top_author_words(_by_author(s, d, True, True), "labels", "post")
     return out.withColumn("weight", F.round("weight", 9))
 
 

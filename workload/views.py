@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topiclake.functions.clean import EMOJI, HAPPY, PUNCTUATION, SAD, SIGNS, SPACE, clean_text
 from topiclake.functions.words import ENGLISH, MIN_LENGTH, drop_words
 from topiclake.operators.labels import label_all
-from topiclake.session import spread
+from topiclake.session import spread, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +42,13 @@ def words_of(text: str):
     return drop_words(clean_text(text), ENGLISH)
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with ``post``, the cleaned text without stop words."""
-    return spread(posts(spark, sf_dir)).withColumn("post", words_of("text")).drop("text")
+def cleaned(spark: SparkSession, sf_dir: str, written: bool = False) -> DataFrame:
+    """Posts with ``post``, the cleaned text without stop words.
+
+    Reports that read the text more than once have it ``written`` first, as the silver table is.
+    """
+    rows = spread(posts(spark, sf_dir)).withColumn("post", words_of("text")).drop("text")
+    return stage(rows, "cleaned") if written else rows
 
 
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +57,10 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
-    rows = cleaned(spark, sf_dir) if text else posts(spark, sf_dir).drop("text")
+def labelled(
+    spark: SparkSession, sf_dir: str, text: bool = True, written: bool = False
+) -> DataFrame:
+    rows = cleaned(spark, sf_dir, written) if text else posts(spark, sf_dir).drop("text")
     return label_all(rows, cluster_labels(spark, sf_dir), "SK_post")
 
 
