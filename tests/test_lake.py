@@ -92,6 +92,27 @@ def test_three_increments(spark, tmp_path, late_safe):
     assert back.count() == sum(counts) and "created_at" in back.columns
 
 
+def test_broken_load_is_run_again(spark, tmp_path, monkeypatch):
+    write_days(spark, f"{tmp_path}/in")
+    catalog = Catalog(spark, f"{tmp_path}/lake")
+    bronze.load_oldest_day(catalog, f"{tmp_path}/in")
+    append = Catalog.append
+
+    def breaks(self, df, layer, table):
+        if table == "loads":
+            raise RuntimeError("lost")
+        append(self, df, layer, table)
+
+    monkeypatch.setattr(Catalog, "append", breaks)
+    with pytest.raises(RuntimeError):
+        silver.refresh(catalog, silver.cleaned_words, late_safe=True)
+    monkeypatch.undo()
+    bronze.load_oldest_day(catalog, f"{tmp_path}/in")
+    assert silver.refresh(catalog, silver.cleaned_words, late_safe=True) == 4
+    assert dense(catalog, "posts", "SK_post") == 4 and len(facts(catalog)) == 4
+    assert dense(catalog, "author", "SK_author") == 3
+
+
 def test_month_span_prunes_partitions(spark, tmp_path):
     catalog = Catalog(spark, f"{tmp_path}/lake")
     rows = spark.createDataFrame([post("a", f"text {i}", days=i) for i in range(6)],

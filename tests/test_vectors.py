@@ -306,7 +306,11 @@ def test_spanning_forest_keeps_components():
             assert root(a) == root(40 + b)
 
 
-def test_keys_are_dense(spark):
+@pytest.mark.parametrize("small", [10**6, 10])
+def test_keys_are_dense(spark, monkeypatch, small):
+    from topiclake.operators import keys
+
+    monkeypatch.setattr(keys, "SMALL_ROWS", small)
     df = spark.range(1000).repartition(7).withColumn("v", (F.col("id") * 7919) % 1009)
     got = assign_keys(df, "k", 5, ["v"])
     rows = got.orderBy("k").collect()

@@ -17,10 +17,15 @@ def assign_keys(
 
     Rows are numbered inside their partition and each partition starts where the one before ends.
     The numbering is written down before it is used, so a recomputed partition cannot renumber.
-    With ``order_by`` the keys follow that order, by a range partitioning.
+    With ``order_by`` the keys follow that order: by a range partitioning, or in one task if a count
+    proves the rows few.
     """
     if order_by:
-        df = stage(df, "unordered").repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        df = stage(df, "unordered")
+        if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+            place = F.row_number().over(Window.orderBy(*order_by))
+            return df.withColumn(key, (place + F.lit(start - 1)).cast("long"))
+        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     tagged = stage(
         df.withColumn("_p", F.spark_partition_id()).withColumn(
             "_r", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))

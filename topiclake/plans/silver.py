@@ -13,6 +13,7 @@ from topiclake.functions.keywords import extract_keywords
 from topiclake.functions.segment import learn_vocabulary, segment_words
 from topiclake.functions.words import ENGLISH, drop_words
 from topiclake.operators.keys import assign_keys
+from topiclake.schemas import TABLES
 from topiclake.session import spread, stage
 from topiclake.sources.catalog import Catalog, first_mark, high_water
 
@@ -107,13 +108,20 @@ def load_posts(
     catalog: Catalog, bronze: DataFrame, text_plan: TextPlan = keyword_words,
     late_safe: bool = False,
 ) -> int:
-    """Load a batch of bronze rows into the star; returns the number of new posts."""
+    """Load a batch of bronze rows into the star; returns the number of new posts.
+
+    The row in ``loads`` is written last. A load that broke off before it is simply run again: it
+    has the same number, ignores what its first try left in the ledger and replaces its posts.
+    """
+    load, last_post = catalog.load("silver", "loads").agg(
+        F.count("*").cast("int"), F.coalesce(F.max("last_post"), F.lit(0))
+    ).first()
     posts = _digests(distinct_posts(bronze.dropna(subset=["text"])))
+    posts = posts.withColumn("load", F.lit(load))
     if late_safe:
         # The day is the ledger's partition, so only the days of this batch need be read.
-        posts = posts.join(
-            catalog.load("silver", "ledger"), ["day_collect", "h1", "h2"], "left_anti"
-        )
+        seen = catalog.load("silver", "ledger").filter(F.col("load") < load).drop("load")
+        posts = posts.join(seen, ["day_collect", "h1", "h2"], "left_anti")
     # Written before its row ids are used, so that they cannot change.
     numbered = stage(
         spread(posts).withColumn("_row", F.monotonically_increasing_id()), "posts"
@@ -122,22 +130,25 @@ def load_posts(
     if mark is None:
         return 0
     words = text_plan(numbered.withColumn("created_at", to_minute("created_at")), "_row")
-    last_post = high_water(catalog.load("silver", "loads"), "last_post") or 0
     # Written once, with its keys: the two dimensions and the fact all start from it.
     batch = assign_keys(words.filter(F.trim("yaked") != ""), "SK_post", last_post + 1)
 
     time, author = catalog.load("silver", "time"), catalog.load("silver", "author")
-    last = [high_water(time, "SK_time") or 0, high_water(author, "SK_author") or 0]
-    catalog.append(new_times(batch.select("created_at"), time, last[0] + 1), "silver", "time")
-    catalog.append(new_authors(batch.select("author"), author, last[1] + 1), "silver", "author")
+    last_time, last_author = high_water(time, "SK_time"), high_water(author, "SK_author")
+    times = new_times(batch.select("created_at"), time, (last_time or 0) + 1)
+    catalog.append(times, "silver", "time")
+    authors = new_authors(batch.select("author"), author, (last_author or 0) + 1)
+    catalog.append(authors, "silver", "author")
     time, author = catalog.load("silver", "time"), catalog.load("silver", "author")
-    catalog.append(with_keys(batch, time, author), "silver", "posts")
-    count = batch.count()
+    catalog.replace_load(with_keys(batch, time, author), "silver", "posts")
     # The mark and the ledger cover the posts that were read, also those without words.
-    catalog.append(numbered.select("h1", "h2", "day_collect"), "silver", "ledger")
+    catalog.replace_load(
+        numbered.select("h1", "h2", "day_collect", "load"), "silver", "ledger"
+    )
+    count = batch.count()
     row = [(mark, last_post + count)]
     catalog.append(
-        catalog.spark.createDataFrame(row, "mark timestamp, last_post long"), "silver", "loads"
+        catalog.spark.createDataFrame(row, TABLES["silver", "loads"]), "silver", "loads"
     )
     return count
 

@@ -24,13 +24,13 @@ GOLD_POSTS = (
 TABLES = {
     ("bronze", "posts"): f"{RAW}, source_file string, day_collect int",
     ("bronze", "files"): "file string, file_date string",
-    ("silver", "posts"): SILVER_POSTS,
+    ("silver", "posts"): f"{SILVER_POSTS}, load int",
     ("silver", "time"): TIME,
     ("silver", "author"): AUTHOR,
-    # One row per load: the greatest raw creation time and the last post key.
+    # One row per finished load: the greatest raw creation time and the last post key.
     ("silver", "loads"): "mark timestamp, last_post long",
     # Digests of the loaded posts, for late and repeated ones.
-    ("silver", "ledger"): "h1 long, h2 long, day_collect int",
+    ("silver", "ledger"): "h1 long, h2 long, day_collect int, load int",
     ("gold", "posts"): GOLD_POSTS,
     ("gold", "time"): TIME,
     ("gold", "author"): AUTHOR,
@@ -40,4 +40,9 @@ TABLES = {
         "tags map<string,string>, artifacts array<string>"
     ),
 }
-PARTITIONED = {("bronze", "posts"), ("silver", "posts"), ("silver", "ledger"), ("gold", "posts")}
+PARTITIONED = {
+    ("bronze", "posts"): ["day_collect"],
+    ("silver", "posts"): ["day_collect", "load"],
+    ("silver", "ledger"): ["day_collect", "load"],
+    ("gold", "posts"): ["day_collect"],
+}

@@ -43,13 +43,19 @@ class Catalog:
     def _writer(self, df: DataFrame, layer: str, table: str, mode: str):
         columns = self.spark.createDataFrame([], TABLES[layer, table]).schema
         out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
-        if (layer, table) in PARTITIONED:
+        parts = PARTITIONED.get((layer, table))
+        if parts:
             # Few files per day, and a day too large for one task is split over several.
-            return out.hint("rebalance", "day_collect").write.mode(mode).partitionBy("day_collect")
+            return out.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts)
         return out.write.mode(mode)
 
     def append(self, df: DataFrame, layer: str, table: str) -> None:
         self._writer(df, layer, table, "append").parquet(self.path(layer, table))
 
+    def replace_load(self, df: DataFrame, layer: str, table: str) -> None:
+        """Write the partitions of one load; a load that is run again replaces its own rows."""
+        writer = self._writer(df, layer, table, "overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path(layer, table))
+
     def overwrite(self, df: DataFrame, layer: str, table: str) -> None:
         self._writer(df, layer, table, "overwrite").parquet(self.path(layer, table))

@@ -170,7 +170,7 @@ def _(s, d):
     FROM kept JOIN tim USING (created_at) JOIN aut USING (author)""",
 )
 def _(s, d):
-    return lake(s, d).load("silver", "posts").drop("SK_post")
+    return lake(s, d).load("silver", "posts").drop("SK_post", "load")
 
 
 @query(
