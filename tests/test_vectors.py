@@ -250,6 +250,7 @@ def test_kmeans(spark):
     runs = [kmeans.Run(3, init, 42 + i) for init in ("k-means++", "random") for i in range(6)]
     models = kmeans.fit_kmeans(df, "id", "vec", runs)
     want = sum(((x[i:i + 30] - x[i:i + 30].mean(0)) ** 2).sum() for i in (0, 30, 60))
+    assert {m.centers.shape for m in models} == {(3, 2)}
     for init in ("k-means++", "random"):
         best = kmeans.best_of(models, 3, init, 6)
         np.testing.assert_allclose(best.inertia, want)

@@ -90,7 +90,9 @@ def _draw(rows: DataFrame, runs: list[Run], chosen: list, take: list[int], step:
     found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     out: list = [[] for _ in runs]
     for row in found.orderBy("run", "place").toLocalIterator():
-        out[row["run"]].append(row["x"])
+        # Every task may offer as many rows as the run takes in all.
+        if row["place"] <= take[row["run"]]:
+            out[row["run"]].append(row["x"])
     return [np.array(o) if o else None for o in out]
 
 
