@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import quality_rules, shards
+from topiclake.llm import bpe, quality_rules, shards
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -145,3 +146,17 @@ def op9_divergence_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark, sf_dir, vocabulary: str = "byte_bpe_multi_50k.tiktoken"):
+    encoded = bpe.encode(
+        table(spark, sf_dir, "documents"), ["doc_id"], "text", public_tokenizers.path(vocabulary),
+        decoded="decoded",
+    )
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
