@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import bpe, quality_rules, shards
+from topiclake.llm import bpe, decontaminate, quality_rules, shards
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -160,3 +160,48 @@ def op10_byte_bpe(spark, sf_dir, vocabulary: str = "byte_bpe_multi_50k.tiktoken"
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ALNUM_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op2_winnow_decontamination",
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM_SQL} AS words FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ALNUM_SQL} AS words FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item, n, array_to_string(words[i:i + n - 1], ' ') AS w FROM (
+    SELECT item, words, least(13, len(words)) AS n,
+           unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i FROM b WHERE len(words) > 0)
+),
+doc_windows AS (
+  SELECT r, n, i, array_to_string(words[i:i + n - 1], ' ') AS w FROM (
+    SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i
+    FROM d, (SELECT DISTINCT n FROM item_windows) WHERE len(words) >= n)
+),
+hits AS (SELECT r, n, i, item FROM doc_windows JOIN item_windows USING (n, w)),
+hit_words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hits)
+  GROUP BY r
+),
+hit_items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)""",
+)
+def op2_winnow_decontamination(spark, sf_dir):
+    found = decontaminate.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )

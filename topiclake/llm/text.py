@@ -125,10 +125,10 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words from each word on; the last n - 1 words have none."""
     size = max(0, len(hashes) - n + 1)
     out = np.zeros(size, np.uint64)
-    factor = np.uint64(1)
+    factor = 1
     for i in range(n):
-        out += hashes[i : i + size] * factor
-        factor *= _BASE
+        out += hashes[i : i + size] * np.uint64(factor)
+        factor = factor * int(_BASE) % (1 << 64)
     return mix(out)
 
 
