@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import bpe, decontaminate, quality_rules, shards
+from topiclake.llm import bpe, decontaminate, neardup, quality_rules, shards
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -205,3 +205,9 @@ def op2_winnow_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op8_bottom_k_near_duplicates")
+def op8_bottom_k_near_duplicates(spark, sf_dir):
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, limit=(80, 100))
+    return found.drop("text_key")
