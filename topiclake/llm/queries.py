@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import bpe, decontaminate, neardup, quality_rules, shards
+from topiclake.llm import bpe, decontaminate, neardup, quality_rules, shards, warc
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -211,3 +211,30 @@ def op2_winnow_decontamination(spark, sf_dir):
 def op8_bottom_k_near_duplicates(spark, sf_dir):
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, limit=(80, 100))
     return found.drop("text_key")
+
+
+_BASE32_SQL = " || ".join(
+    f"substr('{warc.BASE32}', (((('0x' || substr(h, {10 * part + 1}, 10))::BIGINT >> {35 - 5 * i}) & 31) + 1)::INT, 1)"
+    for part in range(4)
+    for i in range(8)
+)
+
+
+@query(
+    "op7_warc_dictionary",
+    f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS s FROM pages),
+q AS (SELECT page_id, octet_length(encode(s)) AS n, sha1(s) AS h, max(page_id) OVER (PARTITION BY s) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32_SQL} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM q""",
+)
+def op7_warc_dictionary(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(pages)
+    read = warc.read_archives(warc.write_archives(pages, folder), folder)
+    return read.select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
