@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import bpe, decontaminate, neardup, quality_rules, shards, warc
+from topiclake.llm import bpe, decontaminate, licenses, neardup, quality_rules, shards, warc
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -238,3 +238,8 @@ def op7_warc_dictionary(spark, sf_dir):
         F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
