@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import bpe, decontaminate, licenses, neardup, quality_rules, shards, warc
+from topiclake.llm import bpe, decontaminate, licenses, neardup, quality_rules, secrets, shards, warc
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -243,3 +243,23 @@ def op7_warc_dictionary(spark, sf_dir):
 @query("op6_license_scan")
 def op6_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("op4_secret_network")
+def op4_secret_network(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, ["doc_id"], "text", secrets.fit(docs))
+
+    def joined(spans):
+        each = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(each, ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "network")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
