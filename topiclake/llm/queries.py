@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import bpe, decontaminate, licenses, neardup, quality_rules, secrets, shards, warc
+from topiclake.llm import bpe, cotraining, decontaminate, licenses, neardup, quality_rules, secrets, shards, warc
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -263,3 +263,10 @@ def op4_secret_network(spark, sf_dir):
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "network")), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op5_cotrained_quality")
+def op5_cotrained_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score(docs, model, ["doc_id"])
