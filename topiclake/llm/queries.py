@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import bpe, cotraining, decontaminate, licenses, neardup, quality_rules, secrets, shards, warc
+from topiclake.llm import bpe, cotraining, decontaminate, licenses, neardup, quality_rules, secrets, shards, suffix_tree, warc
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -270,3 +270,14 @@ def op5_cotrained_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
     return cotraining.score(docs, model, ["doc_id"])
+
+
+@query("op1_suffix_tree_scores")
+def op1_suffix_tree_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = docs.select(
+        "doc_id", "text", (F.crc32(name.cast("binary")) % 7 == 2).alias("held_out")
+    ).withColumn("learn", ~F.col("held_out"))
+    model = suffix_tree.train(docs, "text", "learn")
+    return suffix_tree.score(docs, ["doc_id", "held_out"], "text", model)
