@@ -161,7 +161,8 @@ def find_contamination(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
     item_key: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20,
 ) -> DataFrame:
-    """Per document: key, ``n_words``, ``n_hit``, ``spans`` of hit words, ``items`` and ``contaminated``.
+    """Per document: key, ``n_words``, ``n_hit``, ``spans`` of hit words, ``items``, ``contaminated``
+    and ``text_key``, the MD5 of the text.
 
     A document is contaminated if at least one word in ``share`` is hit. One row out per row in.
     Null texts and texts without words are clean; null keys are kept. Documents are joined by a
@@ -214,7 +215,17 @@ def find_contamination(
             F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+            F.col("_key").alias("text_key"),
         )
         .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
     )
 
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated; equal texts go or stay together."""
+    found = find_contamination(docs, items, key, text, **how).filter("contaminated")
+    gone = stage(found.select(F.col("text_key").alias("_gone")).distinct(), "contaminated")
+    own = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    marked = docs.withColumn("_key", own)
+    return marked.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -164,11 +164,12 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
     limit: tuple[int, int] = (4, 5), size: int = SIZE, spare: int = SPARE,
 ) -> DataFrame:
-    """Per document: ``key``, ``n_shingles``, ``component_id``, ``kept`` and ``text_key``.
+    """Per document: ``key``, ``n_shingles``, ``component_id``, ``kept``, and what tells rows apart.
 
     Documents are linked if the intersection of their sets is at least ``limit`` of the union;
     ``component_id`` is the least key that links reach, and a document is kept if it is its own.
-    ``text_key`` is the MD5 of the text. One row out per row in. Null texts and texts without words
+    ``set_key`` and ``text_key`` are digests of the set and the text; ``first_set`` marks the least
+    set among the rows of the component's least key. One row out per row in. Null texts and texts without words
     are linked with nothing and kept. Rows of equal sets are always linked; repeated rows with the
     least key are all kept. A null key is never the least unless its component has no other, and
     such documents are kept too.
@@ -243,8 +244,10 @@ def near_duplicates(
     members = nodes.join(roots, "node", "left").select(
         "_set", "low", F.coalesce("root", "node").alias("root")
     )
-    least = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = members.join(least, "root").select("_set", "component_id")
+    least = members.groupBy("root").agg(F.min(F.struct("low", "_set")).alias("_least"))
+    named = members.join(least, "root").select(
+        "_set", F.col("_least.low").alias("component_id"), (F.col("_least._set") == F.col("_set")).alias("_first")
+    )
     out = rows.select("_id", "_key", "n", "_set").join(named, "_set", "left")
     component = F.when(F.col("_set").isNull(), F.col("_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -252,5 +255,38 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("_id").eqNullSafe(component).alias("kept"),
+        F.coalesce("_first", F.lit(True)).alias("first_set"),
+        F.col("_set").alias("set_key"),
         F.col("_key").alias("text_key"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
+    limit: tuple[int, int] = (4, 5),
+) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group; texts without words all stay.
+
+    The row with the least key stays; among rows with that key, one of the least set, then the least
+    text. Only what goes is joined with the rows, and only repeated rows are compared.
+    """
+    found = stage(near_duplicates(docs, key, text, shingle, limit), "near")
+    pair = [F.col(key).alias("_drop_id"), F.col("text_key").alias("_drop_key")]
+    grouped = found.filter("n_shingles > 0")
+    stays = grouped.filter("kept and first_set")
+    per_row = stays.groupBy(key, "set_key").agg(
+        F.min("text_key").alias("text_key"), F.count("*").alias("rows")
+    )
+    repeated = stage(per_row.filter("rows > 1").select(*pair), "repeated")
+    # Rows of repeated keys and sets are taken out too, one of each comes back.
+    many = per_row.filter("rows > 1").select(F.col(key).alias("_i"), F.col("set_key").alias("_s"))
+    again = stays.join(
+        many, F.col(key).eqNullSafe(F.col("_i")) & (F.col("set_key") == F.col("_s")), "left_semi"
+    )
+    gone = grouped.filter("not (kept and first_set)").select(*pair).unionByName(again.select(*pair))
+    gone = stage(gone.distinct(), "gone")
+    marked = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    same = F.col(key).eqNullSafe(F.col("_drop_id")) & (F.col("_key") == F.col("_drop_key"))
+    left = marked.join(gone, same, "left_anti")
+    back = marked.join(repeated, same, "left_semi").dropDuplicates([key, "_key"])
+    return left.unionByName(back).select(*docs.columns)

@@ -210,7 +210,7 @@ def op2_winnow_decontamination(spark, sf_dir):
 @query("op8_bottom_k_near_duplicates")
 def op8_bottom_k_near_duplicates(spark, sf_dir):
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, limit=(80, 100))
-    return found.drop("text_key")
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 _BASE32_SQL = " || ".join(
@@ -281,3 +281,10 @@ def op1_suffix_tree_scores(spark, sf_dir):
     ).withColumn("learn", ~F.col("held_out"))
     model = suffix_tree.train(docs, "text", "learn")
     return suffix_tree.score(docs, ["doc_id", "held_out"], "text", model)
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
