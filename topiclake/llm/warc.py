@@ -178,7 +178,7 @@ def write_archives(
             ):
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.zst"
-                    out, count, size = files.open_output_stream(path), 0, 0
+                    out, count, size = files.open_output_stream(path, compression=None), 0, 0
                     if dictionary:
                         out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                         size = 8 + len(dictionary)
@@ -214,7 +214,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = []
-                with files.open_input_stream(path) as file:
+                with files.open_input_stream(path, compression=None) as file:
                     for data in frames(file):
                         rows.append(_row(data))
                         if len(rows) == 4096:
