@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = cotraining.fit(docs, labels)
-    return cotraining.score(docs, model, docs.columns).filter("kept").select(*docs.columns)
+    return cotraining.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, the bytes of the text behind each token, and their number."""
-    keep = [c for c in docs.columns if c != "text"]
-    encoded = bpe.encode(docs, keep, "text", public_tokenizers.path(VOCABULARY))
-    return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    """Token ids of each text, the byte of the text behind each token, and their number.
+
+    The text itself goes; a null text has no tokens.
+    """
+    return bpe.encode_all(docs, "text", public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [

@@ -1,0 +1,82 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import regex
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.llm.conftest import base_rows
+from topiclake.llm import bpe
+from topiclake.llm.text import buffers, large
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def library():
+    ranks = dict(bpe.read_ranks(PATH))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.read_ranks(PATH))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab sS'tremvld'' \n\t\r 12é²٣中!?. 　😀"), max_size=25), min_size=1, max_size=4))
+def test_pieces_are_those_of_the_pattern(codec, texts):
+    data, offsets = buffers(large(pa.array(texts)))
+    begins, bounds = codec.pieces(data, offsets)
+    for i, text in enumerate(texts):
+        cuts = [*begins[bounds[i] : bounds[i + 1]].tolist(), int(offsets[i + 1])]
+        found = [data[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:])]
+        assert found == regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_ids_are_those_of_the_library(codec, library):
+    rng = random.Random(5)
+    texts = ["a" * 5000, " " * 300 + "b", "x" * 60 + "y", "", "'s'll've"]
+    texts += ["".join(chr(rng.choice([32, 39, 65, 101, 233, 0x4E2D, rng.randrange(0x20, 0x2FFF)])) for _ in range(80)) for _ in range(300)]
+    data, offsets = buffers(large(pa.array(texts)))
+    for _ in range(2):  # the second time from the cache
+        ids, bounds = codec.encode(data, offsets)
+        for i, text in enumerate(texts):
+            own = ids[bounds[i] : bounds[i + 1]]
+            assert own.tolist() == library.encode_ordinary(text)
+            assert codec.decode(own).tobytes().decode() == text
+
+
+def test_merge_takes_the_left_one_among_equals(codec, library):
+    for piece in ("a" * 99, "abab" * 30, "th" * 77):
+        assert bpe.merge(piece.encode(), codec.ranks) == library.encode_ordinary(piece)
+
+
+def test_encode_table(spark, docs, library):
+    encoded = bpe.encode(docs, ["doc_id"], "text", PATH, decoded="back")
+    rows = encoded.collect()
+    source = base_rows()
+    assert len(rows) == len(source)
+    expected = sorted(
+        (str(r[0]), hashlib.md5(np.array(library.encode_ordinary(r[1] or ""), "<u4").tobytes()).hexdigest()) for r in source
+    )
+    assert sorted((str(r.doc_id), hashlib.md5(bytes(r.ids)).hexdigest()) for r in rows) == expected
+    texts = sorted((r[1] or "") for r in source)
+    assert sorted(bytes(r.back).decode() for r in rows) == texts
+    assert sorted(r.text for r in bpe.decode(encoded, ["doc_id"], "ids", PATH).collect()) == texts
+    for r in rows:
+        ends = np.frombuffer(bytes(r.ends), "<u4")
+        assert len(ends) * 4 == len(r.ids) and (not len(ends) or ends[-1] == len(r.back))
+
+
+def test_encode_edges(spark, no_docs, clashing):
+    assert bpe.encode(no_docs, ["doc_id"], "text", PATH).count() == 0
+    out = bpe.encode_all(clashing, "text", PATH)
+    assert out.count() == clashing.count()
+    assert {"ids", "ends", "n_tokens", "kept", "_text"} <= set(out.columns)
+    assert out.filter("kept = 'own kept'").count() == out.count()

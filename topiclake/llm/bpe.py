@@ -17,7 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from topiclake.llm.columns import shield
 from topiclake.llm.text import buffers, large, ragged, run_hashes, slices
 
 # White space beyond categories, and the contractions that are tokens of their own.
@@ -405,3 +407,11 @@ def decode(df: DataFrame, keep: list[str], ids: str, vocabulary: str, text: str
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_ids"]
     return picked.mapInArrow(run, ", ".join([*schema, f"`{text}` string"]))
+
+
+def encode_all(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
+    """All columns but the text, with ``ids``, ``ends`` and ``n_tokens``, which replace equal names."""
+    df, restore = shield(df, text)
+    encoded = encode(df, [c for c in df.columns if c != text], text, vocabulary)
+    counted = encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return restore(counted, "ids", "ends", "n_tokens")

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topiclake.llm.columns import shield
 from topiclake.llm.text import LOWER, SOLID, Words, slices
 
 # Rows in the training sample, labelled and unlabelled, at most.
@@ -286,3 +287,12 @@ def score(
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[: len(keep)]]
     schema += ["content_score double, meta_score double, score double, kept boolean"]
     return _featured(columns, keep, make, ", ".join(schema))
+
+
+def keep_good(
+    docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang", source: str = "source",
+    size: str = "n_chars",
+) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject."""
+    docs, restore = shield(docs, text, lang, source, size)
+    return restore(score(docs, model, docs.columns, text, lang, source, size).filter("kept"))

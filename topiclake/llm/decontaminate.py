@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topiclake.llm.columns import shield
 from topiclake.llm.text import ALNUM, LOWER, Words, buffers, gram_hashes, large, mix, slices
 from topiclake.llm.winnow import split_span, winnow
 from topiclake.session import stage
@@ -224,8 +225,9 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are not contaminated; equal texts go or stay together."""
+    docs, restore = shield(docs, key, text)
     found = find_contamination(docs, items, key, text, **how).filter("contaminated")
     gone = stage(found.select(F.col("text_key").alias("_gone")).distinct(), "contaminated")
     own = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     marked = docs.withColumn("_key", own)
-    return marked.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return restore(marked.join(gone, F.col("_key") == F.col("_gone"), "left_anti"))
