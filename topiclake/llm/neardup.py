@@ -1,17 +1,22 @@
 """Near-duplicates by bottom-k sketches of word-shingle sets, one hash function for all.
 
 A document's set is hashed once; its sketch is the ``size`` least hash values. Documents with equal
-sets become one node. Inverted lists hold, for each two values that are neighbours in a sketch, the
-nodes that have them: near-duplicates share most neighbours, while documents with only a common line
-or common words rarely do, because their own values fall in between.
-
-Lists yield candidate links to leaders, not all pairs. In a first round every member of a list is
-tested against the least member; lists whose members are then connected are settled, so a group of
-copies costs one link per member. Lists that still hold several components get more leaders, twice
-as many in each round, until every member of the list has been one. A candidate passes if the
-similarity that the union of both sketches estimates is not far below the limit, and is confirmed on
-the whole sets. What is left out: for two sets of just the limit's similarity, a shared pair of
-neighbours is missing, or the estimate is 5.5 deviations off, with a probability below 1e-7.
+sets become one node. Inverted lists hold, for each run of three values that follow each other in a
+sketch (two for small sets), the nodes that have it: near-duplicates share many runs, while documents
+with only a common line or common words rarely do, because their own values fall in between.
+
+Lists yield candidate links to leaders, not all pairs. Every member of a list is tested against the
+list's leader, the member whose lists are longest: in a group of copies that is the one with the
+fewest changes. A candidate passes if the similarity that the union of both sketches estimates is not
+far below the limit, and is confirmed on the whole sets. Lists whose members are then connected are
+settled, so a group of copies costs one link per member. In the others each member outside the
+leader's component is compared with all members: the list is cut into tiles of bounded size, a task
+counts the intersections of one tile's sets exactly, and returns a link at most for each member and
+component. Dense lists so cost arithmetic, not rows, and no link within a list is lost.
+
+What is left out: that two sets of just the limit's similarity share too few runs (20 to 30 are
+expected), or that the estimate is 5.5 deviations off, has a probability below 1e-5 for each such
+pair; sets of up to ``size`` shingles are always found.
 """
 
 from __future__ import annotations
@@ -25,13 +30,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topiclake.llm.columns import shield
 from topiclake.llm.text import LOWER, SOLID, Words, buffers, gram_hashes, large, mix, slices
 from topiclake.operators.components import connected_components
 from topiclake.session import stage
 
-SIZE = 32
+SIZE = 48
 # Longest lists of each node that are passed over: near-duplicates share more lists than that.
 SPARE = 2
+# Sets of up to so many shingles also have lists for runs of two values. Similar sets differ by a
+# quarter at most, so of two sets either both are that small or both are large enough for three.
+SMALL = 30
+THREE = 9
+# Members of a list that meet in a task, on each side.
+TILE = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
@@ -105,55 +117,165 @@ def union_estimate(a: Column, b: Column, size: int) -> Column:
     return F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least)
 
 
-class _Graph:
-    """Nodes, confirmed links and candidates of one run."""
-
-    def __init__(self, nodes: DataFrame, texts: DataFrame, shingle: int, limit: tuple[int, int], size: int):
-        self.nodes, self.texts = nodes, texts
-        self.shingle, self.limit, self.size = shingle, limit, size
-        share = limit[0] / limit[1]
-        self.floor = share - 5.5 * math.sqrt(share * (1 - share) / size)
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Links (u, v) among candidate pairs (u, v)."""
-        numerator, denominator = self.limit
-        a = self.nodes.select(F.col("node").alias("u"), F.col("n").alias("n_a"), F.col("sketch").alias("a"))
-        b = self.nodes.select(F.col("node").alias("v"), F.col("n").alias("n_b"), F.col("sketch").alias("b"))
-        close = (
-            pairs.join(a, "u")
-            .join(b, "v")
-            .filter(denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b"))
-            .filter(union_estimate(F.col("a"), F.col("b"), self.size) >= self.floor)
-            .select("u", "v")
-        )
-        close = stage(close, "close")
-        if close.isEmpty():
-            return close
-        with_texts = (
-            close.join(self.texts.select(F.col("node").alias("u"), F.col("_text").alias("_text_a")), "u")
-            .join(self.texts.select(F.col("node").alias("v"), F.col("_text").alias("_text_b")), "v")
-            .select("u", "v", "_text_a", "_text_b")
-        )
-        return stage(
-            with_texts.mapInArrow(_similar(self.shingle, *self.limit), "u long, v long"), "links"
-        )
+def _runs(sketch: str, length: int) -> Column:
+    """Hashes of the runs of ``length`` values."""
+    return F.transform(
+        F.slice(sketch, F.lit(1), F.greatest(F.lit(0), F.size(sketch) - length + 1)),
+        lambda x, i: F.xxhash64(x, *(F.get(sketch, i + j) for j in range(1, length))),
+    )
 
 
 def _lists(nodes: DataFrame, spare: int) -> DataFrame:
-    """(key, node) of the inverted lists with two members or more, without the longest of each node."""
-    neighbours = F.transform(
-        F.slice("sketch", F.lit(1), F.size("sketch") - 1),
-        lambda x, i: F.xxhash64(x, F.get("sketch", i + 1)),
-    )
+    """(key, node, members) of the inverted lists with two members or more, without the longest of
+    each node, and the node's ``weight``: the length of all its lists."""
     # Sets of up to three shingles are similar only if they are equal, which makes them one node.
-    entries = nodes.filter(F.col("n") > 3).select("node", "n", F.explode(neighbours).alias("key"))
+    kinds = F.flatten(
+        F.array(
+            F.when((F.col("n") > 3) & (F.col("n") <= SMALL), _runs("sketch", 2)).otherwise(F.array().cast("array<long>")),
+            F.when(F.col("n") >= THREE, _runs("sketch", 3)).otherwise(F.array().cast("array<long>")),
+        )
+    )
+    entries = nodes.select("node", "n", F.explode(kinds).alias("key"))
     lengths = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = entries.join(lengths, "key")
     # The longest lists are those of common lines and phrases. Each node passes over a few of its
     # own, fewer than the lists that it shares with any near-duplicate.
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("members"), "key"))
-    many = F.least(F.lit(spare), F.greatest(F.lit(0), F.ceil(0.6 * F.col("n") - 1) - 1))
-    return shared.withColumn("_place", place).filter(F.col("_place") > many).select("key", "node", "members")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy(F.desc("members"), "key"))
+    many = F.when(F.col("n") > SMALL, F.lit(spare)).otherwise(0)
+    return (
+        shared.withColumn("_place", place)
+        .withColumn("weight", F.sum("members").over(own))
+        .filter(F.col("_place") > many)
+        .select("key", "node", "members", "weight")
+    )
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, limit: tuple, size: int) -> DataFrame:
+    """Links (u, v) among candidate pairs (u, v)."""
+    numerator, denominator = limit
+    share = numerator / denominator
+    floor = share - 5.5 * math.sqrt(share * (1 - share) / size)
+    a = nodes.select(F.col("node").alias("u"), F.col("n").alias("n_a"), F.col("sketch").alias("a"))
+    b = nodes.select(F.col("node").alias("v"), F.col("n").alias("n_b"), F.col("sketch").alias("b"))
+    close = (
+        pairs.join(a, "u")
+        .join(b, "v")
+        .filter(denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b"))
+        .filter(union_estimate(F.col("a"), F.col("b"), size) >= floor)
+        .select("u", "v")
+    )
+    with_texts = (
+        close.join(texts.select(F.col("node").alias("u"), F.col("_text").alias("_text_a")), "u")
+        .join(texts.select(F.col("node").alias("v"), F.col("_text").alias("_text_b")), "v")
+        .select("u", "v", "_text_a", "_text_b")
+    )
+    return stage(with_texts.mapInArrow(_similar(shingle, *limit), "u long, v long"), "links")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right.
+
+    A few thousand values at a time become columns of two 0/1 matrices, whose product counts.
+    """
+    sets = [*left, *right]
+    kinds, place = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    # Only values on both sides count.
+    sides = np.zeros((2, len(kinds)), bool)
+    sides[(rows >= len(left)).astype(int), place] = True
+    used = sides.all(axis=0)
+    rows, place = rows[used[place]], (np.cumsum(used) - 1)[place[used[place]]]
+    order = np.argsort(place, kind="stable")
+    rows, place = rows[order], place[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(used.sum()), columns):
+        a, b = np.searchsorted(place, [begin, begin + columns])
+        marks = np.zeros((len(sets), columns), np.float32)
+        marks[rows[a:b], place[a:b] - begin] = 1
+        out += marks[: len(left)] @ marks[len(left) :].T
+    return out
+
+
+def _tile_links(numerator: int, denominator: int):
+    """Links of the members outside the leader's component in one tile of a list."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, first = (table.column(c).to_numpy() for c in ("node", "root", "first"))
+        rows = table.column("_set_values").combine_chunks()
+        bounds = rows.offsets.to_numpy()
+        values = rows.values.to_numpy()
+        sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        left, right = np.flatnonzero(first), np.arange(len(node))
+        u, v = [], []
+        if len(left) and len(np.unique(root)) > 1:
+            common = intersections([sets[i] for i in left], sets)
+            sizes = np.array([len(s) for s in sets])
+            union = sizes[left][:, None] + sizes[None] - common
+            linked = (denominator * common >= numerator * union) & (root[left][:, None] != root[None])
+            for i, row in zip(left.tolist(), linked):
+                hits = right[row]
+                # One link to each other component.
+                _, one = np.unique(root[hits], return_index=True)
+                u += [int(node[i])] * len(one)
+                v += node[hits[one]].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _tiled(lists: DataFrame, leaders: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, limit: tuple) -> DataFrame | None:
+    """Links within the lists that hold several components; None if there is no such list.
+
+    Members outside the leader's component are dealt over blocks, and so are all members; each block
+    of the former meets each of the latter. Members are copied as often as the other side has blocks.
+    """
+    placed = lists.filter("members > 2").join(roots, "node", "left").select(
+        "key", "node", "members", F.coalesce("root", "node").alias("root")
+    )
+    lead = leaders.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select(
+        "key", F.coalesce("root", "v").alias("_main")
+    )
+    placed = placed.join(lead, "key").withColumn("out", F.col("root") != F.col("_main"))
+    open_lists = placed.groupBy("key").agg(
+        F.count("*").alias("_all"), F.count_if("out").alias("_out")
+    ).filter("_out > 0")
+    members = stage(
+        placed.join(open_lists, "key").select("key", "node", "root", "out", "_all", "_out"), "open"
+    )
+    if members.isEmpty():
+        return None
+    wanted = members.select("node").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "_text"):
+                found = pa.array(shingle_sets(data, offsets, shingle), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), found], ["node", "_set_values"])
+
+    node_sets = stage(
+        texts.join(wanted, "node", "left_semi").select("node", "_text").mapInArrow(
+            sets, "node long, _set_values array<long>"
+        ),
+        "sets",
+    )
+    outs = F.ceil(F.col("_out") / F.lit(TILE)).cast("int")
+    alls = F.ceil(F.col("_all") / F.lit(TILE)).cast("int")
+    place = F.xxhash64("node", "key")
+    # As one that is compared: own block among the outer members, with every block of all members.
+    left = members.filter("out").select(
+        "key", "node", "root", F.pmod(place, outs).cast("int").alias("a"),
+        F.explode(F.sequence(F.lit(0), alls - 1)).alias("b"), F.lit(True).alias("first"),
+    )
+    right = members.select(
+        "key", "node", "root", F.explode(F.sequence(F.lit(0), outs - 1)).alias("a"),
+        F.pmod(place, alls).cast("int").alias("b"), F.lit(False).alias("first"),
+    )
+    both = left.unionByName(right).groupBy("key", "a", "b", "node", "root").agg(F.max("first").alias("first"))
+    found = both.join(node_sets, "node").groupBy("key", "a", "b").applyInArrow(
+        _tile_links(*limit), "u long, v long"
+    )
+    return stage(found.distinct(), "tile_links")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -176,70 +298,32 @@ def near_duplicates(
     """
     texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     texts = texts.select("_id", F.unhex(F.md5("_text")).alias("_key"), "_text")
-    rows = stage(_sketches(texts, shingle, size), "sketched")
+    rows = _sketches(texts, shingle, size).withColumn("_row", F.monotonically_increasing_id())
+    rows = stage(rows, "sketched")
+    # A node is the first row of a set.
     nodes = (
         rows.filter(F.col("_set").isNotNull())
         .groupBy("_set")
-        .agg(
-            F.min("_id").alias("low"), F.min("_key").alias("_key"),
-            F.first("n").alias("n"), F.first("sketch").alias("sketch"),
-        )
+        .agg(F.min("_row").alias("node"), F.min("_id").alias("low"))
+    )
+    nodes = stage(nodes, "nodes")
+    sketched = rows.select(F.col("_row").alias("node"), "_key", "n", "sketch")
+    lists = stage(_lists(sketched.join(nodes.select("node"), "node", "left_semi"), spare), "lists")
+    listed = stage(
+        sketched.join(lists.select("node").distinct(), "node", "left_semi"), "listed"
     )
-    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    lists = stage(_lists(nodes, spare), "lists")
-    wanted = nodes.join(lists.select("node").distinct(), "node").select("node", "_key")
     # One text per node that is in a list; equal texts are the same whichever row they come from.
-    chosen = texts.select("_key", "_text").join(wanted, "_key")
+    chosen = texts.select("_key", "_text").join(listed.select("node", "_key"), "_key")
     node_texts = stage(chosen.groupBy("node").agg(F.first("_text").alias("_text")), "node_texts")
-    graph = _Graph(nodes, node_texts, shingle, limit, size)
 
-    leaders = lists.groupBy("key").agg(F.min("node").alias("v"))
+    leaders = lists.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("l"))
+    leaders = stage(leaders.select("key", F.col("l.node").alias("v")), "leaders")
     pairs = lists.join(leaders, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    links = tested = None
-    roots = None
-    leads = 1
-    open_lists = lists
-    while True:
-        pairs = stage(pairs, "pairs")
-        if links is None or not pairs.isEmpty():
-            found = graph.confirm(pairs)
-            links = found if links is None else links.unionByName(found)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            roots = stage(_components(links), "roots")
-        # Lists of two members are settled by the first round; of the others, those whose members
-        # are in one component.
-        placed = (
-            open_lists.filter(F.col("members") > 2)
-            .join(roots, "node", "left")
-            .select("key", "node", "members", F.coalesce("root", "node").alias("root"))
-        )
-        split = placed.groupBy("key").agg(
-            F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_left")
-        ).filter((F.col("_low") != F.col("_high")) & (F.col("_left") > leads))
-        still = stage(
-            placed.join(split.select("key", "_left"), "key").select(
-                "key", "node", F.col("_left").alias("members"), "root"
-            ),
-            "open",
-        )
-        if still.isEmpty():
-            break
-        leads *= 4
-        # Every member leads in short lists; in longer ones the least of each residue class does.
-        slot = F.when(F.col("members") <= leads, F.col("node")).otherwise(
-            F.pmod(F.xxhash64("node", "key"), F.lit(leads))
-        )
-        leaders = (
-            still.withColumn("_slot", slot).groupBy("key", "_slot").agg(F.min(F.struct("node", "root")).alias("l"))
-        ).select("key", F.col("l.node").alias("v"), F.col("l.root").alias("_root"))
-        pairs = (
-            still.join(leaders, "key")
-            .filter(F.col("root") != F.col("_root"))
-            .select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
-            .distinct()
-            .join(tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
-        )
-        open_lists = still.select("key", "node", "members")
+    links = _confirmed(pairs, listed, node_texts, shingle, limit, size)
+    roots = stage(_components(links), "roots")
+    more = _tiled(lists, leaders, roots, node_texts, shingle, limit)
+    if more is not None and not more.isEmpty():
+        roots = stage(_components(links.unionByName(more)), "roots")
 
     members = nodes.join(roots, "node", "left").select(
         "_set", "low", F.coalesce("root", "node").alias("root")
@@ -270,6 +354,7 @@ def drop_near_duplicates(
     The row with the least key stays; among rows with that key, one of the least set, then the least
     text. Only what goes is joined with the rows, and only repeated rows are compared.
     """
+    docs, restore = shield(docs, key, text)
     found = stage(near_duplicates(docs, key, text, shingle, limit), "near")
     pair = [F.col(key).alias("_drop_id"), F.col("text_key").alias("_drop_key")]
     grouped = found.filter("n_shingles > 0")
@@ -289,4 +374,4 @@ def drop_near_duplicates(
     same = F.col(key).eqNullSafe(F.col("_drop_id")) & (F.col("_key") == F.col("_drop_key"))
     left = marked.join(gone, same, "left_anti")
     back = marked.join(repeated, same, "left_semi").dropDuplicates([key, "_key"])
-    return left.unionByName(back).select(*docs.columns)
+    return restore(left.unionByName(back))
