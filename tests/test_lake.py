@@ -55,30 +55,28 @@ def dense(catalog, table, key):
     return n
 
 
-@pytest.mark.parametrize("late_safe", [False, True])
-def test_three_increments(spark, tmp_path, late_safe):
+def test_three_increments(spark, tmp_path):
     write_days(spark, f"{tmp_path}/in")
     catalog = Catalog(spark, f"{tmp_path}/lake")
     days, counts = [], []
     while (day := bronze.load_oldest_day(catalog, f"{tmp_path}/in")) is not None:
         days.append(day)
-        counts.append(silver.refresh(catalog, silver.cleaned_words, late_safe=late_safe))
+        counts.append(silver.refresh(catalog, silver.cleaned_words))
     assert days == ["2024-12-16", "2024-12-17", "2024-12-18"]
-    assert counts == ([2, 2, 2] if late_safe else [2, 2, 1])
+    assert counts == [2, 2, 2]
     got = facts(catalog)
     assert ("bob.x", "2024-12-15 10:01:00", "public health news today", 9) in got
     assert any(g[0] == "ann.x" and g[2] == "winter market lights music everywhere" for g in got)
-    assert any(g[0] == "fay.x" for g in got) == late_safe
+    assert any(g[0] == "fay.x" for g in got)
     assert dense(catalog, "posts", "SK_post") == sum(counts)
-    assert dense(catalog, "author", "SK_author") == (4 if late_safe else 3)
+    assert dense(catalog, "author", "SK_author") == 4
     assert dense(catalog, "time", "SK_time") == sum(counts)
     whole = Catalog(spark, f"{tmp_path}/whole")
     while bronze.load_oldest_day(whole, f"{tmp_path}/in"):
         pass
     silver.refresh(whole, silver.cleaned_words)
-    if late_safe:
-        assert facts(whole) == got
-    assert silver.refresh(catalog, silver.cleaned_words, late_safe=late_safe) == 0
+    assert facts(whole) == got
+    assert silver.refresh(catalog, silver.cleaned_words) == 0
 
     gold.refresh(catalog)
     gold.refresh(catalog)
@@ -105,25 +103,86 @@ def test_broken_load_is_run_again(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(Catalog, "append", breaks)
     with pytest.raises(RuntimeError):
-        silver.refresh(catalog, silver.cleaned_words, late_safe=True)
+        silver.refresh(catalog, silver.cleaned_words)
     monkeypatch.undo()
     bronze.load_oldest_day(catalog, f"{tmp_path}/in")
-    assert silver.refresh(catalog, silver.cleaned_words, late_safe=True) == 4
+    assert silver.refresh(catalog, silver.cleaned_words) == 4
     assert dense(catalog, "posts", "SK_post") == 4 and len(facts(catalog)) == 4
     assert dense(catalog, "author", "SK_author") == 3
 
 
-def test_month_span_prunes_partitions(spark, tmp_path):
+def test_load_reads_only_new_batches(spark, tmp_path):
+    write_days(spark, f"{tmp_path}/in")
     catalog = Catalog(spark, f"{tmp_path}/lake")
-    rows = spark.createDataFrame([post("a", f"text {i}", days=i) for i in range(6)],
-                                 "author string, text string, created_at timestamp, "
-                                 "like_count int, repost_count int, quote_count int, reply_count int")
-    catalog.append(bronze.with_day(rows).withColumn("source_file", F.lit("f")), "bronze", "posts")
-    mark = DAY + dt.timedelta(days=3)
-    df = silver.in_days(catalog.load("bronze", "posts"), mark, DAY + dt.timedelta(days=5))
-    assert df.count() == 3
+    bronze.load_oldest_day(catalog, f"{tmp_path}/in")
+    silver.refresh(catalog, silver.cleaned_words)
+    bronze.load_oldest_day(catalog, f"{tmp_path}/in")
+    batches = silver.unread_batches(catalog)
+    df = silver.new_posts(catalog, batches)
+    assert len(batches) == 1 and df.count() == 3
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "day_collect" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "batch" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # A load up to a moment leaves the rest for the next one.
+    assert silver.refresh(catalog, silver.cleaned_words, until=DAY) == 0
+    assert silver.refresh(catalog, silver.cleaned_words) == 2
+    assert silver.unread_batches(catalog) == []
+
+
+def test_broken_bronze_load_doubles_nothing(spark, tmp_path, monkeypatch):
+    write_days(spark, f"{tmp_path}/in")
+    catalog = Catalog(spark, f"{tmp_path}/lake")
+    append = Catalog.append
+
+    def breaks(self, df, layer, table):
+        if table == "files":
+            raise RuntimeError("lost")
+        append(self, df, layer, table)
+
+    monkeypatch.setattr(Catalog, "append", breaks)
+    with pytest.raises(RuntimeError):
+        bronze.load_oldest_day(catalog, f"{tmp_path}/in")
+    monkeypatch.undo()
+    assert bronze.load_oldest_day(catalog, f"{tmp_path}/in") == "2024-12-16"
+    assert bronze.posts(catalog).count() == 5
+    assert silver.refresh(catalog, silver.cleaned_words) == 2
+
+
+def test_late_posts_reach_bronze_and_silver(spark, tmp_path):
+    schema = ("author string, text string, created_at timestamp, like_count int, repost_count int, "
+              "quote_count int, reply_count int")
+    catalog = Catalog(spark, f"{tmp_path}/lake")
+    for i, rows in enumerate([
+        [post("ann.x", "First mountain picture", days=20), post("bob.x", "Other words entirely", days=20)],
+        [post("cyd.x", "Very late message here", days=1), post("ann.x", "First mountain picture", days=20),
+         post("dan.x", "Another month message", days=-20)],
+    ]):
+        feed.write_csv(spark.createDataFrame(rows, schema).coalesce(1), f"{tmp_path}/in/part{i}")
+        streams.start_bronze(catalog, f"{tmp_path}/in", f"{tmp_path}/c").awaitTermination(120)
+        streams.start_silver(catalog, f"{tmp_path}/s", silver.cleaned_words).awaitTermination(120)
+    assert catalog.load("bronze", "posts").count() == 4
+    assert {f[0] for f in facts(catalog)} == {"ann.x", "bob.x", "cyd.x", "dan.x"}
+
+
+def test_keywords_do_not_depend_on_the_cut(spark, tmp_path):
+    """One load, one per day and all days in another order give the same rows."""
+    schema = ("author string, text string, created_at timestamp, like_count int, repost_count int, "
+              "quote_count int, reply_count int")
+    days = [
+        [post("ann.x", "socialmedia market opened today", days=i), post("bob.x", "social club meets", i, i),
+         post("cyd.x", f"media news number{i} social media", 2 * i, i)] for i in range(3)
+    ]
+    whole = [r for d in days for r in d]
+    found = []
+    for name, loads in (("one", [whole]), ("three", days), ("back", days[::-1])):
+        catalog = Catalog(spark, f"{tmp_path}/{name}")
+        learnt = spark.createDataFrame(whole, schema)
+        vocabulary = segment.learn_vocabulary(silver.cleaned_words(learnt, "author"), "yaked")
+        catalog.overwrite(vocabulary, "silver", "vocabulary")
+        for rows in loads:
+            silver.load_posts(catalog, bronze.with_day(spark.createDataFrame(rows, schema)))
+        found.append(facts(catalog))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 9
+    assert any("social media" in f[2] for f in found[0] if f[0] == "ann.x")
 
 
 def test_streams(spark, tmp_path):

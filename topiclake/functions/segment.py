@@ -5,82 +5,103 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from topiclake.operators.keys import assign_keys
 from topiclake.operators.words import word_counts
+from topiclake.session import stage
 
-# Size of the dictionary: it does not grow with the corpus.
-MAX_WORDS = 125_000
+def learn_vocabulary(df: DataFrame, text: str, min_count: int = 2) -> DataFrame:
+    """(word, n): the words of the corpus that occur ``min_count`` times or more."""
+    counts = word_counts(df, text)
+    return counts.filter((F.col("n") >= min_count) & (F.col("word") != "")).select("word", "n")
 
 
-def learn_vocabulary(
-    df: DataFrame, text: str, max_words: int = MAX_WORDS, min_count: int = 2
-) -> DataFrame:
-    """(word, n): the most frequent words of the corpus.
+def word_costs(vocabulary: DataFrame) -> DataFrame:
+    """(word, cost): log(rank · log N) of each word, ranked by frequency and then by name."""
+    ranked = assign_keys(vocabulary.select("word", "n"), "rank", 1, [F.desc("n"), F.col("word")])
+    ranked = stage(ranked, "ranks")
+    scale = math.log(max(ranked.count(), 3))
+    return ranked.select("word", F.log(F.col("rank") * F.lit(scale)).alias("cost"))
 
-    The least count that makes the list is found from how many words have each count, so that only
-    the words on the list are sorted. There are at most √(2 · tokens) different counts.
-    """
-    counts = word_counts(df, text).filter((F.col("n") >= min_count) & (F.col("word") != ""))
-    sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
-    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sizes.withColumn("above", F.coalesce(F.sum("words").over(above), F.lit(0)))
-    least = ranked.filter(F.col("above") < max_words).agg(F.min("n").alias("n")).scalar()
-    listed = counts.filter(F.col("n") >= least)
-    return listed.orderBy(F.desc("n"), "word").limit(max_words)
-
-
-def word_costs(vocabulary: DataFrame) -> dict[str, float]:
-    """Cost log((rank + 1) · log N) of each word, from the words in order of frequency."""
-    found = vocabulary.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
-    scale = math.log(max(len(found), 3))
-    return {r["word"]: math.log((i + 1) * scale) for i, r in enumerate(found)}
 
+def split_word(word: str, parts: dict[int, list[tuple[int, float]]]) -> str:
+    """Cheapest division of a word into known parts; the word itself if there is none.
 
-def split_word(word: str, costs: dict[str, float], longest: int) -> str:
-    """Cheapest division of a word into known words; the word itself if there is none."""
+    ``parts`` has, by the place where a known word ends, where it starts and what it costs.
+    """
     best = [0.0] + [math.inf] * len(word)
     cut = [0] * (len(word) + 1)
     for end in range(1, len(word) + 1):
-        for start in range(max(0, end - longest), end):
-            cost = best[start] + costs.get(word[start:end], math.inf)
-            if cost < best[end]:
-                best[end], cut[end] = cost, start
+        for start, cost in sorted(parts.get(end, ())):
+            if best[start] + cost < best[end]:
+                best[end], cut[end] = best[start] + cost, start
     if best[-1] == math.inf:
         return word
-    parts, end = [], len(word)
+    found, end = [], len(word)
     while end:
-        parts.append(word[cut[end]:end])
+        found.append(word[cut[end]:end])
         end = cut[end]
-    return " ".join(reversed(parts))
+    return " ".join(reversed(found))
+
+
+@F.arrow_udf(StringType())
+def _divide(words: pa.Array, starts: pa.Array, sizes: pa.Array, costs: pa.Array) -> pa.Array:
+    out = []
+    for word, *known in zip(*(a.to_pylist() for a in (words, starts, sizes, costs))):
+        parts: dict[int, list[tuple[int, float]]] = {}
+        for start, size, cost in zip(*known):
+            parts.setdefault(start + size, []).append((start, cost))
+        out.append(split_word(word, parts))
+    return pa.array(out, pa.string())
+
+
+def divisions(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, divided) of the different words that a division changes.
+
+    Every piece of a word that may be a known word is joined with the vocabulary, which may be of
+    any size; a word's known pieces then meet in one row.
+    """
+    costs = stage(word_costs(vocabulary), "costs")
+    longest = costs.agg(F.max(F.length("word"))).first()[0] or 0
+    pieces = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    most = F.least(F.lit(longest), F.length("word") - F.col("start") + 1)
+    pieces = pieces.filter(most > 0).select(
+        "word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size")
+    )
+    known = pieces.withColumn("piece", F.substring("word", F.col("start"), F.col("size"))).join(
+        costs.withColumnRenamed("word", "piece"), "piece"
+    )
+    grouped = known.groupBy("word").agg(
+        F.collect_list(F.struct(F.col("start") - 1, "size", "cost")).alias("k")
+    )
+    divided = _divide("word", F.col("k")["col1"], F.col("k")["size"], F.col("k")["cost"])
+    return grouped.select("word", divided.alias("divided")).filter("divided <> word")
 
 
 def segment_words(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     """Replace every word of ``text`` by its division.
 
-    The dictionary has a fixed greatest size and is broadcast; each different word of a batch is
-    divided once. No word is shuffled, which at scale costs far more than dividing it.
+    Each different word of the table is divided once. Of the texts, only the words that change are
+    shuffled; where Spark finds their list small, it is broadcast.
     """
-    costs = df.sparkSession.sparkContext.broadcast(word_costs(vocabulary))
-
-    @F.arrow_udf(StringType())
-    def divide(texts: pa.Array) -> pa.Array:
-        known = costs.value
-        longest = max(map(len, known), default=0)
-        done: dict[str, str] = {"": ""}
-        out = []
-        for t in texts.to_pylist():
-            if t is None:
-                out.append(None)
-                continue
-            parts = []
-            for w in t.split(" "):
-                if w not in done:
-                    done[w] = split_word(w, known, longest)
-                parts.append(done[w])
-            out.append(" ".join(parts))
-        return pa.array(out, pa.string())
-
-    return df.withColumn(text, divide(F.col(text)))
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    tokens = rows.select("_row", F.posexplode(F.split(text, " ")).alias("at", "word"))
+    words = tokens.select("word").filter("word <> ''").distinct()
+    changed = stage(divisions(words, vocabulary), "divisions")
+    places = (
+        tokens.join(changed, "word")
+        .groupBy("_row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", "divided"))).alias("_new"))
+    )
+    joined = rows.join(places, "_row", "left")
+    replaced = F.array_join(
+        F.transform(
+            F.split(text, " "), lambda w, i: F.coalesce(F.try_element_at("_new", i), w)
+        ),
+        " ",
+    )
+    kept = F.when(F.col("_new").isNull(), F.col(text)).otherwise(replaced)
+    return joined.withColumn(text, kept).select(*df.columns)

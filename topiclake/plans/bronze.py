@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +16,40 @@ def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day_collect", F.dayofmonth("created_at"))
 
 
+def with_month(df: DataFrame) -> DataFrame:
+    """Year and month a post was created in, as one number such as 202412."""
+    return df.withColumn("month_collect", F.year("created_at") * 100 + F.month("created_at"))
+
+
 def load_oldest_day(catalog: Catalog, landing: str) -> str | None:
     """Append the oldest day of files not loaded yet; returns its date, None if nothing is new.
 
-    Loaded files are listed in a table instead of being moved, so a restart knows what it did.
+    Loaded files are listed in a table instead of being moved, so a restart knows what it did. The
+    list is written last and names the batch: rows that a load left behind when it broke off belong
+    to a batch that is not listed, and nothing reads them.
     """
     spark = catalog.spark
     known = catalog.load("bronze", "files")
     new = input_files(spark, landing).join(known.select("file"), "file", "left_anti")
-    batch = oldest_files(new)
-    found = [(r["file"], r["file_date"]) for r in batch.collect()]
+    found = [(r["file"], r["file_date"]) for r in oldest_files(new).collect()]
     if not found:
         return None
+    batch = uuid.uuid4().hex
     posts = read_csv(spark, [f for f, _ in found])
     posts = with_day(posts).withColumn("source_file", F.col("_metadata.file_path"))
-    catalog.append(posts, "bronze", "posts")
-    catalog.append(spark.createDataFrame(found, "file string, file_date string"), "bronze", "files")
+    catalog.append(posts.withColumn("batch", F.lit(batch)), "bronze", "posts")
+    listed = spark.createDataFrame(
+        [(*f, batch) for f in found], "file string, file_date string, batch string"
+    )
+    catalog.append(listed, "bronze", "files")
     return found[0][1]
+
+
+def batches(catalog: Catalog) -> DataFrame:
+    """(batch) of the finished loads."""
+    return catalog.load("bronze", "files").select("batch").distinct()
+
+
+def posts(catalog: Catalog) -> DataFrame:
+    """Rows of the finished loads."""
+    return catalog.load("bronze", "posts").join(batches(catalog), "batch", "left_semi")

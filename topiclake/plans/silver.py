@@ -13,9 +13,12 @@ from topiclake.functions.keywords import extract_keywords
 from topiclake.functions.segment import learn_vocabulary, segment_words
 from topiclake.functions.words import ENGLISH, drop_words
 from topiclake.operators.keys import assign_keys
+from topiclake.plans.bronze import batches as bronze_batches
+from topiclake.plans.bronze import posts as bronze_posts
+from topiclake.plans.bronze import with_month
 from topiclake.schemas import TABLES
-from topiclake.session import spread, stage
-from topiclake.sources.catalog import Catalog, first_mark, high_water
+from topiclake.session import stage
+from topiclake.sources.catalog import Catalog, high_water
 
 COUNTERS = ["like_count", "repost_count", "quote_count", "reply_count"]
 IDENTITY = ["created_at", "text", "author"]
@@ -28,21 +31,48 @@ def cleaned_words(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("yaked", drop_words(clean_text("text"), ENGLISH)).drop("text")
 
 
-def keyword_words(df: DataFrame, key: str) -> DataFrame:
-    """``yaked`` = words of the keywords of the cleaned, divided text."""
+def keyword_words(df: DataFrame, key: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``yaked`` = words of the keywords of the cleaned, divided text.
+
+    Words are divided with the given vocabulary; without one, with the words of ``df`` itself.
+    """
     words = stage(cleaned_words(df, key), "words")
-    vocabulary = learn_vocabulary(words, "yaked")
+    if vocabulary is None:
+        vocabulary = learn_vocabulary(words, "yaked")
     divided = segment_words(words, "yaked", vocabulary)
     found = extract_keywords(divided, key, "yaked")
     return words.drop("yaked").join(found, key)
 
 
+def learn_words(catalog: Catalog) -> DataFrame:
+    """Learn the vocabulary from all posts in bronze, and write it down in place of the last one."""
+    posts = distinct_posts(bronze_posts(catalog).select(*IDENTITY).dropna(subset=["text"]))
+    words = cleaned_words(posts, "created_at")
+    catalog.overwrite(stage(learn_vocabulary(words, "yaked"), "vocabulary"), "silver", "vocabulary")
+    return catalog.load("silver", "vocabulary")
+
+
+def lake_keywords(catalog: Catalog) -> TextPlan:
+    """The keyword plan with the lake's vocabulary, so that a text's words do not depend on the load
+    it comes in. The vocabulary is learnt when there is none yet."""
+
+    def plan(df: DataFrame, key: str) -> DataFrame:
+        vocabulary = catalog.load("silver", "vocabulary")
+        if vocabulary.isEmpty():
+            vocabulary = learn_words(catalog)
+        return keyword_words(df, key, vocabulary)
+
+    return plan
+
+
 def distinct_posts(df: DataFrame) -> DataFrame:
     """One row per (created_at, text, author), with its highest counters.
 
     A grouped maximum shrinks re-collected copies inside each task before anything is shuffled.
     """
     rest = [c for c in df.columns if c not in IDENTITY]
+    if not rest:
+        return df.distinct()
     first = [c for c in COUNTERS if c in rest] + [c for c in rest if c not in COUNTERS]
     best = df.groupBy(*IDENTITY).agg(F.max(F.struct(*first)).alias("b"))
     return best.select(*IDENTITY, *[F.col(f"b.{c}").alias(c) for c in rest])
@@ -52,36 +82,40 @@ def newer_than(df: DataFrame, mark, column: str = "created_at") -> DataFrame:
     return df if mark is None else df.filter(F.col(column) > F.lit(mark))
 
 
-def in_days(df: DataFrame, mark, until) -> DataFrame:
-    """Let a range shorter than a month prune the ``day_collect`` partitions."""
-    if mark is None or until is None or (until - mark).days >= 27:
-        return df
-    from datetime import timedelta
+def unread_batches(catalog: Catalog) -> list[str]:
+    """Finished bronze batches that no finished load has read."""
+    loads = catalog.load("silver", "loads").count()
+    done = catalog.load("silver", "reads").filter(F.col("load") < loads).select("batch")
+    return [r.batch for r in bronze_batches(catalog).join(done, "batch", "left_anti").collect()]
 
-    days = sorted({(mark + timedelta(days=i)).day for i in range((until - mark).days + 2)})
-    return df.filter(F.col("day_collect").isin(days))
 
+def new_posts(catalog: Catalog, batches: list[str], until=None) -> DataFrame:
+    """Posts of the given bronze batches, which are partitions, whenever they were created."""
+    rows = catalog.load("bronze", "posts").filter(F.col("batch").isin(batches))
+    rows = rows.drop("source_file", "batch")
+    return rows if until is None else rows.filter(F.col("created_at") <= F.lit(until))
 
-def new_posts(catalog: Catalog, until=None, late_safe: bool = False) -> DataFrame:
-    """Bronze posts not loaded yet: those after the last mark, or with ``late_safe`` all posts
-    whose digest is not in the ledger, so that late ones are not lost."""
-    bronze = catalog.load("bronze", "posts").drop("source_file")
-    if until is not None:
-        bronze = bronze.filter(F.col("created_at") <= F.lit(until))
-    if late_safe:
-        return bronze
-    mark = high_water(catalog.load("silver", "loads"), "mark")
-    if mark is None:
-        mark = bronze.agg(first_mark("created_at")).first()[0]
-    return newer_than(in_days(bronze, mark, until), mark)
 
-
-def _digests(df: DataFrame) -> DataFrame:
+def digests(df: DataFrame) -> DataFrame:
     return df.withColumn("h1", F.xxhash64(*IDENTITY)).withColumn(
         "h2", F.xxhash64(F.lit(1), *IDENTITY)
     )
 
 
+def seen_in(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """Digests in the ledger of the days that the rows are from.
+
+    The days are collected (at most 31 and a few months) and filter the ledger as literals: the day
+    prunes its partitions, the month what is read of them.
+    """
+    days = with_month(rows).select("day_collect", "month_collect").distinct().collect()
+    listed = ledger.filter(
+        F.col("day_collect").isin(sorted({r.day_collect for r in days if r.day_collect}))
+        & F.col("month_collect").isin(sorted({r.month_collect for r in days if r.month_collect}))
+    )
+    return listed.select("day_collect", "h1", "h2")
+
+
 def new_times(minutes: DataFrame, known: DataFrame, start: int) -> DataFrame:
     """Minutes that the time dimension does not hold yet, with keys in order of time."""
     fresh = minutes.distinct().join(known.select("created_at"), "created_at", "left_anti")
@@ -105,30 +139,32 @@ def with_keys(posts: DataFrame, time: DataFrame, author: DataFrame) -> DataFrame
 
 
 def load_posts(
-    catalog: Catalog, bronze: DataFrame, text_plan: TextPlan = keyword_words,
-    late_safe: bool = False,
+    catalog: Catalog, bronze: DataFrame, text_plan: TextPlan | None = None,
+    batches: list[str] | None = None,
 ) -> int:
     """Load a batch of bronze rows into the star; returns the number of new posts.
 
+    Posts that an earlier load has loaded are known by their digests, so late and repeated posts
+    are safe whatever the order of the loads. ``batches`` are the bronze batches read in full.
     The row in ``loads`` is written last. A load that broke off before it is simply run again: it
     has the same number, ignores what its first try left in the ledger and replaces its posts.
     """
     load, last_post = catalog.load("silver", "loads").agg(
         F.count("*").cast("int"), F.coalesce(F.max("last_post"), F.lit(0))
     ).first()
-    posts = _digests(distinct_posts(bronze.dropna(subset=["text"])))
+    posts = with_month(digests(distinct_posts(bronze.dropna(subset=["text"]))))
     posts = posts.withColumn("load", F.lit(load))
-    if late_safe:
-        # The day is the ledger's partition, so only the days of this batch need be read.
-        seen = catalog.load("silver", "ledger").filter(F.col("load") < load).drop("load")
-        posts = posts.join(seen, ["day_collect", "h1", "h2"], "left_anti")
+    ledger = catalog.load("silver", "ledger").filter(F.col("load") < load).drop("load")
+    posts = posts.join(seen_in(ledger, bronze), ["day_collect", "h1", "h2"], "left_anti")
     # Written before its row ids are used, so that they cannot change.
-    numbered = stage(
-        spread(posts).withColumn("_row", F.monotonically_increasing_id()), "posts"
-    )
+    numbered = stage(posts.withColumn("_row", F.monotonically_increasing_id()), "posts")
     mark = high_water(numbered, "created_at")
-    if mark is None:
+    if mark is None and not batches:
         return 0
+    if mark is None:
+        # Nothing new, but the batches are read.
+        mark = high_water(catalog.load("silver", "loads"), "mark")
+    text_plan = text_plan or lake_keywords(catalog)
     words = text_plan(numbered.withColumn("created_at", to_minute("created_at")), "_row")
     # Written once, with its keys: the two dimensions and the fact all start from it.
     batch = assign_keys(words.filter(F.trim("yaked") != ""), "SK_post", last_post + 1)
@@ -143,8 +179,10 @@ def load_posts(
     catalog.replace_load(with_keys(batch, time, author), "silver", "posts")
     # The mark and the ledger cover the posts that were read, also those without words.
     catalog.replace_load(
-        numbered.select("h1", "h2", "day_collect", "load"), "silver", "ledger"
+        numbered.select("h1", "h2", "month_collect", "day_collect", "load"), "silver", "ledger"
     )
+    reads = [(b, load) for b in batches or []]
+    catalog.append(catalog.spark.createDataFrame(reads, TABLES["silver", "reads"]), "silver", "reads")
     count = batch.count()
     row = [(mark, last_post + count)]
     catalog.append(
@@ -153,8 +191,13 @@ def load_posts(
     return count
 
 
-def refresh(
-    catalog: Catalog, text_plan: TextPlan = keyword_words, until=None, late_safe: bool = False
-) -> int:
-    """Load everything new from bronze."""
-    return load_posts(catalog, new_posts(catalog, until, late_safe), text_plan, late_safe)
+def refresh(catalog: Catalog, text_plan: TextPlan | None = None, until=None) -> int:
+    """Load everything new from bronze, or what was created up to ``until``.
+
+    A batch that was read in part is read again by the next load.
+    """
+    batches = unread_batches(catalog)
+    if not batches:
+        return 0
+    rows = new_posts(catalog, batches, until)
+    return load_posts(catalog, rows, text_plan, batches if until is None else None)

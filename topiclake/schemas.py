@@ -22,15 +22,22 @@ GOLD_POSTS = (
 )
 
 TABLES = {
-    ("bronze", "posts"): f"{RAW}, source_file string, day_collect int",
-    ("bronze", "files"): "file string, file_date string",
+    ("bronze", "posts"): f"{RAW}, source_file string, day_collect int, batch string",
+    # Files of the finished batches; rows of a batch that is not listed are not read.
+    ("bronze", "files"): "file string, file_date string, batch string",
+    # Digests of the posts that streams have landed.
+    ("bronze", "ledger"): "h1 long, h2 long, month_collect int, day_collect int, batch string",
     ("silver", "posts"): f"{SILVER_POSTS}, load int",
     ("silver", "time"): TIME,
     ("silver", "author"): AUTHOR,
     # One row per finished load: the greatest raw creation time and the last post key.
     ("silver", "loads"): "mark timestamp, last_post long",
     # Digests of the loaded posts, for late and repeated ones.
-    ("silver", "ledger"): "h1 long, h2 long, day_collect int, load int",
+    ("silver", "ledger"): "h1 long, h2 long, month_collect int, day_collect int, load int",
+    # Bronze batches that a load has read in full.
+    ("silver", "reads"): "batch string, load int",
+    # Words of the corpus with their counts, learnt once.
+    ("silver", "vocabulary"): "word string, n long",
     ("gold", "posts"): GOLD_POSTS,
     ("gold", "time"): TIME,
     ("gold", "author"): AUTHOR,
@@ -41,7 +48,8 @@ TABLES = {
     ),
 }
 PARTITIONED = {
-    ("bronze", "posts"): ["day_collect"],
+    ("bronze", "posts"): ["day_collect", "batch"],
+    ("bronze", "ledger"): ["day_collect", "batch"],
     ("silver", "posts"): ["day_collect", "load"],
     ("silver", "ledger"): ["day_collect", "load"],
     ("gold", "posts"): ["day_collect"],

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from topiclake.plans.bronze import with_day
-from topiclake.plans.silver import TextPlan, keyword_words, load_posts
+from topiclake.plans.bronze import with_day, with_month
+from topiclake.plans.silver import TextPlan, digests, load_posts, seen_in
 from topiclake.schemas import RAW, TABLES
+from topiclake.session import stage
 from topiclake.sources.catalog import Catalog
 from topiclake.sources.feed import CSV
 
@@ -25,32 +26,44 @@ def read_landing(
     return reader.csv(landing).withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def recollected_once(posts: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Drop posts collected again within ``delay``; the state keeps digests instead of texts."""
-    digest = F.sha2(F.concat_ws("\x00", "author", "text"), 256)
-    return (
-        posts.withColumn("_d", digest).withWatermark("created_at", delay)
-        .dropDuplicatesWithinWatermark(["created_at", "_d"]).drop("_d")
-    )
+def recollected_once(posts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Posts that are neither repeated in ``posts`` nor in the ledger, however old they are."""
+    fresh = digests(posts).dropDuplicates(["h1", "h2"])
+    return fresh.join(seen_in(ledger, posts), ["day_collect", "h1", "h2"], "left_anti")
 
 
 def start_bronze(
     catalog: Catalog, landing: str, checkpoint: str, archive: str | None = None,
     once: bool = True, files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Append new files to the bronze table; the checkpoint knows which files are done."""
+    """Append new files to the bronze table; the checkpoint knows which files are done.
+
+    With ``once`` a post that was landed before is dropped: its digest is in the ledger, so nothing
+    depends on how late it comes. A batch that is run again replaces the partitions of its first try.
+    """
+
+    def land(batch: DataFrame, number: int) -> None:
+        name = f"stream-{number}"
+        rows = with_day(batch)
+        ledger = catalog.load("bronze", "ledger").filter(F.col("batch") != name)
+        rows = recollected_once(rows, ledger) if once else digests(rows)
+        rows = stage(with_month(rows).withColumn("batch", F.lit(name)), "landed")
+        catalog.replace_load(rows, "bronze", "posts")
+        catalog.replace_load(rows, "bronze", "ledger")
+        listed = [(None, None, name)]
+        catalog.append(
+            catalog.spark.createDataFrame(listed, TABLES["bronze", "files"]), "bronze", "files"
+        )
+
     posts = read_landing(catalog.spark, landing, archive, files_per_batch)
-    if once:
-        posts = recollected_once(posts)
     return (
-        with_day(posts).writeStream.format("parquet").partitionBy("day_collect")
-        .option("checkpointLocation", checkpoint).option("path", catalog.path("bronze", "posts"))
-        .outputMode("append").trigger(availableNow=True).start()
+        posts.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
 def start_silver(
-    catalog: Catalog, checkpoint: str, text_plan: TextPlan = keyword_words,
+    catalog: Catalog, checkpoint: str, text_plan: TextPlan | None = None,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Load new bronze rows into the star, batch by batch.
@@ -61,10 +74,10 @@ def start_silver(
     reader = catalog.spark.readStream.schema(TABLES["bronze", "posts"])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    posts = reader.parquet(catalog.path("bronze", "posts")).drop("source_file")
+    posts = reader.parquet(catalog.path("bronze", "posts")).drop("source_file", "batch")
 
     def load(batch: DataFrame, _: int) -> None:
-        load_posts(catalog, batch, text_plan, late_safe=True)
+        load_posts(catalog, batch, text_plan)
 
     return (
         posts.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

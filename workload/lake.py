@@ -440,8 +440,7 @@ def _(s, d):
 @query(
     "x2_vocabulary",
     f"""WITH {v.CLEANED}, w AS (SELECT unnest(string_split(post, ' ')) AS word FROM cleaned)
-    SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word HAVING count(*) >= 2
-    ORDER BY n DESC, word LIMIT {segment.MAX_WORDS}""",
+    SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word HAVING count(*) >= 2""",
 )
 def _(s, d):
     return segment.learn_vocabulary(v.cleaned(s, d), "post")
@@ -476,7 +475,7 @@ def _(s, d):
     feed.write_csv(spread(raw(s, d)), f"{path}/first")
     feed.write_csv(spread(raw(s, d)), f"{path}/second")
     streams.start_bronze(out, path, new_path(s, "progress")).awaitTermination()
-    return plain_time(out.load("bronze", "posts").drop("source_file", "day_collect"))
+    return plain_time(out.load("bronze", "posts").drop("source_file", "day_collect", "batch"))
 
 
 @query(
