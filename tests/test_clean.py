@@ -87,12 +87,15 @@ def test_lower_and_stop_words_idempotent(spark):
     assert once.collect() == twice.collect()
 
 
-def test_long_stop_list_uses_a_join(spark):
-    df = spark.createDataFrame([(1, "aaa bbb ccc"), (2, "bbb"), (3, "")], "k int, t string")
-    stops = spark.createDataFrame([("bbb",), ("zzz",)], "word string")
-    short = remove_stopwords(df, "t", stops).orderBy("k").collect()
-    long = remove_stopwords(df, "t", stops, max_words=1, key="k").orderBy("k")
-    assert long.select("k", "t").collect() == short
+def test_long_stop_list_gives_equal_rows(spark):
+    """Nulls, repeated keys and repeated rows included."""
+    rows = [(1, "aaa bbb ccc"), (2, "bbb"), (3, ""), (3, "ddd"), (3, "ccc aaa"), (3, "ddd"), (None, None), (4, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    stops = spark.createDataFrame([("bbb",), ("zzz",), (None,)], "word string")
+    order = ["k", "t"]
+    short = remove_stopwords(df, "t", stops).orderBy(*order).collect()
+    long = remove_stopwords(df, "t", stops, max_words=1).orderBy(*order)
+    assert long.collect() == short and len(short) == len(rows)
     assert "BatchEvalPython" not in long._jdf.queryExecution().toString()
 
 

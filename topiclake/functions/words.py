@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from topiclake.functions.clean import SPACE
-from topiclake.session import SMALL_ROWS
+from topiclake.session import SMALL_ROWS, stage
 
 # Common English stop words.
 ENGLISH = """
@@ -52,30 +52,29 @@ def drop_words(text: Column | str, stops: Iterable[str], min_length: int = MIN_L
 
 def remove_stopwords(
     df: DataFrame, text: str, stop_df: DataFrame, min_length: int = MIN_LENGTH,
-    max_words: int = SMALL_ROWS, key: str | None = None,
+    max_words: int = SMALL_ROWS,
 ) -> DataFrame:
-    """Remove the words of a one-column table from ``text``.
+    """Remove the words of a one-column table from ``text``; a null text stays null.
 
     A list that a count proves small goes into the expression. A longer one is anti-joined word by
-    word and the text put together again by ``key``.
+    word, and the texts are put together again by a number that each row gets for it. Both ways give
+    equal rows, whatever keys the table has.
     """
     word = stop_df.columns[0]
-    found = [r[0] for r in stop_df.select(word).distinct().limit(max_words + 1).collect()]
+    found = [r[0] for r in stop_df.select(word).dropna().distinct().limit(max_words + 1).collect()]
     if len(found) <= max_words:
         return df.withColumn(text, drop_words(text, found, min_length))
-    if key is None:
-        raise ValueError("a long stop list needs the key of the rows")
-    exploded = df.select(key, F.posexplode(F.split(text, f"[{SPACE}]+")).alias("_pos", "_word"))
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    exploded = rows.select("_row", F.posexplode(F.split(text, f"[{SPACE}]+")).alias("_pos", "_word"))
     kept = exploded.filter(F.length("_word") >= min_length).join(
         stop_df.select(F.col(word).alias("_word")), "_word", "left_anti"
     )
-    whole = kept.groupBy(key).agg(
+    whole = kept.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_word"))).alias("_w")
     )
-    joined = df.drop(text).join(whole, key, "left")
-    return joined.withColumn(
-        text, F.coalesce(F.array_join(F.col("_w._word"), " "), F.lit(""))
-    ).drop("_w")
+    joined = rows.join(whole, "_row", "left")
+    left = F.coalesce(F.array_join(F.col("_w._word"), " "), F.lit(""))
+    return joined.withColumn(text, F.when(F.col(text).isNotNull(), left)).select(*df.columns)
 
 
 @F.arrow_udf(BooleanType())

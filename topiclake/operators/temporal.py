@@ -9,19 +9,19 @@ from topiclake.operators.words import COUNTERS
 
 
 def posts_per_day(df: DataFrame, ts: str) -> DataFrame:
-    """Posts per day of the month, with its weekdays as one column.
-
-    Days of the month of different months fall together; days of different weekdays stay apart.
-    """
+    """Posts per date, with its day of the month and weekday."""
     return df.groupBy(
-        F.dayofmonth(ts).alias("DIA"), F.date_format(ts, "EEEE").alias("DIA_SEMANA")
+        F.to_date(ts).alias("DATA"),
+        F.dayofmonth(ts).alias("DIA"),
+        F.date_format(ts, "EEEE").alias("DIA_SEMANA"),
     ).agg(F.count("*").alias("posts"))
 
 
 def posts_per_day_and_hour(df: DataFrame, ts: str) -> DataFrame:
-    return df.groupBy(F.dayofmonth(ts).alias("DIA"), F.hour(ts).alias("HORA")).agg(
-        F.count("*").alias("posts")
-    )
+    """Posts per date and hour, with the day of the month."""
+    return df.groupBy(
+        F.to_date(ts).alias("DATA"), F.dayofmonth(ts).alias("DIA"), F.hour(ts).alias("HORA")
+    ).agg(F.count("*").alias("posts"))
 
 
 def _mean_with_interval(value: str) -> list[Column]:
@@ -36,9 +36,9 @@ def _mean_with_interval(value: str) -> list[Column]:
 
 
 def weekday_means(df: DataFrame, ts: str) -> DataFrame:
-    """Mean daily count per weekday, Monday first."""
+    """Mean count per date of each weekday, Monday first."""
     daily = df.groupBy(
-        F.dayofmonth(ts).alias("DIA"),
+        F.to_date(ts).alias("DATA"),
         F.weekday(ts).alias("weekday"),
         F.date_format(ts, "EEEE").alias("DIA_SEMANA"),
     ).agg(F.count("*").alias("posts"))
@@ -47,7 +47,7 @@ def weekday_means(df: DataFrame, ts: str) -> DataFrame:
 
 
 def hour_means(df: DataFrame, ts: str) -> DataFrame:
-    """Mean over the days of the count in each hour of the day."""
+    """Mean over the dates of the count in each hour of the day."""
     return (
         posts_per_day_and_hour(df, ts).groupBy("HORA").agg(*_mean_with_interval("posts"))
     )

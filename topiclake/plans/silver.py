@@ -11,7 +11,7 @@ from topiclake.functions.calendar import calendar_parts, to_minute
 from topiclake.functions.clean import clean_text
 from topiclake.functions.keywords import extract_keywords
 from topiclake.functions.segment import learn_vocabulary, segment_words
-from topiclake.functions.words import ENGLISH, drop_words
+from topiclake.functions.words import ENGLISH, drop_words, remove_stopwords
 from topiclake.operators.keys import assign_keys
 from topiclake.plans.bronze import batches as bronze_batches
 from topiclake.plans.bronze import posts as bronze_posts
@@ -31,6 +31,16 @@ def cleaned_words(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("yaked", drop_words(clean_text("text"), ENGLISH)).drop("text")
 
 
+def without_words(stops: DataFrame) -> TextPlan:
+    """A plan like :func:`cleaned_words` with the stop words of a table."""
+
+    def plan(df: DataFrame, key: str) -> DataFrame:
+        cleaned = df.withColumn("yaked", clean_text("text")).drop("text")
+        return remove_stopwords(cleaned, "yaked", stops)
+
+    return plan
+
+
 def keyword_words(df: DataFrame, key: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """``yaked`` = words of the keywords of the cleaned, divided text.
 

@@ -304,7 +304,8 @@ def _(s, d):
 
 @query(
     "a5_j10_posts_per_day",
-    'SELECT CAST(day(ts) AS INT) AS "DIA", dayname(ts) AS "DIA_SEMANA", count(*) AS posts '
+    'SELECT CAST(ts AS DATE) AS "DATA", CAST(day(ts) AS INT) AS "DIA", dayname(ts) AS "DIA_SEMANA", '
+    "count(*) AS posts "
     "FROM events GROUP BY ALL",
 )
 def _(s, d):
@@ -313,7 +314,8 @@ def _(s, d):
 
 @query(
     "a6_posts_per_day_hour",
-    'SELECT CAST(day(ts) AS INT) AS "DIA", CAST(hour(ts) AS INT) AS "HORA", count(*) AS posts '
+    'SELECT CAST(ts AS DATE) AS "DATA", CAST(day(ts) AS INT) AS "DIA", '
+    'CAST(hour(ts) AS INT) AS "HORA", count(*) AS posts '
     "FROM events GROUP BY ALL",
 )
 def _(s, d):
@@ -333,7 +335,7 @@ def _rounded(df, cols=("mean_posts", "low", "high")):
 
 @query(
     "a7_t7_weekday_means",
-    f"""WITH t AS (SELECT day(ts) AS dd, CAST(isodow(ts) - 1 AS INT) AS weekday,
+    f"""WITH t AS (SELECT CAST(ts AS DATE) AS dd, CAST(isodow(ts) - 1 AS INT) AS weekday,
                    dayname(ts) AS "DIA_SEMANA", count(*) AS posts FROM events GROUP BY ALL)
     SELECT weekday, "DIA_SEMANA", {INTERVAL} FROM t GROUP BY ALL ORDER BY weekday""",
 )
@@ -343,7 +345,7 @@ def _(s, d):
 
 @query(
     "a8_hour_means",
-    f"""WITH t AS (SELECT day(ts) AS dd, CAST(hour(ts) AS INT) AS "HORA", count(*) AS posts
+    f"""WITH t AS (SELECT CAST(ts AS DATE) AS dd, CAST(hour(ts) AS INT) AS "HORA", count(*) AS posts
                    FROM events GROUP BY ALL)
     SELECT "HORA", {INTERVAL} FROM t GROUP BY ALL""",
 )
