@@ -46,6 +46,8 @@ def _uniform(ids: np.ndarray, seed: int, step: int) -> np.ndarray:
 
 
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    middle = c.mean(0)
+    x, c = x - middle, c - middle
     d = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)
     return np.maximum(d, 0.0)
 

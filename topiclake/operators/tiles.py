@@ -176,11 +176,13 @@ def with_metric(df: DataFrame, vec: str, metric: str) -> DataFrame:
 
 
 def distances(a: Tile, b: Tile, same: bool, metric: str) -> np.ndarray:
-    product = a.x @ b.x.T
     if metric == "cosine":
-        d = np.maximum(1.0 - product, 0.0)
+        d = np.maximum(1.0 - a.x @ b.x.T, 0.0)
     else:
-        d = (a.x * a.x).sum(1)[:, None] + (b.x * b.x).sum(1)[None, :] - 2.0 * product
+        # Around a common centre, squares are as small as the spread and keep their digits.
+        centre = a.x.mean(0) if len(a.x) else 0.0
+        x, y = a.x - centre, b.x - centre
+        d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
         d = np.sqrt(np.maximum(d, 0.0))
     if same:
         np.fill_diagonal(d, 0.0)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.ml.feature import IDFModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topiclake.functions.vectorize import vectorize
+from topiclake.functions.vectorize import fit_idf, vectorize
 from topiclake.sources.catalog import Catalog, high_water
 
 
@@ -16,12 +19,31 @@ def with_created_at(posts: DataFrame, time: DataFrame) -> DataFrame:
     return posts.join(time.select("SK_time", "created_at"), "SK_time")
 
 
-def refresh(catalog: Catalog, encoder: Callable | None = None, idf=None) -> None:
+def word_weights(catalog: Catalog) -> IDFModel | None:
+    """Document frequencies of the lake's words; learnt from silver once, then kept, so that old and
+    new vectors stay comparable. None while there are no posts."""
+    path = catalog.path("gold", "idf")
+    try:
+        return IDFModel.load(path)
+    except (AnalysisException, Py4JJavaError):
+        pass  # not learnt yet
+    posts = catalog.load("silver", "posts")
+    if posts.isEmpty():
+        return None
+    model = fit_idf(posts.select("yaked"), "yaked")
+    model.write().save(path)
+    return model
+
+
+def refresh(catalog: Catalog, encoder: Callable | None = None, idf: IDFModel | None = None) -> None:
     """Append new posts and minutes, replace the authors.
 
     What is new is told by the keys, which only grow; by creation time, posts of the minute in
-    which the last load ended would be lost.
+    which the last load ended would be lost. Hashed words are weighted by the lake's document
+    frequencies unless others are given.
     """
+    if encoder is None and idf is None:
+        idf = word_weights(catalog)
     for table, key in (("time", "SK_time"), ("posts", "SK_post")):
         mark = high_water(catalog.load("gold", table), key) or 0
         fresh = catalog.load("silver", table).filter(F.col(key) > mark)

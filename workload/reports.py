@@ -8,6 +8,8 @@ from topiclake.functions.calendar import calendar_parts, to_minute
 from topiclake.functions.clean import clean_text
 from topiclake.functions.words import first_part, is_ascii_alnum, tokens
 from topiclake.operators import authors, interactions, labels, temporal, words
+from topiclake.plans import silver
+from topiclake.session import stage
 from workload import views as v
 from workload.registry import registry
 
@@ -353,16 +355,24 @@ def _(s, d):
     return _rounded(temporal.hour_means(v.event_posts(s, d), "created_at"))
 
 
+def _star(s, d):
+    """Labelled posts with surrogate keys, joined with the author and time dimensions."""
+    rows = labels.clustered(v.labelled(s, d, text=False))
+    rows = rows.withColumn("created_at", to_minute(F.col("created_at").cast("timestamp")))
+    none = s.createDataFrame([], "created_at timestamp, author string")
+    time = stage(silver.new_times(rows.select("created_at"), none, 1), "time")
+    author = stage(silver.new_authors(rows.select("author"), none, 1), "author")
+    facts = silver.with_keys(rows, time, author).drop("created_at", "author")
+    return labels.star(facts, author, time)
+
+
 @query(
     "a12_j8_hourly_medians",
     f"""WITH {v.LABELLED_ROWS} SELECT labels, CAST(hour(created_at) AS INT) AS "HORA",
     {_medians(words.COUNTERS)} FROM labelled WHERE labels <> -1 GROUP BY ALL""",
 )
 def _(s, d):
-    rows = labels.clustered(v.labelled(s, d, text=False))
-    return temporal.hourly_medians(
-        rows.withColumn("HORA", F.hour("created_at")), "labels", "HORA"
-    )
+    return temporal.hourly_medians(_star(s, d), "labels", "HORA")
 
 
 # ------------------------------------------------------------ authors
@@ -385,6 +395,15 @@ def _(s, d):
     return activity.withColumn("mean_likes", F.round("mean_likes", 6))
 
 
+@query(
+    "j7_author_dimension",
+    AUTHORS + " SELECT labels, author, count(*) AS posts FROM a GROUP BY ALL",
+)
+def _(s, d):
+    joined = authors.with_short_author(_star(s, d))
+    return joined.groupBy("labels", "author").agg(F.count("*").alias("posts"))
+
+
 @query(
     "t3_top_authors",
     AUTHORS
