@@ -207,7 +207,32 @@ def op2_winnow_decontamination(spark, sf_dir):
     )
 
 
-@query("op8_bottom_k_near_duplicates")
+@query(
+    "op8_bottom_k_near_duplicates",
+    rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), {_AZ}), '[ \t-\r]+'), lambda x: x <> '') AS words
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT r, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS shingle
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words), 2))) AS i FROM d WHERE len(words) > 0)
+),
+sizes AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL
+),
+links AS (
+  SELECT x, y FROM shared JOIN sizes m ON m.r = x JOIN sizes n ON n.r = y
+  WHERE 100 * c >= 80 * (m.n + n.n - c)
+),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, sides.y FROM reach JOIN sides ON reach.t = sides.x),
+least AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.t GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN least USING (r) LEFT JOIN sizes USING (r)""",
+)
 def op8_bottom_k_near_duplicates(spark, sf_dir):
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, limit=(80, 100))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
