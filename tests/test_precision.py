@@ -3,7 +3,7 @@
 import numpy as np
 
 from topiclake.operators.kmeans import _squared
-from topiclake.operators.tiles import Tile, distances
+from topiclake.operators.tiles import Tile, distances, strip_tiles, tile_join
 from topiclake.plans import sweep
 from topiclake.sources.catalog import Catalog
 
@@ -29,3 +29,26 @@ def test_runs_and_labels_are_kept(spark, tmp_path):
     fitted = spark.createDataFrame([(1, 0), (2, -1)], "SK_post long, labels int")
     sweep.record_labels(catalog, posts, fitted)
     assert {tuple(r) for r in catalog.load("results", "labels").collect()} == {(1, "a", 0), (2, "b", -1)}
+
+
+def test_strips_give_the_blocks_of_single_tiles(spark):
+    """Any strip size sees every two rows once, and copies a tile once per strip."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    other = spark.createDataFrame(rows[:23], "id long, v array<double>")
+
+    def pairs(a, b, same):
+        i, j = np.triu_indices(len(a.ids), 1) if same else map(np.ravel, np.indices((len(a.ids), len(b.ids))))
+        return {"a": a.ids[i], "b": b.ids[j]}
+
+    def listed(strip, right=None):
+        out = tile_join(df, pairs, "a long, b long", "id", "v", right=right, tile_rows=6, strip=strip)
+        return sorted((r.a, r.b) if right is not None else (min(r.a, r.b), max(r.a, r.b)) for r in out.collect())
+
+    every = sorted((i, j) for i in range(60) for j in range(i + 1, 60))
+    crossed = sorted((i, j) for i in range(60) for j in range(23))
+    for strip in (1, 3, 50):
+        assert listed(strip) == every
+        assert listed(strip, other) == crossed
+    assert strip_tiles(10_000, 8) == 8 and strip_tiles(5, 8) == 1

@@ -3,7 +3,7 @@
 Rows are hashed to tiles of bounded size. Every two tiles meet in one task, where a kernel looks at
 the block of similarities with one matrix product and returns a reduced answer: a count, a minimum,
 a few nearest, a spanning forest. The block itself never leaves the task, so a dense group of
-near-copies costs arithmetic but no rows, and no task ever holds more than two tiles.
+near-copies costs arithmetic but no rows, and no task ever holds more than two strips of tiles.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 TILE_BYTES = 16 << 20
 MIN_TILE_ROWS = 512
 MAX_TASKS = 20_000
+# Tiles of one strip: two strips are in a task's memory.
+STRIP_TILES = 8
 
 
 @dataclass
@@ -90,6 +92,11 @@ def tile_count(df: DataFrame, vec: str, tile_rows: int | None = None) -> int:
     return max(by_memory, by_cores, 1)
 
 
+def strip_tiles(tiles: int, cores: int) -> int:
+    """Tiles in a strip: as many as a task's memory takes, and few enough to keep the cores busy."""
+    return max(1, min(STRIP_TILES, tiles // math.ceil(math.sqrt(8 * cores))))
+
+
 def tile_join(
     df: DataFrame,
     kernel: Kernel,
@@ -99,48 +106,76 @@ def tile_join(
     extra: dict[str, str] | None = None,
     right: DataFrame | None = None,
     tile_rows: int | None = None,
+    strip: int | None = None,
 ) -> DataFrame:
     """Run ``kernel(a, b, same)`` on every two tiles of ``df``, or on every tile of ``df`` against
-    every tile of ``right``. ``extra`` names further columns and their numpy types."""
+    every tile of ``right``. ``extra`` names further columns and their numpy types.
+
+    A task takes two strips of tiles and looks at their tiles two by two, so a tile is copied once
+    for each strip and not for each tile."""
     extra = extra or {}
     tiles = tile_count(df, vec, tile_rows)
-    one = _pack(df, key, vec, extra, tiles)
-    if right is None:
-        other = tiles
-        lo, hi = F.least("tile", "other"), F.greatest("tile", "other")
-        met = one.withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<long>"))
-        ).withColumn("pair", lo * tiles + hi)
-        met = met.drop("other").withColumn("side", F.lit(0))
-        n_pairs = tiles * (tiles + 1) // 2
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = strip or strip_tiles(tiles, cores)
+    strips = math.ceil(tiles / size)
+    one = _pack(df, key, vec, extra, tiles).withColumn(
+        "strip", F.floor(F.col("tile") / F.lit(size)).cast("long")
+    )
+    symmetric = right is None
+
+    def meet(packed: DataFrame, others: int) -> DataFrame:
+        """A copy of each tile for every strip on the other side."""
+        numbers = F.sequence(F.lit(0), F.lit(others - 1)).cast("array<long>")
+        return packed.withColumn("other", F.explode(numbers))
+
+    if symmetric:
+        lo, hi = F.least("strip", "other"), F.greatest("strip", "other")
+        met = meet(one, strips).withColumn("pair", lo * strips + hi).withColumn("side", F.lit(0))
+        other_strips, n_pairs = strips, strips * (strips + 1) // 2
     else:
         other = tile_count(right, vec, tile_rows)
-        two = _pack(right, key, vec, extra, other)
-        left_met = one.withColumn(
-            "o", F.explode(F.sequence(F.lit(0), F.lit(other - 1)).cast("array<long>"))
-        ).withColumn("pair", F.col("tile") * other + F.col("o"))
-        right_met = two.withColumn(
-            "o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<long>"))
-        ).withColumn("pair", F.col("o") * other + F.col("tile"))
+        other_size = strip or strip_tiles(other, cores)
+        other_strips = math.ceil(other / other_size)
+        two = _pack(right, key, vec, extra, other).withColumn(
+            "strip", F.floor(F.col("tile") / F.lit(other_size)).cast("long")
+        )
+        left_met = meet(one, other_strips).withColumn(
+            "pair", F.col("strip") * other_strips + F.col("other")
+        )
+        right_met = meet(two, strips).withColumn(
+            "pair", F.col("other") * other_strips + F.col("strip")
+        )
         met = left_met.withColumn("side", F.lit(0)).unionByName(
             right_met.withColumn("side", F.lit(1))
-        ).drop("o")
-        n_pairs = tiles * other
-    symmetric = right is None
+        )
+        n_pairs = strips * other_strips
+    met = met.drop("other")
+
+    def blocks(table: pa.Table):
+        """Every two tiles that meet in a task; the lower one of a single table comes first."""
+        tile, side, own = (table.column(c).to_pylist() for c in ("tile", "side", "strip"))
+        rows = sorted(range(table.num_rows), key=lambda i: (side[i], tile[i]))
+        if not symmetric:
+            left = [i for i in rows if side[i] == 0]
+            yield from ((i, j, False) for i in left for j in rows if side[j] == 1)
+            return
+        within = table.column("pair")[0].as_py()
+        within = within // other_strips == within % other_strips
+        for i in rows:
+            for j in rows:
+                if tile[i] <= tile[j] and (within or own[i] != own[j]):
+                    yield i, j, i == j
 
     def run(table: pa.Table) -> pa.Table:
-        pair = table.column("pair")[0].as_py()
-        sides = table.column("side").to_pylist() if not symmetric else (
-            table.column("tile").to_pylist()
-        )
-        rows = sorted(range(table.num_rows), key=lambda i: sides[i])
-        out = None
-        if symmetric and pair // other == pair % other:
-            a = _unpack(table, rows[0], extra)
-            out = kernel(a, a, True)
-        elif len(rows) == 2:
-            out = kernel(_unpack(table, rows[0], extra), _unpack(table, rows[1], extra), False)
-        return pa.table(out) if out is not None else pa.table({n: [] for n in names}).cast(empty)
+        out = []
+        for i, j, same in blocks(table):
+            a = _unpack(table, i, extra)
+            found = kernel(a, a if same else _unpack(table, j, extra), same)
+            if found is not None:
+                out.append(pa.table(found))
+        if not out:
+            return pa.table({n: [] for n in names}).cast(empty)
+        return pa.concat_tables(out, promote_options="permissive")
 
     types = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
     fields = [f.split() for f in schema.split(", ")]
