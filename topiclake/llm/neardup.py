@@ -15,7 +15,7 @@ counts the intersections of one tile's sets exactly, and returns a link at most
 component. Dense lists so cost arithmetic, not rows, and no link within a list is lost.
 
 What is left out: that two sets of just the limit's similarity share too few runs (20 to 30 are
-expected), or that the estimate is 5.5 deviations off, has a probability below 1e-5 for each such
+expected), or that the estimate is 5.5 deviations off, has a probability below 2e-5 for each such
 pair; sets of up to ``size`` shingles are always found.
 """
 
@@ -42,8 +42,10 @@ SPARE = 2
 # quarter at most, so of two sets either both are that small or both are large enough for three.
 SMALL = 30
 THREE = 9
+# Lists, besides the spared ones, that large similar sets share at least.
+SHARED = 3
 # Members of a list that meet in a task, on each side.
-TILE = 256
+TILE = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
@@ -147,7 +149,7 @@ def _lists(nodes: DataFrame, spare: int) -> DataFrame:
         shared.withColumn("_place", place)
         .withColumn("weight", F.sum("members").over(own))
         .filter(F.col("_place") > many)
-        .select("key", "node", "members", "weight")
+        .select("key", "node", "n", "members", "weight")
     )
 
 
@@ -173,7 +175,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: in
     return stage(with_texts.mapInArrow(_similar(shingle, *limit), "u long, v long"), "links")
 
 
-def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1 << 10) -> np.ndarray:
     """Sizes of the intersections of all sets on the left with all on the right.
 
     A few thousand values at a time become columns of two 0/1 matrices, whose product counts.
@@ -231,18 +233,26 @@ def _tiled(lists: DataFrame, leaders: DataFrame, roots: DataFrame, texts: DataFr
     of the former meets each of the latter. Members are copied as often as the other side has blocks.
     """
     placed = lists.filter("members > 2").join(roots, "node", "left").select(
-        "key", "node", "members", F.coalesce("root", "node").alias("root")
+        "key", "node", "n", F.coalesce("root", "node").alias("root")
     )
     lead = leaders.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select(
         "key", F.coalesce("root", "v").alias("_main")
     )
     placed = placed.join(lead, "key").withColumn("out", F.col("root") != F.col("_main"))
-    open_lists = placed.groupBy("key").agg(
-        F.count("*").alias("_all"), F.count_if("out").alias("_out")
-    ).filter("_out > 0")
-    members = stage(
-        placed.join(open_lists, "key").select("key", "node", "root", "out", "_all", "_out"), "open"
-    )
+
+    def of_open_lists(rows: DataFrame) -> DataFrame:
+        """Members of the lists that hold several components, with the sizes of the lists."""
+        sizes = rows.groupBy("key").agg(
+            F.count("*").alias("_all"), F.count_if("out").alias("_out"),
+            F.min("root").alias("_low"), F.max("root").alias("_high"),
+        ).filter("_out > 0 and _low <> _high")
+        return rows.join(sizes.select("key", "_all", "_out"), "key")
+
+    first = stage(of_open_lists(placed), "open")
+    # A pair that is not connected yet shares only open lists, and similar sets share several.
+    several = F.count("*").over(Window.partitionBy("node")) >= SHARED
+    first = first.withColumn("_several", several | (F.col("n") <= SMALL)).filter("_several")
+    members = stage(of_open_lists(first.drop("_all", "_out", "_several")), "open")
     if members.isEmpty():
         return None
     wanted = members.select("node").distinct()
