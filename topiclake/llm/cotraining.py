@@ -6,7 +6,7 @@ rows of which it is confident, and hands them to the other. In the end both are
 labelled rows that were held out, and a third, small model combines the calibrated views. All
 documents are scored in one narrow pass.
 
-The training rows are a bounded sample, those with the least digests of their keys; the model that
+The training rows are a bounded sample, those with the least hashes of their keys; the model that
 travels with the tasks has a fixed size.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiclake.llm.columns import shield
+from topiclake.llm.sampling import least_rows
 from topiclake.llm.text import LOWER, SOLID, Words, slices
 
 # Rows in the training sample, labelled and unlabelled, at most.
@@ -224,9 +225,9 @@ def fit(
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_label"))
     order = F.md5(F.col("_id").cast("string"))
-    chosen = known.orderBy(order).limit(labelled)
+    chosen = least_rows(known, F.xxhash64(order), labelled)
     rest = docs.select(F.col(key).alias("_id")).filter("_id is not null")
-    rest = rest.join(known.select("_id"), "_id", "left_anti").distinct().orderBy(order).limit(unlabelled)
+    rest = least_rows(rest.join(known.select("_id"), "_id", "left_anti"), F.xxhash64(order), unlabelled)
     sample = chosen.unionByName(rest.withColumn("_label", F.lit(-1)))
     # At most the sum of both bounds in rows of a key and a label.
     picked = _documents(docs, key, text, lang, source, size).join(F.broadcast(sample), "_id")
@@ -294,5 +295,16 @@ def keep_good(
     size: str = "n_chars",
 ) -> DataFrame:
     """The rows of ``docs`` that the model does not reject."""
+    if model is None:
+        return docs
     docs, restore = shield(docs, text, lang, source, size)
-    return restore(score(docs, model, docs.columns, text, lang, source, size).filter("kept"))
+    at = [docs.columns.index(c) for c in (lang, source, size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, text):
+                meta = meta_view(*(rows.column(i).to_pylist() for i in at), offsets)
+                good = model.scores([text_view(data, offsets), meta]) >= model.threshold
+                yield rows.filter(pa.array(good))
+
+    return restore(docs.mapInArrow(run, docs.schema))

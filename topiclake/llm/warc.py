@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topiclake.llm.sampling import least_rows
 from topiclake.session import new_path, stage
 
 # Fixed values of the formats.
@@ -151,13 +152,13 @@ def write_archives(
     """
     spark = pages.sparkSession
     rows = plan_records(pages, key, url, html, least_bytes)
-    order = F.xxhash64("_page", "_digest")
-    sample = rows.select(F.substring("_payload", 1, SAMPLE_BYTES).alias("p"), order.alias("o"))
-    sample = sample.filter(F.octet_length("p") > 0).orderBy("o").limit(SAMPLE_RECORDS)
+    bodies = pages.select(F.encode(F.col(html), "UTF-8").alias("p")).filter(F.octet_length("p") > 0)
+    sample = least_rows(bodies, F.xxhash64("p"), SAMPLE_RECORDS)
+    sample = sample.select(F.substring("p", 1, SAMPLE_BYTES).alias("p"))
     dictionary = build_dictionary(
         [
             record("response", "0", "http://host/", "A" * 32, bytes(r.p), len(r.p), date)
-            for r in sample.collect()
+            for r in sorted(sample.collect())
         ]
     )
 
