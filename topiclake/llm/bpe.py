@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiclake.llm.columns import shield
-from topiclake.llm.text import buffers, large, ragged, run_hashes, slices
+from topiclake.llm.text import ragged, run_hashes, slices
 
 # White space beyond categories, and the contractions that are tokens of their own.
 WHITE = (
