@@ -11,8 +11,8 @@ fewest changes. A candidate passes if the similarity that the union of both sket
 far below the limit, and is confirmed on the whole sets. Lists whose members are then connected are
 settled, so a group of copies costs one link per member. In the others each member outside the
 leader's component is compared with all members: the list is cut into tiles of bounded size, a task
-counts the intersections of one tile's sets exactly, and returns a link at most for each member and
-component. Dense lists so cost arithmetic, not rows, and no link within a list is lost.
+counts the intersections of one tile's sets, and returns a link at most for each member and
+component, the most similar one. Dense lists so cost arithmetic, not rows, and no link within a list is lost.
 
 What is left out: that two sets of just the limit's similarity share too few runs (20 to 30 are
 expected), or that the estimate is 5.5 deviations off, has a probability below 2e-5 for each such
@@ -215,9 +215,11 @@ def _tile_links(numerator: int, denominator: int):
             sizes = np.array([len(s) for s in sets])
             union = sizes[left][:, None] + sizes[None] - common
             linked = (denominator * common >= numerator * union) & (root[left][:, None] != root[None])
-            for i, row in zip(left.tolist(), linked):
+            share = common / np.maximum(union, 1)
+            for i, row, similar in zip(left.tolist(), linked, share):
                 hits = right[row]
-                # One link to each other component.
+                # One link to each other component, the best one.
+                hits = hits[np.argsort(-similar[row], kind="stable")]
                 _, one = np.unique(root[hits], return_index=True)
                 u += [int(node[i])] * len(one)
                 v += node[hits[one]].tolist()
@@ -226,7 +228,10 @@ def _tile_links(numerator: int, denominator: int):
     return run
 
 
-def _tiled(lists: DataFrame, leaders: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, limit: tuple) -> DataFrame | None:
+def _tiled(
+    lists: DataFrame, leaders: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame,
+    shingle: int, limit: tuple, size: int,
+) -> DataFrame | None:
     """Links within the lists that hold several components; None if there is no such list.
 
     Members outside the leader's component are dealt over blocks, and so are all members; each block
@@ -260,12 +265,13 @@ def _tiled(lists: DataFrame, leaders: DataFrame, roots: DataFrame, texts: DataFr
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "_text"):
-                found = pa.array(shingle_sets(data, offsets, shingle), pa.list_(pa.int64()))
+                whole = shingle_sets(data, offsets, shingle)
+                found = pa.array([(x >> 32).astype(np.int32) for x in whole], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), found], ["node", "_set_values"])
 
     node_sets = stage(
         texts.join(wanted, "node", "left_semi").select("node", "_text").mapInArrow(
-            sets, "node long, _set_values array<long>"
+            sets, "node long, _set_values array<int>"
         ),
         "sets",
     )
@@ -285,7 +291,9 @@ def _tiled(lists: DataFrame, leaders: DataFrame, roots: DataFrame, texts: DataFr
     found = both.join(node_sets, "node").groupBy("key", "a", "b").applyInArrow(
         _tile_links(*limit), "u long, v long"
     )
-    return stage(found.distinct(), "tile_links")
+    # Halves of the hashes travel; what they link is confirmed on the whole sets.
+    found = stage(found.distinct(), "tile_links")
+    return _confirmed(found, nodes, texts, shingle, limit, size)
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -331,7 +339,7 @@ def near_duplicates(
     pairs = lists.join(leaders, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
     links = _confirmed(pairs, listed, node_texts, shingle, limit, size)
     roots = stage(_components(links), "roots")
-    more = _tiled(lists, leaders, roots, node_texts, shingle, limit)
+    more = _tiled(lists, leaders, roots, listed, node_texts, shingle, limit, size)
     if more is not None and not more.isEmpty():
         roots = stage(_components(links.unionByName(more)), "roots")
 
