@@ -1,4 +1,5 @@
 import random
+import re
 
 from tests.llm.conftest import base_rows
 from topiclake.llm import licenses as L
@@ -65,3 +66,37 @@ def test_repeats_and_edges(spark, docs, no_docs, clashing):
     assert L.scan(clashing, ["doc_id"]).count() == 0
     assert len(base_rows()) == docs.count()
     assert scan(spark, ["any words"], templates={}) == []
+
+
+def test_one_word_dropped_replaced_or_inserted_in_every_template(spark):
+    texts, wanted = ["Released under MIT License."], ["mit-line"]
+    for name, template in L.TEMPLATES.items():
+        words = template.split()
+        for i in range(len(words)):
+            if len(L._words(words[i])[1]) != 1:
+                continue
+            texts += [
+                " ".join(["so", *words[:i], *new, *words[i + 1 :], "so"])
+                for new in ([], ["changed"], [words[i], "inserted"])
+            ]
+            wanted += [name] * 3
+    found = {(r.doc_id, r.license) for r in scan(spark, texts)}
+    inside = {"apache-2.0-line": "apache-2.0-notice"}
+    missing = [
+        (texts[i], name) for i, name in enumerate(wanted)
+        if (i, name) not in found and (i, inside.get(name)) not in found
+        and not any(d == i and n.startswith("cc-by") and name.startswith("cc-by") for d, n in found)
+    ]
+    assert not missing
+
+
+def test_evenly_spaced_changes_at_the_edge_of_the_coverage(spark):
+    texts = []
+    for template in L.TEMPLATES.values():
+        words = re.findall("[A-Za-z0-9]+", template)
+        most = len(words) - -(-4 * len(words) // 5)
+        at = {(2 * k + 1) * len(words) // (2 * most) for k in range(most)}
+        texts.append(" ".join("changed" if i in at else w for i, w in enumerate(words)))
+    found = {(r.doc_id, r.license) for r in scan(spark, texts)}
+    names = list(L.TEMPLATES)
+    assert [n for i, n in enumerate(names) if (i, n) not in found] == []

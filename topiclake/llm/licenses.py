@@ -1,21 +1,22 @@
-"""License scan: winnowed template fingerprints pick candidates, banded alignment reports matches.
+"""License scan: an inverted index of the templates' words picks candidates, banded alignment reports matches.
 
-The templates' fingerprints form an inverted index from hash to (template, word). A document's
-fingerprints are looked up in it; hits on nearby diagonals are one candidate, and the template is
-aligned there with the document's words inside a band. The index grows with the list of templates
-alone, which is handed in by the caller and travels with the tasks.
+The index maps each word to its places in the templates. A text is a candidate of a template if so many
+of the template's words lie so close together as a match needs, and a band of diagonals is one if
+words of enough different places hit it; the template is aligned there with the text's words. Both are
+necessary for a match in the band, so none is lost, however short its runs of equal words are. The
+index grows with the list of templates alone, which is handed in by the caller and travels with the tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from topiclake.llm.text import ALNUM, LOWER, Words, buffers, large, slices
-from topiclake.llm.winnow import winnow
+from topiclake.llm.text import ALNUM, LOWER, Words, buffers, large, ragged, slices
 
 # Notices of common licenses.
 TEMPLATES = {
@@ -58,8 +59,8 @@ TEMPLATES = {
         "provided that the following conditions are met"
     ),
 }
-# Fingerprints of K words, one in WINDOW: any K + WINDOW - 1 equal words in a row are found.
-K, WINDOW = 3, 2
+# Words that are too common to pick candidates; a match may have all of a template's.
+COMMON = "a an and any are as at be by copies for from in is it may not of on or that the this to with you"
 
 
 def _words(text: str) -> tuple[Words, np.ndarray]:
@@ -69,31 +70,40 @@ def _words(text: str) -> tuple[Words, np.ndarray]:
 
 
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' words, for matches of a coverage.
 
-    def __init__(self, templates: dict[str, str]):
+    ``need`` matched words are asked of a template. Its ``reach`` bounds how far the words left out or put
+    in may shift a match: by ``2 * reach`` at least.
+    """
+
+    def __init__(self, templates: dict[str, str], coverage: float):
         self.names = list(templates)
-        self.words: list[list[int]] = []
-        places = []
-        for t, text in enumerate(templates.values()):
-            words, hashes = _words(text)
-            self.words.append(hashes.tolist())
-            at, prints = winnow(words, hashes, K, WINDOW)
-            places += [(p, t, a) for p, a in zip(prints.tolist(), at.tolist())]
-        places.sort()
-        self.prints = np.array([p for p, _, _ in places], np.uint64)
-        self.templates = np.array([t for _, t, _ in places], np.int64)
-        self.at = np.array([a for _, _, a in places], np.int64)
-
-    def candidates(self, prints: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) of fingerprints that are in the index, for words of one text."""
-        low = np.searchsorted(self.prints, prints, "left")
-        high = np.searchsorted(self.prints, prints, "right")
+        self.words: list[np.ndarray] = [_words(text)[1] for text in templates.values()]
+        self.need = [max(1, math.ceil(coverage * len(w))) for w in self.words]
+        self.reach = [max(2, len(w) // 8) for w in self.words]
+        self.kinds = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+        common = _words(COMMON)[1]
+        # Per template the words that are counted, and how many of them a match has at least.
+        self.telling: list[tuple[np.ndarray, int]] = []
+        for words, need in zip(self.words, self.need):
+            rare = words[~np.isin(words, common)]
+            least = need - (len(words) - len(rare))
+            self.telling.append((np.isin(self.kinds, rare), least) if least > 0 else (np.isin(self.kinds, words), need))
+
+    def texts(self, hashes: np.ndarray, owners: np.ndarray) -> list[tuple[int, int]]:
+        """(text, template) where a match is possible, sorted; ``owners`` is the text of each word."""
+        if not len(self.kinds):
+            return []
+        kind = np.minimum(np.searchsorted(self.kinds, hashes), len(self.kinds) - 1)
+        at = np.flatnonzero(self.kinds[kind] == hashes)
+        kind = kind[at]
         out = []
-        for i in np.flatnonzero(high > low):
-            for j in range(low[i], high[i]):
-                out.append((int(self.templates[j]), int(at[i] - self.at[j])))
-        return out
+        for t, (telling, least) in enumerate(self.telling):
+            hits = at[telling[kind]]
+            first, last = hits[: max(len(hits) - least + 1, 0)], hits[least - 1 :]
+            near = (last - first < len(self.words[t]) + 4 * self.reach[t]) & (owners[first] == owners[last])
+            out += [(i, t) for i in np.unique(owners[first[near]]).tolist()]
+        return sorted(out)
 
 
 def align(template: list[int], words: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
@@ -130,32 +140,48 @@ def align(template: list[int], words: list[int], diagonal: int, band: int) -> tu
     return best[1], best[2], min(max(end, best[2]), len(words))
 
 
-def _candidates(found: list[tuple[int, int]], index: Index) -> list[tuple[int, int, int]]:
-    """(template, middle diagonal, band) of groups of hits on nearby diagonals."""
-    out = []
-    for t in sorted({t for t, _ in found}):
-        reach = max(2, len(index.words[t]) // 8)
-        group: list[int] = []
-        for d in [*sorted({d for u, d in found if u == t}), None]:
-            if group and (d is None or d - group[0] > reach):
-                middle = (group[0] + group[-1]) // 2
-                out.append((t, middle, group[-1] - middle + reach))
-                group = []
-            if d is not None:
-                group.append(d)
-    return out
-
-
-def matches(index: Index, hashes: list[int], found: list[tuple[int, int]], coverage: float) -> list[tuple]:
-    """(template, matched, first word, word behind), without those inside a longer match."""
-    out = set()
-    for t, diagonal, band in _candidates(found, index):
-        matched, a, b = align(index.words[t], hashes, diagonal, band)
-        if matched >= coverage * len(index.words[t]):
-            out.add((-matched, a, b, t))
+def _in_bands(index: Index, t: int, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(matched words, first word, word behind) of a template in the words of a text.
+
+    Bands of diagonals are ``4 * reach`` wide and begin every ``2 * reach``. One is aligned if equal
+    words at enough different places of the template lie in it, and so is what a match leaves before and behind.
+    """
+    words, need, step = index.words[t], index.need[t], 2 * index.reach[t]
+    order = np.argsort(words, kind="stable")
+    low = np.searchsorted(words[order], hashes, "left")
+    equal = np.searchsorted(words[order], hashes, "right") - low
+    place = order[ragged(low, equal)]
+    at = np.repeat(np.arange(len(hashes)), equal)
+    band = (at - place) // step
+    band, place, at = np.append(band, band - 1), np.append(place, place), np.append(at, at)
+    order = np.argsort(band, kind="stable")
+    band, place, at = band[order], place[order], at[order]
+    bounds = np.flatnonzero(np.append(True, band[1:] != band[:-1])) if len(band) else np.zeros(0, np.int64)
+    ends = np.append(bounds[1:], len(band))
+    template = words.tolist()
+    for a, b in zip(bounds[ends - bounds >= need].tolist(), ends[ends - bounds >= need].tolist()):
+        begin = int(band[a]) * step
+        open_parts = [(max(begin, 0), min(begin + 2 * step + len(words), len(hashes)))]
+        while open_parts:
+            low, high = open_parts.pop()
+            inside = (at[a:b] >= low) & (at[a:b] < high)
+            if len(np.unique(place[a:b][inside])) < need:
+                continue
+            matched, first, last = align(template, hashes[low:high].tolist(), begin + step - low, step)
+            if matched >= need:
+                yield matched, low + first, low + last
+                open_parts += [(low, low + first), (low + last, high)]
+
+
+def matches(index: Index, hashes: np.ndarray, templates: list[int]) -> list[tuple]:
+    """(template, matched, first word, word behind) of some templates in the words of a text, without
+    those inside a longer match and those that share half their words with a longer one of their template."""
+    out = {(-matched, a, b, t) for t in templates for matched, a, b in _in_bands(index, t, hashes)}
     kept: list[tuple] = []
     for negated, a, b, t in sorted(out):
-        if not any(c <= a and b <= d for _, _, c, d in kept):
+        if not any(
+            (c <= a and b <= d) or (u == t and 2 * (min(b, d) - max(a, c)) >= b - a) for u, _, c, d in kept
+        ):
             kept.append((t, -negated, a, b))
     return sorted(kept, key=lambda m: (m[2], m[3], m[0]))
 
@@ -171,7 +197,7 @@ def scan(
     template) is left out. Rows are independent: null and empty texts have no matches, null keys
     and repeated rows are scanned like any other, and texts of any length are scanned whole.
     """
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates, coverage)
     picked = df.select(*keep, df[text].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +205,13 @@ def scan(
             for rows, data, offsets in slices(batch, "_text"):
                 words = Words(LOWER[data], offsets, ALNUM)
                 hashes = words.hashes()
-                at, prints = winnow(words, hashes, K, WINDOW)
-                known = np.isin(prints, index.prints)
-                at, prints = at[known], prints[known]
-                owners = words.texts()[at]
+                possible: dict[int, list[int]] = {}
+                for i, t in index.texts(hashes, words.texts()):
+                    possible.setdefault(i, []).append(t)
                 out = []
-                for i in np.unique(owners).tolist():
+                for i, some in possible.items():
                     a, b = words.bounds[i], words.bounds[i + 1]
-                    found = index.candidates(prints[owners == i], at[owners == i] - a)
-                    for t, matched, first, last in matches(index, hashes[a:b].tolist(), found, coverage):
+                    for t, matched, first, last in matches(index, hashes[a:b], some):
                         begin, end = words.starts[a + first], words.ends[a + last - 1]
                         before = data[offsets[i] : begin].tobytes().decode("utf-8", "replace")
                         inside = data[begin:end].tobytes().decode("utf-8", "replace")
