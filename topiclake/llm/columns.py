@@ -22,3 +22,11 @@ def shield(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFram
         return out.select(*back, *added)
 
     return renamed, restore
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, ``name`` if that is free."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

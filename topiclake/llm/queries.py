@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topiclake.llm import bpe, cotraining, decontaminate, licenses, neardup, quality_rules, secrets, shards, suffix_tree, warc
+from topiclake.llm import (
+    bpe, cotraining, decontaminate, licenses, mixing, neardup, quality_rules, secrets, shards,
+    suffix_tree, warc,
+)
 from workload.registry import registry
 
 Q, SQL, query = registry()
@@ -308,6 +311,84 @@ def op1_suffix_tree_scores(spark, sf_dir):
     return suffix_tree.score(docs, ["doc_id", "held_out"], "text", model)
 
 
+_SPACE_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
+
+
+def _fold_sql(level: int) -> str:
+    """Pivotal folds of the blocks of items{level} (rank, pos, p, s), one item more in each step."""
+    return f"""
+item{level} AS MATERIALIZED (
+  SELECT rank, pos // {mixing.BLOCK} AS block, (pos % {mixing.BLOCK})::INTEGER AS i, p, s,
+         (('0x' || substr(md5(rank || ':{level}:' || pos), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM items{level}
+), fold{level} AS (
+  SELECT rank, block, 0 AS n, i, p, s, []::INTEGER[] AS ones FROM item{level} WHERE i = 0
+  UNION ALL
+  SELECT rank, block, n + 1,
+         CASE WHEN rises THEN CASE WHEN a <= b THEN xi ELSE i END WHEN c <= d THEN xi ELSE i END,
+         CASE WHEN rises THEN CASE WHEN a <= b THEN xp - up / xs ELSE p + up / s END
+              WHEN c <= d THEN xp + down / xs ELSE p - down / s END,
+         CASE WHEN rises THEN CASE WHEN a <= b THEN xs ELSE s END WHEN c <= d THEN xs ELSE s END,
+         CASE WHEN rises AND a <= b THEN list_append(ones, i)
+              WHEN NOT rises AND NOT c <= d THEN list_append(ones, xi) ELSE ones END
+  FROM (SELECT *, u * (up + down) < down AS rises FROM (SELECT *, least(a, b) AS up, least(c, d) AS down FROM (
+    SELECT f.*, x.i AS xi, x.p AS xp, x.s AS xs, x.u, (1 - f.p) * f.s AS a, x.p * x.s AS b,
+           f.p * f.s AS c, (1 - x.p) * x.s AS d
+    FROM fold{level} f JOIN item{level} x ON x.rank = f.rank AND x.block = f.block AND x.i = f.n + 1)))
+), done{level} AS MATERIALIZED (SELECT * FROM fold{level} QUALIFY n = max(n) OVER (PARTITION BY rank, block))"""
+
+
+@query(
+    "op11_pivotal_mix",
+    f"""
+WITH RECURSIVE docs AS (SELECT doc_id, source, len({_SPACE_WORDS})::BIGINT AS size FROM documents),
+sized AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+          FROM docs GROUP BY source),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS lim FROM sized),
+tried AS (
+  SELECT weight, lim, rank, (1.5::DOUBLE * (SELECT sum(source_size) FROM sized)
+           - coalesce(sum(lim) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+),
+targets AS (
+  SELECT source, rank, source_size, least(weight * (SELECT level FROM tried WHERE weight * level <= lim ORDER BY lim / weight, rank LIMIT 1), lim) AS target
+  FROM weighed
+),
+rated AS (
+  SELECT doc_id, size, rank, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
+),
+items0 AS MATERIALIZED (
+  SELECT rank, size, doc_id, size::DOUBLE AS s, rate - floor(rate) AS p, row_number() OVER (
+           PARTITION BY rank ORDER BY size DESC, md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS pos
+  FROM rated WHERE rate - floor(rate) > 0 AND size > 0
+),{_fold_sql(0)},
+items1 AS (SELECT rank, block AS pos, p, s FROM done0),{_fold_sql(1)},
+top AS (
+  SELECT x.rank, x.i AS block, CASE WHEN x.i = f.i THEN f.p >= 0.5 ELSE list_contains(f.ones, x.i) END AS up
+  FROM item1 x JOIN done1 f USING (rank, block)
+),
+ups AS (
+  SELECT z.doc_id, z.rank, z.size, CASE WHEN x.i = f.i THEN top.up ELSE list_contains(f.ones, x.i) END::INTEGER AS up
+  FROM items0 z JOIN item0 x ON x.rank = z.rank AND x.block = z.pos // {mixing.BLOCK} AND x.i = z.pos % {mixing.BLOCK}
+  JOIN done0 f ON f.rank = x.rank AND f.block = x.block JOIN top ON top.rank = x.rank AND top.block = x.block
+  UNION ALL
+  SELECT doc_id, rank, size, 0 FROM rated WHERE NOT (rate - floor(rate) > 0 AND size > 0)
+)
+SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (size * copies)::BIGINT AS taken FROM (
+  SELECT doc_id, size, source_size, target,
+         up + CASE WHEN size > 0 AND source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies
+  FROM ups JOIN targets USING (rank))""",
+)
+def op11_pivotal_mix(spark, sf_dir):
+    """Copies of every document for a mix of the sources by the weights 5, 2, 1, of 150 % of all words."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.size(quality_rules.words_of(F.coalesce("text", F.lit(""))))
+    return mixing.mix(docs, ["doc_id"], "source", words)
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topiclake.llm.columns import unused
 from topiclake.session import stage
 
 # 52 bits of an MD5 digest become a number in (0, 1).
 _DIGITS = 13
 _RANGE = float(16**_DIGITS)
+# Rows that a task numbers.
+TASK_ROWS = 2_000_000
 
 
 def draw(key: Column, shard: int) -> Column:
@@ -62,30 +65,27 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[Column], slot: str = "
     a window. Rows equal in the whole order get slots in any order. Written columns: all of ``df``,
     so hand in digests, not texts.
     """
-    names = [f"_o{i}" for i in range(len(order))]
+    names = [unused(df, f"_o{i}") for i in range(len(order))]
+    salt, at, part, first, rows, before = (
+        unused(df, n) for n in ("_salt", "_at", "_part", "_first", "_rows", "_before")
+    )
     keyed = df.select("*", *(c.alias(n) for c, n in zip(order, names)))
-    keyed = stage(keyed.withColumn("_salt", F.monotonically_increasing_id()), "sharded")
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keyed.rdd.getNumPartitions())
+    keyed = stage(keyed.withColumn(salt, F.monotonically_increasing_id()), "sharded")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), keyed.count() // TASK_ROWS)
     placed = (
-        keyed.repartitionByRange(parts, shard, *names, "_salt")
-        .sortWithinPartitions(shard, *names, "_salt")
-        .drop(*names, "_salt")
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    placed = stage(placed, "placed").withColumn("_part", F.shiftright("_at", 33))
-    blocks = placed.groupBy("_part", shard).agg(
-        F.count("*").alias("_rows"), F.min("_at").alias("_first")
-    )
-    before = F.expr(
-        f"sum(_rows) over (partition by `{shard}` order by _part "
-        "rows between unbounded preceding and 1 preceding)"
+        keyed.repartitionByRange(parts, shard, *names, salt)
+        .sortWithinPartitions(shard, *names, salt)
+        .drop(*names, salt)
+        .withColumn(at, F.monotonically_increasing_id())
     )
-    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0)))
+    placed = stage(placed, "placed").withColumn(part, F.shiftright(at, 33))
+    blocks = placed.groupBy(part, shard).agg(F.count("*").alias(rows), F.min(at).alias(first))
+    above = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn(before, F.coalesce(F.sum(rows).over(above), F.lit(0)))
     return (
-        placed.join(blocks.select("_part", shard, "_first", "_before"), ["_part", shard])
-        .withColumn(slot, F.col("_at") - F.col("_first") + F.col("_before"))
-        .drop("_part", "_at", "_first", "_before")
+        placed.join(blocks.select(part, shard, first, before), [part, shard])
+        .withColumn(slot, F.col(at) - F.col(first) + F.col(before))
+        .drop(part, at, first, before)
     )
 
 
