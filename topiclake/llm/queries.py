@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topiclake.llm import (
-    bpe, cotraining, decontaminate, licenses, mixing, neardup, quality_rules, secrets, shards,
+    bpe, centroids, cotraining, decontaminate, licenses, mixing, neardup, quality_rules, secrets, shards,
     suffix_tree, warc,
 )
 from workload.registry import registry
@@ -389,6 +389,44 @@ def op11_pivotal_mix(spark, sf_dir):
     return mixing.mix(docs, ["doc_id"], "source", words)
 
 
+def _kmeans_sql(rounds: int, k: int, width: int) -> str:
+    """All vectors against all centroids in each round."""
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = {width}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS c, q FROM v
+  QUALIFY c < {k}
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, any_value(v.q) AS q, min({{'d': list_sum(list_transform(list_zip(v.q, c{i}.q),
+           lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c{i}.c}}) AS m
+  FROM v, c{i} GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM (
+    SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(q) AS x, unnest(range({width})) AS i FROM a{i})
+    GROUP BY c, i)
+  GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = m.c"""
+
+
+@query("op12_laesa_centroids", _kmeans_sql(10, 8, 64))
+def op12_laesa_centroids(spark, sf_dir):
+    """Ten rounds of exact integer k-means over all vectors, from the eight of the least hash."""
+    name = F.concat(F.lit("3:"), F.coalesce(F.col("vec_id").cast("string"), F.lit("")))
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.sha2(name, 256))
+    return centroids.with_inertia(found, "vec_id")
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
