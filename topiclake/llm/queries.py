@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topiclake.llm import (
-    bpe, centroids, cotraining, decontaminate, licenses, mixing, neardup, quality_rules, secrets, shards,
+    bpe, centroids, conversations, cotraining, decontaminate, licenses, mixing, neardup, quality_rules, secrets, shards,
     suffix_tree, warc,
 )
 from workload.registry import registry
@@ -427,6 +427,98 @@ def op12_laesa_centroids(spark, sf_dir):
     return centroids.with_inertia(found, "vec_id")
 
 
+def _edits_sql() -> str:
+    """One row more of every conversation: the cheapest (cost, edits, result) for each of four states."""
+
+    def step(state: str, cost: str, edit: str, out: str, when: str = "true") -> str:
+        return (
+            f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', "
+            f"'t': {state}.t || {out}}} END"
+        )
+
+    def turn(state: str, who: str, text: str = "''") -> str:
+        return step(state, "3" if text == "''" else "3 + extra", "I" if text == "''" else "R", f"chr(10) || '{who}:' || {text}", "true" if text == "''" else "not gone")
+
+    def twice(state: str) -> str:
+        return step(state, "6", "II", "chr(10) || 'user:' || chr(10) || 'assistant:'")
+
+    def keep(state: str, initial: str) -> str:
+        return step(state, "extra", "K", "chr(10) || role || ':' || text", f"NOT gone AND role LIKE '{initial}%'")
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def gone(state: str) -> str:
+        return step(state, "4", "D", "''")
+
+    user = least("s2", turn("s0", "user"), turn("s1", "user"), turn("s3", "user"))
+    assistant = least("s3", turn("s2", "assistant"), twice("s0"), twice("s1"))
+    to_user = [f(s) for s in ("s0", "s1", "a") for f in (lambda x: turn(x, "user", "text"), lambda x: keep(x, "u"))]
+    return f"""
+path AS (
+  SELECT g, 0 AS n, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1,
+         NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s2, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s3 FROM convs
+  UNION ALL
+  SELECT g, n + 1, {gone("s0")}, {least(gone("s1"), keep("s0", "s"))}, {least(gone("u"), *to_user)},
+         {least(gone("a"), turn("u", "assistant", "text"), keep("u", "a"))}
+  FROM (SELECT p.*, role, text, gone, extra, {user} AS u, {assistant} AS a
+        FROM path p JOIN faults f ON f.g = p.g AND f.n = p.n + 1)
+), ends AS (
+  SELECT g, {least("s0", "s3", turn("s2", "assistant"), twice("s0"), twice("s1"))} AS e
+  FROM path QUALIFY n = max(n) OVER (PARTITION BY g)
+)"""
+
+
+@query(
+    "op13_conversation_repair",
+    f"""
+WITH RECURSIVE {_CRC},
+convs AS MATERIALIZED (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+source AS (
+  SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         hex(encode(coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h
+  FROM conversations c JOIN convs ON c.conv_id IS NOT DISTINCT FROM convs.conv_id
+),
+hashed AS (
+  SELECT g, turn, role, text, xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM source, crc_table
+),
+once AS (
+  SELECT g, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, kind
+  FROM hashed WHERE kind <> 0
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text)) AS n
+  FROM (SELECT * FROM once UNION ALL SELECT * FROM once WHERE kind = 3)
+),
+judged AS (
+  SELECT *, NOT regexp_matches(text, '[^ \\t-\\r]') AS blank,
+         row_number() OVER (PARTITION BY g, role, text ORDER BY n) > 1 AS again,
+         regexp_extract(text, '([^ \\t-\\r])[ \\t-\\r]*$', 1) NOT IN ('.', '!', '?') AS cut,
+         lag(left(role, 1)) OVER (PARTITION BY g ORDER BY n) || '-' || left(role, 1) AS two
+  FROM numbered
+),
+faults AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS extra FROM judged),
+{_edits_sql()},
+counts AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(again AND NOT blank) AS duplicate, count_if(cut AND NOT gone) AS truncated,
+         count_if(two NOT IN ('s-u', 'u-a', 'a-u')) AS illegal
+  FROM faults GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, e.c::BIGINT AS cost, e.a AS audit,
+       sha256(substr(e.t, 2)) AS repaired_sha256
+FROM convs JOIN ends USING (g) LEFT JOIN counts USING (g)""",
+)
+def op13_conversation_repair(spark, sf_dir):
+    """Faults, cheapest edits and hash of the result of every damaged conversation."""
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
