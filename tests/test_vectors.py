@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
-from topiclake.operators import ensemble, kmeans, metrics, pairs, scaling
+from topiclake.operators import ensemble, kmeans, metrics, pairs, scaling, tiles
 from topiclake.operators.components import connected_components
 from topiclake.operators.dbscan import Dbscan, dbscan, spanning_forest
+from topiclake.operators.forests import EdgePool, reduced
 from topiclake.operators.hdbscan import Hdbscan, hdbscan
+from topiclake.operators.hdbscan import reachability_edges as hdbscan_edges
 from topiclake.operators.keys import assign_keys, index_within
 
 
@@ -123,6 +125,113 @@ def test_hdbscan(spark, seed, metric):
             break
 
 
+@pytest.mark.parametrize("strip,local", [(None, 10**6), (1, 10**6), (1, 200), (1, 0)])
+def test_reachability_tree(spark, strip, local):
+    """n - 1 edges of least weight: in one task, by merged strips, and by rounds of joins."""
+    x = blobs(3, n=90)
+    x[40:60] = x[7]
+    d = brute.euclid(x)
+    np.fill_diagonal(d, 0)
+    got = hdbscan_edges(frame(spark, x), "id", "vec", [1, 4], "euclidean", 12, strip, local).collect()
+    for m in (1, 4):
+        core = np.sort(d, 1)[:, m - 1]
+        w = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+        edges = [(r.u, r.v, r.w) for r in got if r.ms == m]
+        assert len(edges) == 89
+        np.testing.assert_allclose([e[2] for e in edges], [w[u, v] for u, v, _ in edges], atol=1e-7)
+        whole = reduced(*(a.ravel() for a in np.indices(w.shape)), w.ravel())
+        np.testing.assert_allclose(sum(e[2] for e in edges), whole[2].sum(), atol=1e-6)
+        assert len(reduced(*(np.array(c) for c in zip(*edges)))[0]) == 89
+
+
+def test_hdbscan_over_strips_and_bands(spark):
+    x = blobs(3, n=90)
+    d = brute.euclid(x)
+    settings = [Hdbscan(5, 1), Hdbscan(8, 4)]
+    got = hdbscan(frame(spark, x), "id", "vec", settings, "euclidean", 12, 17, 1, 100).persist()
+    for s, p in enumerate(settings):
+        same_partition(labels_of(got, len(x), s), brute.hdbscan(d, p.min_cluster_size, p.min_samples))
+
+
+def test_reduced_edges():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 3), (2, 5), (30, 20), (30, 300), (200, 4000)):
+        u, v = rng.integers(0, n, (2, m))
+        w = rng.integers(0, 9, m).astype(float)
+        got = reduced(u, v, w)
+        parent, want = list(range(n)), []
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for c, a, b in sorted((c, min(a, b), max(a, b)) for a, b, c in zip(u.tolist(), v.tolist(), w.tolist())):
+            if root(a) != root(b):
+                parent[root(a)] = root(b)
+                want.append((a, b, c))
+        assert list(zip(*(x.tolist() for x in got))) == want
+        pool = EdgePool()
+        pool.limit = 7
+        for i in range(0, m, 5):
+            pool.add(u[i : i + 5], v[i : i + 5], w[i : i + 5])
+        assert list(zip(*(x.tolist() for x in pool.forest()))) == want
+
+
+def test_rows_leave_once_a_strip(spark):
+    """With s strips of several tiles, a row leaves s tasks and a tile is copied s times."""
+    x = blobs(1, 96)
+    df = frame(spark, x)
+    seen = []
+
+    class Each(tiles.RowState):
+        def block(self, a, b, same):
+            return tiles.distances(a, b, same, "euclidean")
+
+        def meet(self, mine, others, block):
+            return (np.full(len(mine.ids), len(others.ids)),)
+
+        def merged(self, old, new):
+            return (old[0] + new[0],)
+
+        def rows(self, lo, hi):
+            ids, (n,) = self.joined()
+            return {"id": ids, "met": n.astype(np.int64), "lo": np.full(len(ids), lo), "hi": np.full(len(ids), hi)}
+
+    for strip in (1, 3, 100):
+        rows = tiles.tile_join(df, None, "id long, met long, lo long, hi long", "id", "vec", tile_rows=8, strip=strip, state=Each)
+        strips = -(-12 // strip)
+        per = rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("met").alias("met")).collect()
+        assert {(r.n, r.met) for r in per} == {(strips, 96)}
+        seen.append(rows.select("lo", "hi").distinct().count())
+    assert seen == [78, 10, 1]
+    # Larger strips by the session's setting.
+    assert tiles.strip_tiles(1000, 8, 64 << 20) == 16 and tiles.strip_tiles(1000, 8, 256 << 20) == 64
+    assert tiles.strip_tiles(16, 8) == 2 and tiles.strip_tiles(1, 8) == 1
+
+
+@pytest.mark.parametrize("strip_bytes", [4 << 20, 64 << 20])
+def test_states_do_not_depend_on_strips(spark, monkeypatch, strip_bytes):
+    monkeypatch.setattr(metrics, "HELD_SUMS", 50)
+    monkeypatch.setattr(tiles, "strip_tiles", lambda n, cores, held: min(n, strip_bytes >> 22))
+    x = blobs(4, 90)
+    d = brute.euclid(x)
+    lab = np.random.default_rng(0).integers(-1, 4, 90)
+    s = metrics.silhouette_samples(frame(spark, x, label=lab), "id", "vec", "label", 10)
+    mean = np.mean([r.silhouette for r in s.collect()])
+    np.testing.assert_allclose(mean, brute.silhouette(x[lab != -1], lab[lab != -1]), atol=1e-9)
+    near = {r["id"]: r.near for r in pairs.nearest_distances(frame(spark, x), "id", "vec", 5, tile_rows=10).collect()}
+    np.testing.assert_allclose([near[i] for i in range(90)], np.sort(d, 1)[:, :5], atol=1e-6)
+    mean = pairs.mean_pair_distance(frame(spark, x), "id", "vec", tile_rows=10).first()[0]
+    np.testing.assert_allclose(mean, d[np.triu_indices(90, 1)].mean())
+    got = dbscan(frame(spark, x), "id", "vec", [Dbscan(0.8, 4), Dbscan(1.2, 8)], "euclidean", 10)
+    for i, p in enumerate([Dbscan(0.8, 4), Dbscan(1.2, 8)]):
+        assert labels_of(got, 90, i).tolist() == brute.dbscan(d, p.eps, p.min_samples).tolist()
+    assert sorted(r.id for r in pairs.kept_ids(frame(spark, x), "id", "vec", 0.9, 10).collect()) == brute.greedy_kept(x, 0.9)
+    none = pairs.mean_pair_distance(frame(spark, x[:1]), "id", "vec").first()[0]
+    assert none is None
+
+
 @pytest.mark.parametrize("local", [512, 1])
 def test_ensemble_matches_naive_linkage(spark, local):
     rng = np.random.default_rng(11)

@@ -1,9 +1,10 @@
 """All-pairs work on vectors, tile against tile.
 
-Rows are hashed to tiles of bounded size. Every two tiles meet in one task, where a kernel looks at
-the block of similarities with one matrix product and returns a reduced answer: a count, a minimum,
-a few nearest, a spanning forest. The block itself never leaves the task, so a dense group of
-near-copies costs arithmetic but no rows, and no task ever holds more than two strips of tiles.
+Rows are hashed to tiles of bounded size, tiles to strips. Every two tiles meet in one task, where the
+block of their similarities is one matrix product. The block never leaves the task: what it says about
+its rows (counts, minima, a few nearest, a spanning forest) is kept in a state while the task goes
+through all tiles of its two strips, and leaves it once for each row. A dense group of near-copies costs
+arithmetic but no rows, and no task ever holds more than two strips of tiles.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TILE_BYTES = 16 << 20
+TILE_BYTES = 4 << 20
 MIN_TILE_ROWS = 512
 MAX_TASKS = 20_000
-# Tiles of one strip: two strips are in a task's memory.
-STRIP_TILES = 8
+# Session setting for the bytes of a strip, two of which are in a task's memory, and its default. Each
+# tile is copied once per strip: larger executors take longer strips and shuffle less.
+STRIP_SETTING, STRIP_BYTES = "topiclake.strip.bytes", 128 << 20
 
 
 @dataclass
@@ -34,6 +36,58 @@ class Tile:
 Kernel = Callable[[Tile, Tile, bool], "dict[str, np.ndarray] | None"]
 
 
+class State:
+    """What a task learns from the tiles of two strips; ``rows`` is asked once, at the end.
+
+    ``lo`` and ``hi`` are the numbers of the strips.
+    """
+
+    def add(self, a: Tile, b: Tile, same: bool) -> None:
+        raise NotImplementedError
+
+    def rows(self, lo: int, hi: int) -> "dict[str, np.ndarray] | None":
+        raise NotImplementedError
+
+
+class RowState(State):
+    """A state of arrays with one entry for each row, kept tile by tile.
+
+    ``meet`` returns the arrays that a block gives for the rows of its first tile, ``merged`` joins
+    them with those of earlier blocks. With ``both`` False only the rows of the first table count.
+    """
+
+    both = True
+
+    def __init__(self):
+        self.held: dict[int, tuple[np.ndarray, tuple]] = {}
+
+    def meet(self, mine: Tile, others: Tile, block: np.ndarray) -> tuple:
+        raise NotImplementedError
+
+    def merged(self, old: tuple, new: tuple) -> tuple:
+        raise NotImplementedError
+
+    def block(self, a: Tile, b: Tile, same: bool) -> np.ndarray:
+        raise NotImplementedError
+
+    def add(self, a: Tile, b: Tile, same: bool) -> None:
+        block = self.block(a, b, same)
+        self._put(a, self.meet(a, b, block))
+        if self.both and not same:
+            self._put(b, self.meet(b, a, block.T))
+
+    def _put(self, tile: Tile, new: tuple) -> None:
+        name = int(tile.ids[0])
+        if name in self.held:
+            new = self.merged(self.held[name][1], new)
+        self.held[name] = tile.ids, new
+
+    def joined(self) -> tuple[np.ndarray, list]:
+        """Ids and arrays of all rows seen."""
+        ids = np.concatenate([i for i, _ in self.held.values()])
+        return ids, [np.concatenate(x) for x in zip(*(s for _, s in self.held.values()))]
+
+
 def _matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
     arr = column.combine_chunks()
     if isinstance(arr, pa.ChunkedArray):
@@ -92,14 +146,18 @@ def tile_count(df: DataFrame, vec: str, tile_rows: int | None = None) -> int:
     return max(by_memory, by_cores, 1)
 
 
-def strip_tiles(tiles: int, cores: int) -> int:
-    """Tiles in a strip: as many as a task's memory takes, and few enough to keep the cores busy."""
-    return max(1, min(STRIP_TILES, tiles // math.ceil(math.sqrt(8 * cores))))
+def strip_tiles(tiles: int, cores: int, strip_bytes: int = STRIP_BYTES) -> int:
+    """Tiles in a strip: as many as a task's memory takes, and few enough to keep the cores busy.
+
+    With s strips there are s (s + 1) / 2 tasks, four for each core at least, so s grows with the root
+    of the number of tasks; each tile is copied s times and each row leaves s tasks.
+    """
+    return max(1, min(strip_bytes // TILE_BYTES, tiles // math.ceil(math.sqrt(8 * cores))))
 
 
 def tile_join(
     df: DataFrame,
-    kernel: Kernel,
+    kernel: Kernel | None,
     schema: str,
     key: str,
     vec: str,
@@ -107,16 +165,19 @@ def tile_join(
     right: DataFrame | None = None,
     tile_rows: int | None = None,
     strip: int | None = None,
+    state: Callable[[], State] | None = None,
 ) -> DataFrame:
     """Run ``kernel(a, b, same)`` on every two tiles of ``df``, or on every tile of ``df`` against
     every tile of ``right``. ``extra`` names further columns and their numpy types.
 
     A task takes two strips of tiles and looks at their tiles two by two, so a tile is copied once
-    for each strip and not for each tile."""
+    for each strip and not for each tile. A ``state`` in place of a kernel sees all of them and answers
+    once a task."""
     extra = extra or {}
     tiles = tile_count(df, vec, tile_rows)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = strip or strip_tiles(tiles, cores)
+    held = int(df.sparkSession.conf.get(STRIP_SETTING, str(STRIP_BYTES)))
+    size = strip or strip_tiles(tiles, cores, held)
     strips = math.ceil(tiles / size)
     one = _pack(df, key, vec, extra, tiles).withColumn(
         "strip", F.floor(F.col("tile") / F.lit(size)).cast("long")
@@ -134,7 +195,7 @@ def tile_join(
         other_strips, n_pairs = strips, strips * (strips + 1) // 2
     else:
         other = tile_count(right, vec, tile_rows)
-        other_size = strip or strip_tiles(other, cores)
+        other_size = strip or strip_tiles(other, cores, held)
         other_strips = math.ceil(other / other_size)
         two = _pack(right, key, vec, extra, other).withColumn(
             "strip", F.floor(F.col("tile") / F.lit(other_size)).cast("long")
@@ -168,9 +229,19 @@ def tile_join(
 
     def run(table: pa.Table) -> pa.Table:
         out = []
+        work = state() if state else None
         for i, j, same in blocks(table):
             a = _unpack(table, i, extra)
-            found = kernel(a, a if same else _unpack(table, j, extra), same)
+            b = a if same else _unpack(table, j, extra)
+            if work is not None:
+                work.add(a, b, same)
+                continue
+            found = kernel(a, b, same)
+            if found is not None:
+                out.append(pa.table(found))
+        if work is not None:
+            lo, hi = divmod(table.column("pair")[0].as_py(), other_strips)
+            found = work.rows(lo, hi)
             if found is not None:
                 out.append(pa.table(found))
         if not out:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from topiclake.operators import ensemble, kmeans, metrics, pairs, scaling
 from topiclake.operators.dbscan import Dbscan, dbscan, neighbor_counts
-from topiclake.operators.hdbscan import Hdbscan, hdbscan
+from topiclake.operators.hdbscan import Hdbscan, hdbscan, reachability_edges
+from topiclake.operators.tiles import unit
 from topiclake.plans import sweep
 from topiclake.session import stage
 from topiclake.sources import resources
@@ -278,6 +279,42 @@ def _(s, d):
 HDBSCAN = [Hdbscan(5, 3), Hdbscan(8, 3), Hdbscan(5, 5)]
 
 
+# Prim's walk over the whole matrix of mutual reachability, from the first vector.
+def _tree_sql(m: int) -> str:
+    return f""", w{m} AS MATERIALIZED (SELECT a.n, list(greatest(d, a.c, b.c) ORDER BY b.n) AS w
+        FROM dd JOIN cores a ON a.n = dd.a AND a.ms = {m} JOIN cores b ON b.n = dd.b AND b.ms = {m} GROUP BY a.n),
+      p{m}(step, pos, far, total) AS (
+        SELECT 0, 1, list_transform(w, lambda x, i: CASE WHEN i = 1 THEN 'inf'::DOUBLE ELSE x END), 0.0::DOUBLE
+        FROM w{m} WHERE n = 1
+        UNION ALL
+        SELECT step + 1, q.pos, list_transform(list_zip(far, w), lambda x, i: CASE WHEN x[1] = 'inf' OR i = q.pos
+            THEN 'inf'::DOUBLE ELSE least(x[1], x[2]) END), total + list_min(far)
+        FROM (SELECT *, list_position(far, list_min(far)) AS nxt FROM p{m} WHERE list_min(far) < 'inf') p
+        JOIN (SELECT n AS pos, w FROM w{m}) q ON q.pos = p.nxt)"""
+
+
+@query(
+    "f9_reachability_tree",
+    SCALED.replace("WITH", "WITH RECURSIVE", 1)
+    + """, k AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) AS INT) AS n, vec FROM m),
+      dd AS MATERIALIZED (SELECT a.n AS a, b.n AS b, CASE WHEN a.n = b.n THEN 0 ELSE
+        greatest(1 - list_cosine_similarity(a.vec, b.vec), 0) END AS d FROM k a CROSS JOIN k b),
+      o AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM dd),
+      cores AS MATERIALIZED (SELECT a AS n, CAST(r AS INT) AS ms, d AS c FROM o WHERE r IN (3, 5))"""
+    + _tree_sql(3) + _tree_sql(5)
+    + " UNION ALL ".join(
+        f" SELECT CAST({m} AS INT) AS ms, max(step)::BIGINT AS edges, round(max(total), 6) AS weight FROM p{m}"
+        for m in (3, 5)
+    ),
+)
+def _(s, d):
+    rows = scaled(s, d).withColumn("vec", unit("vec"))
+    tree = reachability_edges(rows, "vec_id", "vec", [3, 5], "cosine")
+    return tree.groupBy("ms").agg(
+        F.count("*").alias("edges"), F.round(F.sum("w"), 6).alias("weight")
+    )
+
+
 @query("f9_hdbscan")
 def _(s, d):
     return hdbscan(scaled(s, d), "vec_id", "vec", HDBSCAN, "cosine")
