@@ -198,6 +198,72 @@ def test_streams(spark, tmp_path):
     assert {f[0] for f in facts(catalog)} == {"ann.x", "bob.x", "eve.x", "fay.x"}
 
 
+RAW_ROWS = "author string, text string, created_at timestamp, like_count int, repost_count int, quote_count int, reply_count int"
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
+def test_streams_and_batches_keep_the_highest_counters(spark, tmp_path, order):
+    """Copies with other counters, in one file, across files and runs, in every order."""
+    files = [
+        [post("ann.x", "First mountain picture", like=1), post("ann.x", "First mountain picture", like=4),
+         post("bob.x", "Other words entirely", like=7)],
+        [post("ann.x", "First mountain picture", like=9), post("bob.x", "Other words entirely", like=2),
+         post("cyd.x", "Third message here", like=None), post("dan.x", "Quiet one over there", 5, like=0)],
+        [post("cyd.x", "Third message here", like=3), post("ann.x", "First mountain picture", like=5)],
+    ]
+    want = {("ann.x", 9), ("bob.x", 7), ("cyd.x", 3), ("dan.x", 0)}
+    lakes = {}
+    for name in ("steps", "once", "batch"):
+        catalog = lakes[name] = Catalog(spark, f"{tmp_path}/{name}")
+        for i in order:
+            path = f"{tmp_path}/in-{name}/2024-12-{10 + i}"
+            feed.write_csv(spark.createDataFrame(files[i], RAW_ROWS).coalesce(1), path)
+            if name == "steps":
+                streams.start_bronze(catalog, f"{tmp_path}/in-{name}", f"{tmp_path}/c").awaitTermination(120)
+                streams.start_silver(catalog, f"{tmp_path}/s", silver.cleaned_words).awaitTermination(120)
+                gold.refresh(catalog)
+        if name == "once":
+            streams.start_bronze(catalog, f"{tmp_path}/in-{name}", f"{tmp_path}/c1").awaitTermination(120)
+            streams.start_silver(catalog, f"{tmp_path}/s1", silver.cleaned_words).awaitTermination(120)
+        if name == "batch":
+            while bronze.load_oldest_day(catalog, f"{tmp_path}/in-{name}"):
+                silver.refresh(catalog, silver.cleaned_words)
+        assert {(f[0], f[3]) for f in facts(catalog)} == want
+        assert dense(catalog, "posts", "SK_post") == 4
+    rows = lakes["once"].load("bronze", "posts")
+    assert {(r.author, r.like_count) for r in rows.collect()} == want
+    held = lakes["steps"].load("gold", "posts")
+    assert sorted(r.like_count for r in held.collect()) == [0, 3, 7, 9]
+
+
+def test_raised_counters_after_a_break(spark, tmp_path, monkeypatch):
+    catalog = Catalog(spark, f"{tmp_path}/lake")
+
+    def load(rows):
+        return silver.load_posts(catalog, bronze.with_day(spark.createDataFrame(rows, RAW_ROWS)), silver.cleaned_words)
+
+    load([post("ann.x", "First mountain picture", like=1), post("bob.x", "Other words entirely", days=1)])
+    gold.refresh(catalog)
+    replace = Catalog.replace_load
+
+    def breaks(self, df, layer, table):
+        if table == "posts":
+            raise RuntimeError("lost")
+        replace(self, df, layer, table)
+
+    monkeypatch.setattr(Catalog, "replace_load", breaks)
+    with pytest.raises(RuntimeError):
+        load([post("ann.x", "First mountain picture", like=8)])
+    monkeypatch.undo()
+    gold.refresh(catalog)                                # takes over what is not there yet
+    assert load([post("ann.x", "First mountain picture", like=8)]) == 0
+    gold.refresh(catalog)
+    for layer in ("silver", "gold"):
+        assert sorted(r.like_count for r in catalog.load(layer, "posts").collect()) == [1, 8]
+    days = {r.day_collect for r in catalog.load("silver", "revised").collect()}
+    assert days == {15}                                  # the other day was not written again
+
+
 def test_archive_moves_consumed_files(spark, tmp_path):
     import pathlib
 

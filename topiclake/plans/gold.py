@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiclake.functions.vectorize import fit_idf, vectorize
+from topiclake.plans.silver import COUNTERS
+from topiclake.session import stage
 from topiclake.sources.catalog import Catalog, high_water
 
 
@@ -35,8 +37,24 @@ def word_weights(catalog: Catalog) -> IDFModel | None:
     return model
 
 
+def take_revisions(catalog: Catalog) -> None:
+    """Take over counters that silver has raised: the days concerned are written again.
+
+    The marks are noted last, so a run that breaks off is simply repeated.
+    """
+    marks = catalog.load("silver", "revised").join(catalog.load("gold", "revised"), ["day_collect", "mark"], "left_anti")
+    marks = stage(marks, "marks")
+    days = [r.day_collect for r in marks.select("day_collect").distinct().collect()]  # at most 31
+    if not days:
+        return
+    now = catalog.load("silver", "posts").filter(F.col("day_collect").isin(days)).select("SK_post", *COUNTERS)
+    held = catalog.load("gold", "posts").filter(F.col("day_collect").isin(days)).drop(*COUNTERS)
+    catalog.replace_load(stage(held.join(now, "SK_post"), "raised"), "gold", "posts")
+    catalog.append(marks, "gold", "revised")
+
+
 def refresh(catalog: Catalog, encoder: Callable | None = None, idf: IDFModel | None = None) -> None:
-    """Append new posts and minutes, replace the authors.
+    """Append new posts and minutes, take over raised counters, replace the authors.
 
     What is new is told by the keys, which only grow; by creation time, posts of the minute in
     which the last load ended would be lost. Hashed words are weighted by the lake's document
@@ -50,4 +68,5 @@ def refresh(catalog: Catalog, encoder: Callable | None = None, idf: IDFModel | N
         if table == "posts":
             fresh = vectorize(fresh, "yaked", encoder, idf)
         catalog.append(fresh, "gold", table)
+    take_revisions(catalog)
     catalog.overwrite(catalog.load("silver", "author"), "gold", "author")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topiclake.functions.calendar import calendar_parts, to_minute
@@ -112,8 +113,8 @@ def digests(df: DataFrame) -> DataFrame:
     )
 
 
-def seen_in(ledger: DataFrame, rows: DataFrame) -> DataFrame:
-    """Digests in the ledger of the days that the rows are from.
+def seen_in(ledger: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
+    """Digests (and ``more`` columns) in the ledger of the days that the rows are from.
 
     The days are collected (at most 31 and a few months) and filter the ledger as literals: the day
     prunes its partitions, the month what is read of them.
@@ -123,7 +124,40 @@ def seen_in(ledger: DataFrame, rows: DataFrame) -> DataFrame:
         F.col("day_collect").isin(sorted({r.day_collect for r in days if r.day_collect}))
         & F.col("month_collect").isin(sorted({r.month_collect for r in days if r.month_collect}))
     )
-    return listed.select("day_collect", "h1", "h2")
+    return listed.select("day_collect", "h1", "h2", *more)
+
+
+def counters() -> Column:
+    """The counters as one value; the greater one has the higher first counter that differs."""
+    return F.struct(*COUNTERS)
+
+
+def raise_counters(catalog: Catalog, copies: DataFrame) -> int:
+    """Give loaded posts the counters of later copies (SK_post, day_collect, counters) that are higher.
+
+    Only the partitions, by day and load, that hold such posts are written again. Nothing is lost if
+    this breaks off: counters only rise, so a second run writes the same. The marks come first; they
+    tell gold which days to look at. Returns the number of posts.
+    """
+    days = [r.day_collect for r in copies.select("day_collect").distinct().collect()]  # at most 31
+    posts = catalog.load("silver", "posts").filter(F.col("day_collect").isin(days))
+    new = copies.select("SK_post", counters().alias("_new"))
+    higher = stage(
+        posts.join(new, "SK_post").filter(F.col("_new") > counters()).select("SK_post", "day_collect", "load", "_new"),
+        "higher",
+    )
+    n = higher.count()
+    if not n:
+        return 0
+    mark = uuid.uuid4().hex
+    catalog.append(higher.select("day_collect", F.lit(mark).alias("mark")).distinct(), "silver", "revised")
+    touched = posts.join(higher.select("day_collect", "load").distinct(), ["day_collect", "load"], "left_semi")
+    raised = touched.join(higher.select("SK_post", "_new"), "SK_post", "left")
+    raised = raised.withColumns(
+        {c: F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")) for c in COUNTERS}
+    ).drop("_new")
+    catalog.replace_load(stage(raised, "raised"), "silver", "posts")
+    return n
 
 
 def new_times(minutes: DataFrame, known: DataFrame, start: int) -> DataFrame:
@@ -155,7 +189,8 @@ def load_posts(
     """Load a batch of bronze rows into the star; returns the number of new posts.
 
     Posts that an earlier load has loaded are known by their digests, so late and repeated posts
-    are safe whatever the order of the loads. ``batches`` are the bronze batches read in full.
+    are safe whatever the order of the loads; higher counters of a repeated post replace those it
+    had. ``batches`` are the bronze batches read in full.
     The row in ``loads`` is written last. A load that broke off before it is simply run again: it
     has the same number, ignores what its first try left in the ledger and replaces its posts.
     """
@@ -163,9 +198,12 @@ def load_posts(
         F.count("*").cast("int"), F.coalesce(F.max("last_post"), F.lit(0))
     ).first()
     posts = with_month(digests(distinct_posts(bronze.dropna(subset=["text"]))))
-    posts = posts.withColumn("load", F.lit(load))
-    ledger = catalog.load("silver", "ledger").filter(F.col("load") < load).drop("load")
-    posts = posts.join(seen_in(ledger, bronze), ["day_collect", "h1", "h2"], "left_anti")
+    posts = stage(posts.withColumn("load", F.lit(load)), "distinct")
+    ledger = catalog.load("silver", "ledger").filter(F.col("load") < load)
+    seen = stage(seen_in(ledger, posts, "SK_post"), "seen")
+    again = posts.join(seen.filter("SK_post is not null"), ["day_collect", "h1", "h2"])
+    raise_counters(catalog, again.select("SK_post", "day_collect", *COUNTERS))
+    posts = posts.join(seen, ["day_collect", "h1", "h2"], "left_anti")
     # Written before its row ids are used, so that they cannot change.
     numbered = stage(posts.withColumn("_row", F.monotonically_increasing_id()), "posts")
     mark = high_water(numbered, "created_at")
@@ -188,9 +226,8 @@ def load_posts(
     time, author = catalog.load("silver", "time"), catalog.load("silver", "author")
     catalog.replace_load(with_keys(batch, time, author), "silver", "posts")
     # The mark and the ledger cover the posts that were read, also those without words.
-    catalog.replace_load(
-        numbered.select("h1", "h2", "month_collect", "day_collect", "load"), "silver", "ledger"
-    )
+    listed = numbered.select("_row", "h1", "h2", "month_collect", "day_collect", "load")
+    catalog.replace_load(listed.join(batch.select("_row", "SK_post"), "_row", "left"), "silver", "ledger")
     reads = [(b, load) for b in batches or []]
     catalog.append(catalog.spark.createDataFrame(reads, TABLES["silver", "reads"]), "silver", "reads")
     count = batch.count()

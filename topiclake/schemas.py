@@ -25,20 +25,24 @@ TABLES = {
     ("bronze", "posts"): f"{RAW}, source_file string, day_collect int, batch string",
     # Files of the finished batches; rows of a batch that is not listed are not read.
     ("bronze", "files"): "file string, file_date string, batch string",
-    # Digests of the posts that streams have landed.
-    ("bronze", "ledger"): "h1 long, h2 long, month_collect int, day_collect int, batch string",
+    # Digests and counters of the posts that streams have landed.
+    ("bronze", "ledger"): f"h1 long, h2 long, {COUNTERS}, month_collect int, day_collect int, batch string",
     ("silver", "posts"): f"{SILVER_POSTS}, load int",
     ("silver", "time"): TIME,
     ("silver", "author"): AUTHOR,
     # One row per finished load: the greatest raw creation time and the last post key.
     ("silver", "loads"): "mark timestamp, last_post long",
-    # Digests of the loaded posts, for late and repeated ones.
-    ("silver", "ledger"): "h1 long, h2 long, month_collect int, day_collect int, load int",
+    # Digests of the loaded posts, for late and repeated ones, and their keys if they have words.
+    ("silver", "ledger"): "h1 long, h2 long, SK_post long, month_collect int, day_collect int, load int",
+    # Days whose posts got higher counters from later copies, one row per day and load that did it.
+    ("silver", "revised"): "day_collect int, mark string",
     # Bronze batches that a load has read in full.
     ("silver", "reads"): "batch string, load int",
     # Words of the corpus with their counts, learnt once.
     ("silver", "vocabulary"): "word string, n long",
     ("gold", "posts"): GOLD_POSTS,
+    # Marks of the revisions that gold has taken over.
+    ("gold", "revised"): "day_collect int, mark string",
     ("gold", "time"): TIME,
     ("gold", "author"): AUTHOR,
     ("results", "labels"): "SK_post long, post string, labels int",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from topiclake.plans.bronze import with_day, with_month
-from topiclake.plans.silver import TextPlan, digests, load_posts, seen_in
+from topiclake.plans.silver import (
+    COUNTERS, TextPlan, counters, digests, distinct_posts, load_posts, seen_in,
+)
 from topiclake.schemas import RAW, TABLES
 from topiclake.session import stage
 from topiclake.sources.catalog import Catalog
@@ -27,9 +29,14 @@ def read_landing(
 
 
 def recollected_once(posts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Posts that are neither repeated in ``posts`` nor in the ledger, however old they are."""
-    fresh = digests(posts).dropDuplicates(["h1", "h2"])
-    return fresh.join(seen_in(ledger, posts), ["day_collect", "h1", "h2"], "left_anti")
+    """Each post once, with its highest counters, unless the ledger has it with counters as high,
+    however old it is."""
+    fresh = digests(distinct_posts(posts))
+    seen = seen_in(ledger, posts, *COUNTERS).groupBy("day_collect", "h1", "h2").agg(
+        F.max(counters()).alias("_known")
+    )
+    joined = fresh.join(seen, ["day_collect", "h1", "h2"], "left")
+    return joined.filter(F.col("_known").isNull() | (counters() > F.col("_known"))).drop("_known")
 
 
 def start_bronze(
@@ -39,12 +46,13 @@ def start_bronze(
     """Append new files to the bronze table; the checkpoint knows which files are done.
 
     With ``once`` a post that was landed before is dropped: its digest is in the ledger, so nothing
-    depends on how late it comes. A batch that is run again replaces the partitions of its first try.
+    depends on how late it comes. Only a copy with higher counters is landed too, so that the highest
+    of a post's rows are those of all its copies, in whatever order they come. A batch that is run again replaces the partitions of its first try.
     """
 
     def land(batch: DataFrame, number: int) -> None:
         name = f"stream-{number}"
-        rows = with_day(batch)
+        rows = stage(with_day(batch), "parsed")
         ledger = catalog.load("bronze", "ledger").filter(F.col("batch") != name)
         rows = recollected_once(rows, ledger) if once else digests(rows)
         rows = stage(with_month(rows).withColumn("batch", F.lit(name)), "landed")
@@ -69,7 +77,8 @@ def start_silver(
     """Load new bronze rows into the star, batch by batch.
 
     A batch that is run again after a failure finds its posts in the ledger, so none is doubled,
-    and late posts are loaded whenever they come.
+    and late posts are loaded whenever they come. Higher counters of a copy that comes later replace
+    those of its post.
     """
     reader = catalog.spark.readStream.schema(TABLES["bronze", "posts"])
     if files_per_batch:

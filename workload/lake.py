@@ -469,13 +469,43 @@ def _(s, d):
     return c.load("bronze", "posts").select("day_collect", "author", "like_count")
 
 
-@query("r3_stream_recollected", RAW_SQL)
-def _(s, d):
+# The second copy of a post has one like less, as many, or one more.
+RECOLLECTED = "greatest(like_count, like_count + like_count % 3 - 1)"
+
+
+def landed_twice(s, d, silver_too=False):
+    """A lake whose posts were landed by two runs of the stream, with other likes in the second."""
     path, out = new_path(s, "landing"), Catalog(s, new_path(s, "lake"))
-    feed.write_csv(spread(raw(s, d)), f"{path}/first")
-    feed.write_csv(spread(raw(s, d)), f"{path}/second")
-    streams.start_bronze(out, path, new_path(s, "progress")).awaitTermination()
-    return plain_time(out.load("bronze", "posts").drop("source_file", "day_collect", "batch"))
+    marks = new_path(s, "progress"), new_path(s, "progress")
+    second = raw(s, d).withColumn("like_count", F.expr("like_count + like_count % 3 - 1"))
+    for name, rows in (("first", raw(s, d)), ("second", second)):
+        feed.write_csv(spread(rows), f"{path}/{name}")
+        streams.start_bronze(out, path, marks[0]).awaitTermination()
+        if silver_too:
+            streams.start_silver(out, marks[1], silver.cleaned_words).awaitTermination()
+    return out
+
+
+@query(
+    "r3_stream_recollected",
+    f"""WITH {v.POSTS} SELECT author, text, created_at, CAST({RECOLLECTED} AS INT) AS like_count, repost_count,
+    quote_count, reply_count FROM posts""",
+)
+def _(s, d):
+    out = landed_twice(s, d)
+    return plain_time(silver.distinct_posts(bronze.posts(out).drop("source_file", "day_collect", "batch")))
+
+
+@query(
+    "r3_stream_counters_in_silver",
+    STAR
+    + f""" SELECT author, created_at, yaked, CAST({RECOLLECTED} AS INT) AS like_count, repost_count,
+    quote_count, reply_count FROM kept""",
+)
+def _(s, d):
+    c = landed_twice(s, d, silver_too=True)
+    joined = star(*(c.load("silver", t) for t in ("posts", "author", "time")))
+    return plain_time(joined.select("author", "created_at", "yaked", *COUNTERS))
 
 
 @query(
