@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -106,3 +107,70 @@ def test_edges(spark, docs, no_docs, clashing):
     groups = {c for _, n, c in expected if n}
     assert len(rows) == len(groups) + sum(n == 0 for _, n, _ in expected)
     assert sorted(r.doc_id for r in rows if shingles(r.text, 5)) == sorted(groups)
+
+
+def test_links_at_the_limit(spark):
+    """Pairs of 0.80 to 0.85: changed words in one stretch, at even steps, at the end, anywhere."""
+    rng = random.Random(8)
+    rows, wanted = [], []
+    for p in range(1200):
+        n = rng.choice([30, 60, 120, 300])
+        words = [f"p{p}w{i}" for i in range(n)]
+        kind, other = p % 4, list(words)
+        for edits in range(1, n):
+            if kind == 0:
+                places = range(n // 3, n // 3 + edits)
+            elif kind == 1:
+                places = range(0, n, max(1, n // edits))
+            elif kind == 2:
+                places = range(n - edits, n)
+            else:
+                places = rng.sample(range(n), edits)
+            changed = [f"x{i}" if i in set(places) else w for i, w in enumerate(words)]
+            a, b = shingles(" ".join(words), 2), shingles(" ".join(changed), 2)
+            if 5 * len(a & b) < 4 * len(a | b):
+                break
+            other = changed
+        a, b = shingles(" ".join(words), 2), shingles(" ".join(other), 2)
+        wanted.append(5 * len(a & b) >= 4 * len(a | b))
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(docs, shingle=2).collect()}
+    assert all(wanted) and all(got[2 * p + 1] == 2 * p for p in range(1200))
+
+
+def test_rare_values_find_every_candidate():
+    """Two sketches that share enough have one of their rarest values in common."""
+    rng = random.Random(3)
+    for _ in range(300):
+        size = rng.choice([5, 12, 48])
+        values = rng.sample(range(10**6), 2 * size)
+        common = rng.randint(-(-size // 2), size)
+        a = values[:size]
+        b = values[:common] + values[size : 2 * size - common]
+        length = {v: rng.choice([1, 2, 2, 3, 50]) for v in values}
+        for v in values[:common]:
+            length[v] = max(length[v], 2)
+        floor = common / size
+
+        def prefix(s):
+            ranked = sorted((length[v], v) for v in s)
+            return {v for _, v in ranked[: size - math.ceil(floor * size - 1e-9) + 1]}
+
+        assert prefix(a) & prefix(b)
+
+
+def test_long_lists_of_several_components(spark, monkeypatch):
+    """Leaders, tiles by sketches and by whole sets, in blocks of four."""
+    monkeypatch.setattr(N, "SHORT", 2)
+    monkeypatch.setattr(N, "TILE", 4)
+    monkeypatch.setattr(N, "HUB_PAIRS", 3)
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(40)]
+    rows = []
+    for g in range(10):
+        own = shared + [f"g{g}w{i}" for i in range(rng.choice([6, 14, 40]))]
+        for c in range(rng.choice([1, 3, 7])):
+            rows.append((len(rows), edited(rng, own, rng.randrange(0, 5), f"e{len(rows)}")))
+    check(spark, rows, 2)
+    check(spark, rows, 5)

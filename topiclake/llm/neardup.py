@@ -1,22 +1,21 @@
 """Near-duplicates by bottom-k sketches of word-shingle sets, one hash function for all.
 
 A document's set is hashed once; its sketch is the ``size`` least hash values. Documents with equal
-sets become one node. Inverted lists hold, for each run of three values that follow each other in a
-sketch (two for small sets), the nodes that have it: near-duplicates share many runs, while documents
-with only a common line or common words rarely do, because their own values fall in between.
-
-Lists yield candidate links to leaders, not all pairs. Every member of a list is tested against the
-list's leader, the member whose lists are longest: in a group of copies that is the one with the
-fewest changes. A candidate passes if the similarity that the union of both sketches estimates is not
-far below the limit, and is confirmed on the whole sets. Lists whose members are then connected are
-settled, so a group of copies costs one link per member. In the others each member outside the
-leader's component is compared with all members: the list is cut into tiles of bounded size, a task
-counts the intersections of one tile's sets, and returns a link at most for each member and
-component, the most similar one. Dense lists so cost arithmetic, not rows, and no link within a list is lost.
-
-What is left out: that two sets of just the limit's similarity share too few runs (20 to 30 are
-expected), or that the estimate is 5.5 deviations off, has a probability below 2e-5 for each such
-pair; sets of up to ``size`` shingles are always found.
+sets become one node. Inverted lists hold, for each retained value, the nodes that have it. Two sets are
+candidates if the similarity that the union of both sketches estimates is not far below the limit, so they
+share many values; a node therefore needs only the lists of its rarest values, as many as it may lack and
+one more (values that no other node has count among them). Of any two candidates at least one such list
+is common, so no candidate is lost, and the long lists of common words and lines are mostly never made.
+
+Short lists give all their pairs. In a long list every member is compared with one leader; lists whose
+members are then connected are settled, so a group of copies costs one link per member. In the others each
+member outside the leader's component meets all members, in tiles of bounded size: first by their
+sketches, then, for the members that have a candidate there, by their whole sets. A tile returns a link at
+most for each member and component. Every link is confirmed on whole sets; texts are fetched only for nodes
+with candidates.
+
+What is left out: that the estimate of two sets of just the limit's similarity is 5.5 deviations off has a
+probability below 1e-7; sets of up to ``size`` shingles are always found.
 """
 
 from __future__ import annotations
@@ -27,25 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topiclake.llm.columns import shield
-from topiclake.llm.text import LOWER, SOLID, Words, buffers, gram_hashes, large, mix, slices
+from topiclake.llm.text import LOWER, SOLID, Words, gram_hashes, mix, slices
 from topiclake.operators.components import connected_components
-from topiclake.session import stage
+from topiclake.session import small_side, stage
 
 SIZE = 48
-# Longest lists of each node that are passed over: near-duplicates share more lists than that.
-SPARE = 2
-# Sets of up to so many shingles also have lists for runs of two values. Similar sets differ by a
-# quarter at most, so of two sets either both are that small or both are large enough for three.
-SMALL = 30
-THREE = 9
-# Lists, besides the spared ones, that large similar sets share at least.
-SHARED = 3
-# Members of a list that meet in a task, on each side.
-TILE = 1024
+# Lists of up to so many members give all their pairs.
+SHORT = 12
+# Members of a list that meet in a task on each side, and bytes of their whole sets.
+TILE, TILE_BYTES = 1024, 64 << 20
+# Pairs of one hub that are confirmed in a row, and nodes whose names may be broadcast to find texts.
+HUB_PAIRS = 512
+SMALL_NODES = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
@@ -93,86 +89,97 @@ def _sketches(df: DataFrame, shingle: int, size: int) -> DataFrame:
     return df.mapInArrow(run, f"_id {id_type}, _key binary, n long, _set binary, sketch array<long>")
 
 
-def _similar(shingle: int, numerator: int, denominator: int):
-    """Keep rows (a, b, _text_a, _text_b) whose sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            row = 0
-            for rows, data, offsets in slices(batch, "_text_a"):
-                left = shingle_sets(data, offsets, shingle)
-                other = large(rows.column(3))
-                right = shingle_sets(*buffers(other), shingle)
-                for x, y in zip(left, right):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[row] = denominator * common >= numerator * (len(x) + len(y) - common)
-                    row += 1
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    return run
-
-
 def union_estimate(a: Column, b: Column, size: int) -> Column:
     """Share of the ``size`` least values of both sketches that both hold."""
     least = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
     return F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least)
 
 
-def _runs(sketch: str, length: int) -> Column:
-    """Hashes of the runs of ``length`` values."""
-    return F.transform(
-        F.slice(sketch, F.lit(1), F.greatest(F.lit(0), F.size(sketch) - length + 1)),
-        lambda x, i: F.xxhash64(x, *(F.get(sketch, i + j) for j in range(1, length))),
-    )
+def _floor(limit: tuple, size: int) -> float:
+    """Estimates below this are passed over."""
+    share = limit[0] / limit[1]
+    return share - 5.5 * math.sqrt(share * (1 - share) / size)
 
 
-def _lists(nodes: DataFrame, spare: int) -> DataFrame:
-    """(key, node, members) of the inverted lists with two members or more, without the longest of
-    each node, and the node's ``weight``: the length of all its lists."""
-    # Sets of up to three shingles are similar only if they are equal, which makes them one node.
-    kinds = F.flatten(
-        F.array(
-            F.when((F.col("n") > 3) & (F.col("n") <= SMALL), _runs("sketch", 2)).otherwise(F.array().cast("array<long>")),
-            F.when(F.col("n") >= THREE, _runs("sketch", 3)).otherwise(F.array().cast("array<long>")),
-        )
-    )
-    entries = nodes.select("node", "n", F.explode(kinds).alias("key"))
+def _prefixes(nodes: DataFrame, floor: float) -> DataFrame:
+    """(node, n, prefix, weight): the rarest values of each node that other nodes share.
+
+    Candidates share ``floor`` of the larger sketch at least; the lists of the other values and one
+    more, in the same order of rarity for all nodes, suffice to find them. ``weight`` is the length of a
+    node's lists.
+    """
+    entries = nodes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("key"))
     lengths = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = entries.join(lengths, "key")
-    # The longest lists are those of common lines and phrases. Each node passes over a few of its
-    # own, fewer than the lists that it shares with any near-duplicate.
-    own = Window.partitionBy("node")
-    place = F.row_number().over(own.orderBy(F.desc("members"), "key"))
-    many = F.when(F.col("n") > SMALL, F.lit(spare)).otherwise(0)
-    return (
-        shared.withColumn("_place", place)
-        .withColumn("weight", F.sum("members").over(own))
-        .filter(F.col("_place") > many)
-        .select("key", "node", "n", "members", "weight")
+    shared = entries.join(lengths, "key").groupBy("node", "k").agg(
+        F.array_sort(F.collect_list(F.struct("members", "key"))).alias("shared"),
+        F.sum("members").alias("weight"),
     )
+    needed = F.col("k") - F.ceil(F.lit(floor) * F.col("k") - F.lit(1e-9)).cast("int") + 1
+    # Values of no other node are the rarest.
+    left = needed - (F.col("k") - F.size("shared"))
+    prefix = F.transform(F.slice("shared", F.lit(1), F.greatest(left, F.lit(0))), lambda x: x["key"])
+    return shared.select("node", prefix.alias("prefix"), "weight").filter(F.size("prefix") > 0)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, limit: tuple, size: int) -> DataFrame:
-    """Links (u, v) among candidate pairs (u, v)."""
+def _close(pairs: DataFrame, nodes: DataFrame, limit: tuple, size: int) -> DataFrame:
+    """Pairs (u, v) whose sizes and union estimate allow a link."""
     numerator, denominator = limit
-    share = numerator / denominator
-    floor = share - 5.5 * math.sqrt(share * (1 - share) / size)
     a = nodes.select(F.col("node").alias("u"), F.col("n").alias("n_a"), F.col("sketch").alias("a"))
     b = nodes.select(F.col("node").alias("v"), F.col("n").alias("n_b"), F.col("sketch").alias("b"))
-    close = (
+    return (
         pairs.join(a, "u")
         .join(b, "v")
         .filter(denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b"))
-        .filter(union_estimate(F.col("a"), F.col("b"), size) >= floor)
+        .filter(union_estimate(F.col("a"), F.col("b"), size) >= _floor(limit, size))
         .select("u", "v")
     )
-    with_texts = (
-        close.join(texts.select(F.col("node").alias("u"), F.col("_text").alias("_text_a")), "u")
-        .join(texts.select(F.col("node").alias("v"), F.col("_text").alias("_text_b")), "v")
-        .select("u", "v", "_text_a", "_text_b")
+
+
+def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, _text) of the wanted nodes; equal rows are the same whichever is taken.
+
+    The names of the nodes are broadcast if a count finds them few; then only their texts move.
+    """
+    named = stage(nodes.join(wanted, "node", "left_semi").select("node", F.col("low").alias("_low"), F.col("low_key").alias("_low_key")), "wanted")
+    found = texts.join(
+        small_side(named, SMALL_NODES), (F.col("_key") == F.col("_low_key")) & F.col("_id").eqNullSafe(F.col("_low"))
     )
-    return stage(with_texts.mapInArrow(_similar(shingle, *limit), "u long, v long"), "links")
+    return stage(found.groupBy("node").agg(F.first("_text").alias("_text")), "node_texts")
+
+
+def _confirmed(close: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, limit: tuple) -> DataFrame:
+    """Links (u, v) among the candidates, on whole sets.
+
+    The pairs of a hub ``v`` are dealt into parts; in each the hub's text comes first, then those of its
+    partners, so that a text travels once per pair and no hub is in one task.
+    """
+    numerator, denominator = limit
+    close = stage(close, "close")
+    wanted = close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node"))).distinct()
+    found = _texts_of(wanted, nodes, texts)
+    parts = close.groupBy("v").agg(F.ceil(F.count("*") / F.lit(HUB_PAIRS)).cast("int").alias("parts"))
+    dealt = close.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
+    hubs = parts.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    hubs = hubs.join(found.withColumnRenamed("node", "v"), "v").select("v", "part", F.lit(None).cast("long").alias("u"), "_text")
+    partners = dealt.join(found.withColumnRenamed("node", "u"), "u").select("v", "part", "u", "_text")
+    rows = hubs.unionByName(partners).repartition("v", "part").sortWithinPartitions("v", "part", F.asc_nulls_first("u"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.int64)
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "_text"):
+                sets = shingle_sets(data, offsets, shingle)
+                u, keep = rows.column(2), np.zeros(rows.num_rows, bool)
+                partner = u.is_valid().to_numpy(zero_copy_only=False)
+                for i, own in enumerate(sets):
+                    if not partner[i]:
+                        hub = own
+                        continue
+                    common = len(np.intersect1d(own, hub, assume_unique=True))
+                    keep[i] = denominator * common >= numerator * (len(own) + len(hub) - common)
+                yield pa.RecordBatch.from_arrays([u, rows.column(0)], ["u", "v"]).filter(pa.array(keep))
+
+    return stage(rows.mapInArrow(run, "u long, v long"), "links")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1 << 10) -> np.ndarray:
@@ -200,14 +207,11 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 
 def _tile_links(numerator: int, denominator: int):
-    """Links of the members outside the leader's component in one tile of a list."""
+    """Links of the members outside the leader's component in one tile of a list, on whole sets."""
 
     def run(table: pa.Table) -> pa.Table:
         node, root, first = (table.column(c).to_numpy() for c in ("node", "root", "first"))
-        rows = table.column("_set_values").combine_chunks()
-        bounds = rows.offsets.to_numpy()
-        values = rows.values.to_numpy()
-        sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        sets = _ragged(table.column("_set_values"))
         left, right = np.flatnonzero(first), np.arange(len(node))
         u, v = [], []
         if len(left) and len(np.unique(root)) > 1:
@@ -228,72 +232,95 @@ def _tile_links(numerator: int, denominator: int):
     return run
 
 
+def _alive(numerator: int, denominator: int, floor: float):
+    """Members of a tile with a candidate outside their component that no other list brings together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, n, first = (table.column(c).to_numpy() for c in ("node", "root", "n", "first"))
+        key = table.column("key")[0].as_py()
+        sketches, prefixes = (_ragged(table.column(c)) for c in ("sketch", "prefix"))
+        left = np.flatnonzero(first)
+        common = intersections([sketches[i] for i in left], sketches)
+        k = np.array([len(x) for x in sketches])
+        hit = common >= floor * np.maximum(k[left][:, None], k[None]) - 1e-6
+        hit &= denominator * np.minimum(n[left][:, None], n[None]) >= numerator * np.maximum(n[left][:, None], n[None])
+        hit &= root[left][:, None] != root[None]
+        # Of the lists that both are in, the one of the least value has the pair.
+        before = [x[x < key] for x in prefixes]
+        if hit.any() and any(len(x) for x in before):
+            hit &= intersections([before[i] for i in left], before) == 0
+        used = hit.any(0)
+        asks = np.zeros(len(node), bool)
+        asks[left] = hit.any(1)
+        rows = np.flatnonzero(used | asks)
+        return pa.table({
+            "key": pa.array(np.full(len(rows), key)), "a": pa.array(np.full(len(rows), table.column("a")[0].as_py(), np.int32)),
+            "b": pa.array(np.full(len(rows), table.column("b")[0].as_py(), np.int32)),
+            "node": pa.array(node[rows]), "root": pa.array(root[rows]), "first": pa.array(asks[rows]),
+        })
+
+    return run
+
+
+def _ragged(column: pa.ChunkedArray) -> list[np.ndarray]:
+    rows = column.combine_chunks()
+    rows = pa.concat_arrays(rows.chunks) if isinstance(rows, pa.ChunkedArray) else rows
+    bounds, values = rows.offsets.to_numpy(), rows.values.to_numpy()
+    return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def _tiled(
-    lists: DataFrame, leaders: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame,
-    shingle: int, limit: tuple, size: int,
+    lists: DataFrame, leaders: DataFrame, roots: DataFrame, prefixes: DataFrame, nodes: DataFrame,
+    texts: DataFrame, shingle: int, limit: tuple, size: int,
 ) -> DataFrame | None:
-    """Links within the lists that hold several components; None if there is no such list.
+    """Links within the long lists that hold several components; None if there is no such list.
 
     Members outside the leader's component are dealt over blocks, and so are all members; each block
     of the former meets each of the latter. Members are copied as often as the other side has blocks.
     """
-    placed = lists.filter("members > 2").join(roots, "node", "left").select(
-        "key", "node", "n", F.coalesce("root", "node").alias("root")
-    )
+    placed = lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     lead = leaders.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select(
         "key", F.coalesce("root", "v").alias("_main")
     )
     placed = placed.join(lead, "key").withColumn("out", F.col("root") != F.col("_main"))
-
-    def of_open_lists(rows: DataFrame) -> DataFrame:
-        """Members of the lists that hold several components, with the sizes of the lists."""
-        sizes = rows.groupBy("key").agg(
-            F.count("*").alias("_all"), F.count_if("out").alias("_out"),
-            F.min("root").alias("_low"), F.max("root").alias("_high"),
-        ).filter("_out > 0 and _low <> _high")
-        return rows.join(sizes.select("key", "_all", "_out"), "key")
-
-    first = stage(of_open_lists(placed), "open")
-    # A pair that is not connected yet shares only open lists, and similar sets share several.
-    several = F.count("*").over(Window.partitionBy("node")) >= SHARED
-    first = first.withColumn("_several", several | (F.col("n") <= SMALL)).filter("_several")
-    members = stage(of_open_lists(first.drop("_all", "_out", "_several")), "open")
+    sizes = placed.groupBy("key").agg(
+        F.count("*").alias("_all"), F.count_if("out").alias("_out"), F.sum("n").alias("_sum"),
+    ).filter("_out > 0")
+    members = stage(placed.join(sizes, "key").drop("_main"), "open")
     if members.isEmpty():
         return None
-    wanted = members.select("node").distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in slices(batch, "_text"):
-                whole = shingle_sets(data, offsets, shingle)
-                found = pa.array([(x >> 32).astype(np.int32) for x in whole], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), found], ["node", "_set_values"])
-
-    node_sets = stage(
-        texts.join(wanted, "node", "left_semi").select("node", "_text").mapInArrow(
-            sets, "node long, _set_values array<int>"
-        ),
-        "sets",
-    )
-    outs = F.ceil(F.col("_out") / F.lit(TILE)).cast("int")
-    alls = F.ceil(F.col("_all") / F.lit(TILE)).cast("int")
+    least = F.ceil(8 * F.col("_sum") / F.lit(TILE_BYTES))
+    outs = F.least(F.col("_out"), F.greatest(F.ceil(F.col("_out") / F.lit(TILE)), least)).cast("int")
+    alls = F.least(F.col("_all"), F.greatest(F.ceil(F.col("_all") / F.lit(TILE)), least)).cast("int")
     place = F.xxhash64("node", "key")
     # As one that is compared: own block among the outer members, with every block of all members.
     left = members.filter("out").select(
-        "key", "node", "root", F.pmod(place, outs).cast("int").alias("a"),
+        "key", "node", "root", "n", F.pmod(place, outs).cast("int").alias("a"),
         F.explode(F.sequence(F.lit(0), alls - 1)).alias("b"), F.lit(True).alias("first"),
     )
     right = members.select(
-        "key", "node", "root", F.explode(F.sequence(F.lit(0), outs - 1)).alias("a"),
+        "key", "node", "root", "n", F.explode(F.sequence(F.lit(0), outs - 1)).alias("a"),
         F.pmod(place, alls).cast("int").alias("b"), F.lit(False).alias("first"),
     )
-    both = left.unionByName(right).groupBy("key", "a", "b", "node", "root").agg(F.max("first").alias("first"))
-    found = both.join(node_sets, "node").groupBy("key", "a", "b").applyInArrow(
-        _tile_links(*limit), "u long, v long"
+    both = left.unionByName(right).groupBy("key", "a", "b", "node", "root", "n").agg(F.max("first").alias("first"))
+    known = nodes.select("node", "sketch").join(prefixes.select("node", "prefix"), "node")
+    alive = stage(
+        both.join(known, "node").groupBy("key", "a", "b").applyInArrow(
+            _alive(*limit, _floor(limit, size)), "key long, a int, b int, node long, root long, first boolean"
+        ),
+        "alive",
     )
-    # Halves of the hashes travel; what they link is confirmed on the whole sets.
-    found = stage(found.distinct(), "tile_links")
-    return _confirmed(found, nodes, texts, shingle, limit, size)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "_text"):
+                whole = pa.array(shingle_sets(data, offsets, shingle), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), whole], ["node", "_set_values"])
+
+    found = _texts_of(alive.select("node").distinct(), nodes, texts)
+    whole = found.mapInArrow(sets, "node long, _set_values array<long>")
+    links = alive.join(whole, "node").groupBy("key", "a", "b").applyInArrow(_tile_links(*limit), "u long, v long")
+    return stage(links, "tile_links")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -302,7 +329,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
-    limit: tuple[int, int] = (4, 5), size: int = SIZE, spare: int = SPARE,
+    limit: tuple[int, int] = (4, 5), size: int = SIZE,
 ) -> DataFrame:
     """Per document: ``key``, ``n_shingles``, ``component_id``, ``kept``, and what tells rows apart.
 
@@ -318,28 +345,32 @@ def near_duplicates(
     texts = texts.select("_id", F.unhex(F.md5("_text")).alias("_key"), "_text")
     rows = _sketches(texts, shingle, size).withColumn("_row", F.monotonically_increasing_id())
     rows = stage(rows, "sketched")
-    # A node is the first row of a set.
-    nodes = (
-        rows.filter(F.col("_set").isNotNull())
-        .groupBy("_set")
-        .agg(F.min("_row").alias("node"), F.min("_id").alias("low"))
-    )
-    nodes = stage(nodes, "nodes")
-    sketched = rows.select(F.col("_row").alias("node"), "_key", "n", "sketch")
-    lists = stage(_lists(sketched.join(nodes.select("node"), "node", "left_semi"), spare), "lists")
-    listed = stage(
-        sketched.join(lists.select("node").distinct(), "node", "left_semi"), "listed"
+    # A node is a set, named by its first row; its text is that of the least key.
+    named = F.struct("_id", "_key")
+    low = F.coalesce(F.min(F.when(F.col("_id").isNotNull(), named)), F.min(named))
+    nodes = rows.filter(F.col("_set").isNotNull()).groupBy("_set").agg(
+        F.min("_row").alias("node"), low.alias("low"), F.first("n").alias("n"),
+        F.first("sketch").alias("sketch"),
     )
-    # One text per node that is in a list; equal texts are the same whichever row they come from.
-    chosen = texts.select("_key", "_text").join(listed.select("node", "_key"), "_key")
-    node_texts = stage(chosen.groupBy("node").agg(F.first("_text").alias("_text")), "node_texts")
-
-    leaders = lists.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("l"))
-    leaders = stage(leaders.select("key", F.col("l.node").alias("v")), "leaders")
-    pairs = lists.join(leaders, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    links = _confirmed(pairs, listed, node_texts, shingle, limit, size)
+    nodes = stage(nodes.select("_set", "node", F.col("low._id").alias("low"), F.col("low._key").alias("low_key"), "n", "sketch"), "nodes")
+    prefixes = stage(_prefixes(nodes, _floor(limit, size)), "prefixes")
+    lists = prefixes.join(nodes.select("node", "n"), "node").select("node", "n", "weight", F.explode("prefix").alias("key"))
+    counts = lists.groupBy("key").agg(F.count("*").alias("members"), F.max(F.struct("weight", "node")).alias("l"))
+    counts = stage(counts.filter("members > 1").select("key", "members", F.col("l.node").alias("v")), "lists")
+    lists = stage(lists.join(counts, "key").select("key", "node", "n", "members", "v"), "members")
+
+    short = lists.filter(F.col("members") <= SHORT)
+    one = short.select("key", F.col("node").alias("u"), F.col("n").alias("n_u"))
+    two = short.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"))
+    fits = limit[1] * F.least("n_u", "n_v") >= limit[0] * F.greatest("n_u", "n_v")
+    pairs = one.join(two, "key").filter(F.col("u") < F.col("v")).filter(fits).select("u", "v")
+    long = lists.filter(F.col("members") > SHORT)
+    led = long.filter("node <> v").select(F.greatest("node", "v").alias("v"), F.least("node", "v").alias("u"))
+    pairs = pairs.unionByName(led.select("u", "v")).distinct()
+    links = _confirmed(_close(pairs, nodes, limit, size), nodes, texts, shingle, limit)
     roots = stage(_components(links), "roots")
-    more = _tiled(lists, leaders, roots, listed, node_texts, shingle, limit, size)
+    leaders = counts.filter(F.col("members") > SHORT).select("key", "v")
+    more = _tiled(long.select("key", "node", "n"), leaders, roots, prefixes, nodes, texts, shingle, limit, size)
     if more is not None and not more.isEmpty():
         roots = stage(_components(links.unionByName(more)), "roots")
 
