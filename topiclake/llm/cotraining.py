@@ -220,7 +220,8 @@ def fit(
 ) -> Model | None:
     """Train on a sample of the documents; three labelled rows of ten are held out.
 
-    Rows without a key or a label are not used; of conflicting labels of a key the lower counts.
+    Rows without a key or a label are not used; of conflicting labels of a key the lower counts, of
+    several rows of a key the least.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_label"))
@@ -229,8 +230,10 @@ def fit(
     rest = docs.select(F.col(key).alias("_id")).filter("_id is not null")
     rest = least_rows(rest.join(known.select("_id"), "_id", "left_anti"), F.xxhash64(order), unlabelled)
     sample = chosen.unionByName(rest.withColumn("_label", F.lit(-1)))
-    # At most the sum of both bounds in rows of a key and a label.
+    # One row for each key and label, the least one, so at most the sum of both bounds.
     picked = _documents(docs, key, text, lang, source, size).join(F.broadcast(sample), "_id")
+    least = F.min(F.struct("_lang", "_source", "_size", "_text")).alias("d")
+    picked = picked.groupBy("_id", "_label").agg(least).select("_id", "_label", "d.*")
     picked = picked.select(
         "_label", order.alias("_order"), "_lang", "_source", "_size", "_text"
     )
