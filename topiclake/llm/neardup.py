@@ -110,6 +110,7 @@ def _prefixes(nodes: DataFrame, floor: float) -> DataFrame:
     """
     entries = nodes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("key"))
     lengths = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    lengths = small_side(stage(lengths, "lengths"), SMALL_NODES)
     shared = entries.join(lengths, "key").groupBy("node", "k").agg(
         F.array_sort(F.collect_list(F.struct("members", "key"))).alias("shared"),
         F.sum("members").alias("weight"),
@@ -135,19 +136,29 @@ def _close(pairs: DataFrame, nodes: DataFrame, limit: tuple, size: int) -> DataF
     )
 
 
-def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, _text) of the wanted nodes; equal rows are the same whichever is taken.
+def _texts_of(roles: DataFrame, nodes: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The roles (node, ...) with the text of their node.
 
-    The names of the nodes are broadcast if a count finds them few; then only their texts move.
+    What is asked for is broadcast if a count finds it small; then only the texts in question move. Rows
+    that the table repeats (``repeated`` names them) come once.
     """
-    named = stage(nodes.join(wanted, "node", "left_semi").select("node", F.col("low").alias("_low"), F.col("low_key").alias("_low_key")), "wanted")
+    named = roles.join(nodes.select("node", F.col("low").alias("_low"), F.col("low_key").alias("_low_key")), "node")
+    again = small_side(repeated.select(F.col("_id").alias("_r"), F.col("_key").alias("_rk"), F.lit(True).alias("_again")))
+    twice = (F.col("_low_key") == F.col("_rk")) & F.col("_low").eqNullSafe(F.col("_r"))
+    named = stage(named.join(again, twice, "left").drop("_r", "_rk"), "wanted")
     found = texts.join(
         small_side(named, SMALL_NODES), (F.col("_key") == F.col("_low_key")) & F.col("_id").eqNullSafe(F.col("_low"))
     )
-    return stage(found.groupBy("node").agg(F.first("_text").alias("_text")), "node_texts")
+    once = found.filter("_again is null").select(*roles.columns, "_text")
+    if named.filter("_again").isEmpty():
+        return once
+    many = found.filter("_again").groupBy(*roles.columns).agg(F.first("_text").alias("_text"))
+    return once.unionByName(many)
 
 
-def _confirmed(close: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, limit: tuple) -> DataFrame:
+def _confirmed(
+    close: DataFrame, nodes: DataFrame, texts: DataFrame, repeated: DataFrame, shingle: int, limit: tuple
+) -> DataFrame:
     """Links (u, v) among the candidates, on whole sets.
 
     The pairs of a hub ``v`` are dealt into parts; in each the hub's text comes first, then those of its
@@ -155,14 +166,16 @@ def _confirmed(close: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: in
     """
     numerator, denominator = limit
     close = stage(close, "close")
-    wanted = close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node"))).distinct()
-    found = _texts_of(wanted, nodes, texts)
     parts = close.groupBy("v").agg(F.ceil(F.count("*") / F.lit(HUB_PAIRS)).cast("int").alias("parts"))
-    dealt = close.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
-    hubs = parts.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hubs = hubs.join(found.withColumnRenamed("node", "v"), "v").select("v", "part", F.lit(None).cast("long").alias("u"), "_text")
-    partners = dealt.join(found.withColumnRenamed("node", "u"), "u").select("v", "part", "u", "_text")
-    rows = hubs.unionByName(partners).repartition("v", "part").sortWithinPartitions("v", "part", F.asc_nulls_first("u"))
+    dealt = close.join(parts, "v").select(
+        F.col("u").alias("node"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), "u"
+    )
+    hubs = parts.select(
+        F.col("v").alias("node"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.lit(None).cast("long").alias("u"),
+    )
+    rows = _texts_of(hubs.unionByName(dealt), nodes, texts, repeated).select("v", "part", "u", "_text")
+    rows = rows.repartition("v", "part").sortWithinPartitions("v", "part", F.asc_nulls_first("u"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, np.int64)
@@ -270,8 +283,8 @@ def _ragged(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _tiled(
-    lists: DataFrame, leaders: DataFrame, roots: DataFrame, prefixes: DataFrame, nodes: DataFrame,
-    texts: DataFrame, shingle: int, limit: tuple, size: int,
+    lists: DataFrame, leaders: DataFrame, roots: DataFrame, nodes: DataFrame,
+    texts: DataFrame, repeated: DataFrame, shingle: int, limit: tuple, size: int,
 ) -> DataFrame | None:
     """Links within the long lists that hold several components; None if there is no such list.
 
@@ -303,9 +316,8 @@ def _tiled(
         F.pmod(place, alls).cast("int").alias("b"), F.lit(False).alias("first"),
     )
     both = left.unionByName(right).groupBy("key", "a", "b", "node", "root", "n").agg(F.max("first").alias("first"))
-    known = nodes.select("node", "sketch").join(prefixes.select("node", "prefix"), "node")
     alive = stage(
-        both.join(known, "node").groupBy("key", "a", "b").applyInArrow(
+        both.join(nodes.select("node", "sketch", "prefix"), "node").groupBy("key", "a", "b").applyInArrow(
             _alive(*limit, _floor(limit, size)), "key long, a int, b int, node long, root long, first boolean"
         ),
         "alive",
@@ -317,7 +329,7 @@ def _tiled(
                 whole = pa.array(shingle_sets(data, offsets, shingle), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), whole], ["node", "_set_values"])
 
-    found = _texts_of(alive.select("node").distinct(), nodes, texts)
+    found = _texts_of(alive.select("node").distinct(), nodes, texts, repeated)
     whole = found.mapInArrow(sets, "node long, _set_values array<long>")
     links = alive.join(whole, "node").groupBy("key", "a", "b").applyInArrow(_tile_links(*limit), "u long, v long")
     return stage(links, "tile_links")
@@ -354,7 +366,10 @@ def near_duplicates(
     )
     nodes = stage(nodes.select("_set", "node", F.col("low._id").alias("low"), F.col("low._key").alias("low_key"), "n", "sketch"), "nodes")
     prefixes = stage(_prefixes(nodes, _floor(limit, size)), "prefixes")
-    lists = prefixes.join(nodes.select("node", "n"), "node").select("node", "n", "weight", F.explode("prefix").alias("key"))
+    # From here on only nodes that share rare values count.
+    known = nodes.select("node", "low", "low_key", "n", "sketch").join(prefixes, "node")
+    known = stage(known, "known")
+    lists = known.select("node", "n", "weight", F.explode("prefix").alias("key"))
     counts = lists.groupBy("key").agg(F.count("*").alias("members"), F.max(F.struct("weight", "node")).alias("l"))
     counts = stage(counts.filter("members > 1").select("key", "members", F.col("l.node").alias("v")), "lists")
     lists = stage(lists.join(counts, "key").select("key", "node", "n", "members", "v"), "members")
@@ -367,10 +382,12 @@ def near_duplicates(
     long = lists.filter(F.col("members") > SHORT)
     led = long.filter("node <> v").select(F.greatest("node", "v").alias("v"), F.least("node", "v").alias("u"))
     pairs = pairs.unionByName(led.select("u", "v")).distinct()
-    links = _confirmed(_close(pairs, nodes, limit, size), nodes, texts, shingle, limit)
+    repeated = rows.filter("n > 0").groupBy("_id", "_key").count().filter("count > 1")
+    repeated = stage(repeated.select("_id", "_key"), "repeated")
+    links = _confirmed(_close(pairs, known, limit, size), known, texts, repeated, shingle, limit)
     roots = stage(_components(links), "roots")
     leaders = counts.filter(F.col("members") > SHORT).select("key", "v")
-    more = _tiled(long.select("key", "node", "n"), leaders, roots, prefixes, nodes, texts, shingle, limit, size)
+    more = _tiled(long.select("key", "node", "n"), leaders, roots, known, texts, repeated, shingle, limit, size)
     if more is not None and not more.isEmpty():
         roots = stage(_components(links.unionByName(more)), "roots")
 
