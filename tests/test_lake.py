@@ -388,6 +388,61 @@ def test_segmentation(spark):
     assert got == ["social media news club xq social", "", None]
 
 
+def test_segmentation_is_that_of_all_substrings(spark):
+    """Words longer than several prefix tables and than a chunk, letters beyond the first plane."""
+    rng = np.random.default_rng(5)
+
+    def random_word(n):
+        return "".join(rng.choice(list("abé𝒳"), n))
+
+    known = sorted({random_word(n) for n in [1, 2, 3, 4, 5, 8, 9, 17, 40] for _ in range(5)})
+    words = sorted({"".join(rng.choice(known, rng.integers(1, 9))) for _ in range(40)} | {"q", "abq", "a" * 1300})
+    counts = [(w, int(rng.integers(2, 99))) for w in known]
+    vocabulary = spark.createDataFrame(counts, "word string, n long")
+    cost = {r.word: r.cost for r in segment.word_costs(vocabulary).collect()}
+    rank = sorted(counts, key=lambda c: (-c[1], c[0].encode()))
+    assert all(abs(cost[w] - np.log((i + 1) * np.log(len(known)))) < 1e-12 for i, (w, _) in enumerate(rank))
+    numbered = spark.createDataFrame(list(enumerate(words)), "id long, word string")
+    found = segment.known_pieces(numbered, segment.word_costs(vocabulary)).collect()
+    want = {
+        (i, a + 1, n) for i, w in enumerate(words) for a in range(len(w))
+        for n in {len(k) for k in known} if w[a : a + n] in cost and a + n <= len(w)
+    }
+    assert len(found) == len(want) and {(r.id, r.start, r.size) for r in found} == want
+
+    def cheapest(word):
+        parts = {}
+        for a in range(len(word)):
+            for n in {len(k) for k in known}:
+                if a + n <= len(word) and word[a : a + n] in cost:
+                    parts.setdefault(a + n, []).append((a, cost[word[a : a + n]]))
+        return segment.split_word(word, parts)
+
+    got = {r.word: r.divided for r in segment.divisions(numbered, vocabulary).collect()}
+    assert got == {w: cheapest(w) for w in words if cheapest(w) != w}
+
+
+def test_segmentation_rows_grow_with_letters(spark, monkeypatch):
+    """One long known word adds no row to words that do not begin like it."""
+    counted = {}
+
+    def counting(df, name="stage"):
+        out = staged(df, name)
+        counted[name] = counted.get(name, 0) + out.count()
+        return out
+
+    staged = segment.stage
+    monkeypatch.setattr(segment, "stage", counting)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    long = "".join(letters[(i * i + i // 7) % 26] for i in range(5000))
+    rows = [(1, long), (2, "z" * 5000), (3, long[:2500] + "zz" + long[2600:])]
+    numbered = spark.createDataFrame(rows, "id long, word string")
+    costs = spark.createDataFrame([(long, 1.0), ("zz", 2.0), ("abcd", 3.0)], "word string, cost double")
+    found = segment.known_pieces(numbered, costs)
+    assert {(r.id, r.start, r.size) for r in found.filter("size > 2").collect()} >= {(1, 1, 5000)}
+    assert counted["walk"] < 3 * 5000
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, "aa bb"), (2, "aa bb bb"), (3, "")], "id long, t string")
     rows = {r.id: np.array(r.embedding) for r in vectorize.vectorize(df, "t").collect()}

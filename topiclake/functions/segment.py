@@ -13,6 +13,12 @@ from topiclake.operators.keys import assign_keys
 from topiclake.operators.words import word_counts
 from topiclake.session import stage
 
+# Letters of the first prefix table of the trie.
+PREFIX = 4
+# Starts of a word that are cut from the same copy of its text.
+CHUNK = 512
+
+
 def learn_vocabulary(df: DataFrame, text: str, min_count: int = 2) -> DataFrame:
     """(word, n): the words of the corpus that occur ``min_count`` times or more."""
     counts = word_counts(df, text)
@@ -58,27 +64,74 @@ def _divide(words: pa.Array, starts: pa.Array, sizes: pa.Array, costs: pa.Array)
     return pa.array(out, pa.string())
 
 
+def _trie_level(costs: DataFrame, size: int) -> DataFrame:
+    """(prefix, sizes, deeper): prefixes of ``size`` letters of longer known words.
+
+    ``sizes`` are the different lengths of those words up to twice ``size``; ``deeper`` tells whether
+    there are still longer ones.
+    """
+    n = F.length("word")
+    return costs.filter(n > size).groupBy(F.left("word", F.lit(size)).alias("prefix")).agg(
+        F.collect_set(F.when(n <= 2 * size, n)).alias("sizes"), F.max(n > 2 * size).alias("deeper")
+    )
+
+
+def known_pieces(words: DataFrame, costs: DataFrame) -> DataFrame:
+    """(id, start, size, cost): every known word inside the rows (id, word); starts count from 1.
+
+    The known words are a trie, kept as tables of their prefixes of 4, 8, 16, … letters. A start goes
+    to the next table only if a known word begins like its text and is longer than that table's
+    lengths, and only lengths that such words have become pieces. Rows therefore grow with the letters
+    of a word and with what is known of it, not with its substrings.
+    """
+    length = F.length("word")
+    longest, few = costs.agg(F.max(length), F.collect_set(F.when(length <= PREFIX, length))).first()
+    longest = longest or 0
+    n, base, local = length, F.col("base"), F.col("local")
+    # Letters are counted from the start of a chunk, not of a word of any length.
+    chunks = words.filter(n > 0).select(
+        "id", "word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(CHUNK))).alias("base")
+    ).select("id", "n", "base", F.substring("word", base + 1, F.lit(CHUNK + 2 * PREFIX)).alias("chunk"))
+    at = chunks.select(
+        "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.col("n") - base))).alias("local")
+    ).select(
+        "id", (base + local).alias("start"), (F.col("n") - base - local + 1).alias("room"),
+        F.substring("chunk", local, F.lit(2 * PREFIX)).alias("text"),
+    )
+    short = F.array(*(F.lit(size) for size in sorted(few))).cast("array<int>")
+    pieces = at.select(
+        "id", "start", "text", F.explode(F.filter(short, lambda size: size <= F.col("room"))).alias("size")
+    )
+    depth = PREFIX
+    while depth < longest:
+        begun = at.filter(F.col("room") > depth).withColumn("prefix", F.left("text", F.lit(depth)))
+        at = stage(begun.join(_trie_level(costs, depth), "prefix").drop("prefix"), "walk")
+        whole = at.select("id", "start", "room", "text", F.explode("sizes").alias("size"))
+        pieces = pieces.unionByName(whole.filter("size <= room").drop("room"))
+        at = at.filter(F.col("deeper") & (F.col("room") > 2 * depth)).select("id", "start", "room")
+        depth *= 2
+        if at.isEmpty():
+            break
+        at = at.join(words, "id").select(
+            "id", "start", "room", F.substring("word", F.col("start"), F.lit(2 * depth)).alias("text")
+        )
+    named = pieces.select("id", "start", "size", F.left("text", F.col("size")).alias("word"))
+    return named.join(costs, "word").select("id", "start", "size", "cost")
+
+
 def divisions(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, divided) of the different words that a division changes.
 
-    Every piece of a word that may be a known word is joined with the vocabulary, which may be of
-    any size; a word's known pieces then meet in one row.
+    The vocabulary may be of any size; a word's known pieces meet in one row.
     """
     costs = stage(word_costs(vocabulary), "costs")
-    longest = costs.agg(F.max(F.length("word"))).first()[0] or 0
-    pieces = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    most = F.least(F.lit(longest), F.length("word") - F.col("start") + 1)
-    pieces = pieces.filter(most > 0).select(
-        "word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size")
-    )
-    known = pieces.withColumn("piece", F.substring("word", F.col("start"), F.col("size"))).join(
-        costs.withColumnRenamed("word", "piece"), "piece"
-    )
-    grouped = known.groupBy("word").agg(
+    numbered = stage(assign_keys(words.select("word"), "id"), "words")
+    grouped = known_pieces(numbered, costs).groupBy("id").agg(
         F.collect_list(F.struct(F.col("start") - 1, "size", "cost")).alias("k")
     )
     divided = _divide("word", F.col("k")["col1"], F.col("k")["size"], F.col("k")["cost"])
-    return grouped.select("word", divided.alias("divided")).filter("divided <> word")
+    found = grouped.join(numbered, "id").select("word", divided.alias("divided"))
+    return found.filter("divided <> word")
 
 
 def segment_words(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:

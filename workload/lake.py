@@ -431,7 +431,39 @@ def _(s, d):
     return keywords.extract_keywords(v.cleaned(s, d), "SK_post", "post")
 
 
-@query("x2_segmented_words")
+# Each different word is divided end by end; the cheapest cut of an end is the first of equal ones.
+SEGMENTED = f"""WITH RECURSIVE {v.CLEANED},
+  tok AS (SELECT "SK_post", unnest(string_split(post, ' ')) AS word,
+      unnest(range(len(string_split(post, ' ')))) AS pos FROM cleaned),
+  voc AS (SELECT word, count(*) AS n FROM tok WHERE word <> '' GROUP BY word HAVING count(*) >= 2),
+  cost AS MATERIALIZED (SELECT word, ln(row_number() OVER (ORDER BY n DESC, word)
+      * ln(greatest((SELECT count(*) FROM voc), 3))) AS cost FROM voc),
+  w AS MATERIALIZED (SELECT DISTINCT word FROM tok WHERE word <> ''),
+  s AS (SELECT word, unnest(range(length(word))) AS start FROM w),
+  p AS (SELECT word, start, unnest(range(1, least((SELECT max(length(word)) FROM voc),
+      length(word) - start) + 1)) AS size FROM s),
+  k AS MATERIALIZED (SELECT p.word, start + size AS fin, list({{'s': start, 'c': cost}} ORDER BY start) AS k
+    FROM p JOIN cost c ON c.word = substring(p.word, start + 1, size) GROUP BY ALL),
+  best(word, fin, cheapest, cut) AS (
+    SELECT word, 0::BIGINT, [0::DOUBLE], [0::BIGINT] FROM w
+    UNION ALL
+    SELECT word, fin + 1, list_append(cheapest, m),
+      list_append(cut, CASE WHEN m = 'inf' THEN 0 ELSE k[list_position(sums, m)].s END)
+    FROM (SELECT *, coalesce(list_min(sums), 'inf'::DOUBLE) AS m FROM (
+      SELECT b.*, k.k, list_transform(k.k, lambda x: b.cheapest[x.s + 1] + x.c) AS sums
+      FROM best b LEFT JOIN k ON k.word = b.word AND k.fin = b.fin + 1 WHERE b.fin < length(b.word)))),
+  back(word, cut, fin, divided) AS (
+    SELECT word, cut, fin, '' FROM best WHERE fin = length(word) AND cheapest[fin + 1] < 'inf'
+    UNION ALL
+    SELECT word, cut, cut[fin + 1], substring(word, cut[fin + 1] + 1, fin - cut[fin + 1]) || ' ' || divided
+    FROM back WHERE fin > 0),
+  new AS (SELECT word, trim(divided) AS divided FROM back WHERE fin = 0),
+  texts AS (SELECT "SK_post", string_agg(coalesce(divided, tok.word), ' ' ORDER BY pos) AS post
+    FROM tok LEFT JOIN new USING (word) GROUP BY "SK_post")
+  SELECT c."SK_post", t.post FROM cleaned c LEFT JOIN texts t USING ("SK_post")"""
+
+
+@query("x2_segmented_words", SEGMENTED)
 def _(s, d):
     rows = v.cleaned(s, d, written=True).select("SK_post", "post")
     return segment.segment_words(rows, "post", segment.learn_vocabulary(rows, "post"))
