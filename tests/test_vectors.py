@@ -284,6 +284,28 @@ def test_merge_heights_without_ties(spark):
         assert sorted(sorted(np.nonzero(got == c)[0].tolist()) for c in set(got)) == sorted(parts)
 
 
+def test_ensemble_of_very_many_clusters(spark, monkeypatch):
+    """300,000 slots: rounds, and rounds because the last groups hold too many slots, give the same tree."""
+    rng = np.random.default_rng(12)
+    n = 400
+    base = spark.range(n).select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(749))).alias("layer"))
+    # Neighbours share a few layers; every other label is a cluster of one row.
+    shared = F.pmod(F.xxhash64("layer", F.floor(F.col("id") / 8)), F.lit(40)) == 0
+    label = F.when(shared, F.floor(F.col("id") / 8)).otherwise(F.col("id") + 1000).cast("int")
+    layers = base.select("layer", "id", label.alias("label"))
+    assert layers.select("layer", "label").distinct().count() > 290_000
+    groups = ensemble.stage(ensemble.voted(ensemble.signature_groups(layers, "id")))
+    one = ensemble.stage(ensemble.merge_tree(groups, 512))
+    monkeypatch.setattr(ensemble, "LOCAL_ENTRIES", 100_000)
+    two = ensemble.stage(ensemble.merge_tree(groups, 512, tile_rows=int(rng.integers(40, 90))))
+    sims = [np.sort([r.sim for r in t.collect()]) for t in (one, two)]
+    assert len(sims[0]) == groups.count() - 1
+    np.testing.assert_allclose(sims[0], sims[1], atol=1e-9)
+    tops = [sorted((r.group, r.label) for r in ensemble.cut_tree(groups, t, 50).collect()) for t in (one, two)]
+    assert tops[0] == tops[1] and {(g // 8) for g, _ in tops[0]} == set(range(50))
+    assert all(label == g // 8 for g, label in tops[0])
+
+
 def test_ensemble_model(spark):
     x = blobs(2, 100)
     model = ensemble.EnsembleClusterer([Hdbscan(6, 3)], [Dbscan(1.0, 5), Dbscan(1.2, 5)], 2, 50)

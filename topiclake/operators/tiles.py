@@ -21,15 +21,63 @@ from pyspark.sql import functions as F
 TILE_BYTES = 4 << 20
 MIN_TILE_ROWS = 512
 MAX_TASKS = 20_000
+# Rows of sparse tiles are short, so the block of two tiles bounds them.
+SPARSE_ROWS = 2048
 # Session setting for the bytes of a strip, two of which are in a task's memory, and its default. Each
 # tile is copied once per strip: larger executors take longer strips and shuffle less.
 STRIP_SETTING, STRIP_BYTES = "topiclake.strip.bytes", 128 << 20
 
 
+@dataclass
+class Sparse:
+    """Rows of (key, value) entries: those of row i lie between ``ends[i]`` and ``ends[i + 1]``."""
+
+    ends: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
+
+    def rows(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
+
+    def columns(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(column, row, value) of the entries whose key is among ``keys``, by ascending column."""
+        at = np.minimum(np.searchsorted(keys, self.keys), len(keys) - 1)
+        held = np.flatnonzero(keys[at] == self.keys)
+        held = held[np.argsort(at[held], kind="stable")]
+        return at[held], self.rows()[held], self.values[held]
+
+
+def sparse_products(a: Sparse, b: Sparse, step: int = 1024) -> np.ndarray:
+    """Inner products of all rows, or, of one table with itself, of all different rows.
+
+    Only keys that two rows may share are looked at, ``step`` at a time.
+    """
+    shape = len(a.ends) - 1, len(b.ends) - 1
+    out = np.zeros(shape)
+    if a is b:
+        common, times = np.unique(a.keys, return_counts=True)
+        common = common[times > 1]
+    else:
+        common = np.intersect1d(a.keys, b.keys)
+    if not len(common):
+        return out
+    sides = [x.columns(common) for x in (a, b)]
+    for i in range(0, len(common), step):
+        blocks = []
+        for (column, row, value), n in zip(sides, shape):
+            lo, hi = np.searchsorted(column, (i, i + step))
+            block = np.zeros((n, min(step, len(common) - i)))
+            block[row[lo:hi], column[lo:hi] - i] = value[lo:hi]
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
 @dataclass
 class Tile:
     ids: np.ndarray
-    x: np.ndarray
+    x: "np.ndarray | Sparse"
     extra: dict[str, np.ndarray] = field(default_factory=dict)
 
 
@@ -88,6 +136,27 @@ class RowState(State):
         return ids, [np.concatenate(x) for x in zip(*(s for _, s in self.held.values()))]
 
 
+def is_sparse(df: DataFrame, vec: str) -> bool:
+    """Whether the vectors are lists of (key, value) entries."""
+    return df.schema[vec].dataType.simpleString() == "array<struct<key:bigint,value:double>>"
+
+
+def entries(column: pa.ChunkedArray, order: np.ndarray | None = None) -> Sparse:
+    """The rows of a column of (key, value) lists, in the given order."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if order is not None:
+        arr = arr.take(pa.array(order))
+    if isinstance(arr, pa.ChunkedArray):
+        arr = pa.concat_arrays(arr.chunks)
+    flat = arr.flatten()
+    sizes = np.asarray(arr.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    return Sparse(
+        np.append(0, np.cumsum(sizes)),
+        np.asarray(flat.field(0).to_numpy(zero_copy_only=False), np.int64),
+        np.asarray(flat.field(1).to_numpy(zero_copy_only=False), np.float64),
+    )
+
+
 def _matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
     arr = column.combine_chunks()
     if isinstance(arr, pa.ChunkedArray):
@@ -100,6 +169,13 @@ def _matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
 def _pack(df: DataFrame, key: str, vec: str, extra: dict[str, str], tiles: int) -> DataFrame:
     """One row per tile: ids, vectors and extra columns as binary arrays, ids ascending."""
     names = list(extra)
+    sparse = is_sparse(df, vec)
+
+    def vectors(column: pa.ChunkedArray, order: np.ndarray) -> bytes:
+        if not sparse:
+            return _matrix(column, np.float64)[order].tobytes()
+        rows = entries(column, order)
+        return rows.ends.tobytes() + rows.keys.tobytes() + rows.values.tobytes()
 
     def pack(table: pa.Table) -> pa.Table:
         ids = _matrix(table.column(key), np.int64)
@@ -107,7 +183,7 @@ def _pack(df: DataFrame, key: str, vec: str, extra: dict[str, str], tiles: int)
         out = {
             "tile": pa.array([table.column("tile")[0].as_py()], pa.int64()),
             "ids": pa.array([ids[order].tobytes()], pa.binary()),
-            "x": pa.array([_matrix(table.column(vec), np.float64)[order].tobytes()], pa.binary()),
+            "x": pa.array([vectors(table.column(vec), order)], pa.binary()),
         }
         for name in names:
             values = _matrix(table.column(name), extra[name])[order]
@@ -122,24 +198,33 @@ def _pack(df: DataFrame, key: str, vec: str, extra: dict[str, str], tiles: int)
     return rows.groupBy("tile").applyInArrow(pack, schema)
 
 
-def _unpack(table: pa.Table, i: int, extra: dict[str, str]) -> Tile:
+def _unpack(table: pa.Table, i: int, extra: dict[str, str], sparse: bool) -> Tile:
     ids = np.frombuffer(table.column("ids")[i].as_buffer(), np.int64)
 
     def shaped(name, dtype):
         a = np.frombuffer(table.column(name)[i].as_buffer(), dtype)
         return a if a.size == ids.size else a.reshape(ids.size, -1)
 
-    x = np.frombuffer(table.column("x")[i].as_buffer(), np.float64).reshape(ids.size, -1)
+    raw = table.column("x")[i].as_buffer()
+    if sparse:
+        ends = np.frombuffer(raw, np.int64, ids.size + 1)
+        n, at = int(ends[-1]), ends.nbytes
+        x = Sparse(ends, np.frombuffer(raw, np.int64, n, at), np.frombuffer(raw, np.float64, n, at + 8 * n))
+    else:
+        x = np.frombuffer(raw, np.float64).reshape(ids.size, -1)
     return Tile(ids, x, {n: shaped(n, t) for n, t in extra.items()})
 
 
 def tile_count(df: DataFrame, vec: str, tile_rows: int | None = None) -> int:
     """Tiles small enough for a task's memory, and enough of them to keep the cores busy."""
-    n, width = df.agg(F.count("*"), F.max(F.size(vec))).first()
+    sparse = is_sparse(df, vec)
+    n, width = df.agg(F.count("*"), (F.avg if sparse else F.max)(F.size(vec))).first()
     if not n:
         return 1
     if tile_rows:
         return math.ceil(n / tile_rows)
+    if sparse:
+        return max(math.ceil(n * (width + 1) * 16 / TILE_BYTES), math.ceil(n / SPARSE_ROWS))
     cores = df.sparkSession.sparkContext.defaultParallelism
     by_memory = math.ceil(n * max(width or 1, 1) * 8 / TILE_BYTES)
     by_cores = min(math.ceil(math.sqrt(2 * cores)), math.ceil(n / MIN_TILE_ROWS))
@@ -168,12 +253,14 @@ def tile_join(
     state: Callable[[], State] | None = None,
 ) -> DataFrame:
     """Run ``kernel(a, b, same)`` on every two tiles of ``df``, or on every tile of ``df`` against
-    every tile of ``right``. ``extra`` names further columns and their numpy types.
+    every tile of ``right``. ``extra`` names further columns and their numpy types. Vectors are arrays of
+    numbers or, sparse, arrays of (key, value) entries.
 
     A task takes two strips of tiles and looks at their tiles two by two, so a tile is copied once
     for each strip and not for each tile. A ``state`` in place of a kernel sees all of them and answers
     once a task."""
     extra = extra or {}
+    sparse = is_sparse(df, vec)
     tiles = tile_count(df, vec, tile_rows)
     cores = df.sparkSession.sparkContext.defaultParallelism
     held = int(df.sparkSession.conf.get(STRIP_SETTING, str(STRIP_BYTES)))
@@ -231,8 +318,8 @@ def tile_join(
         out = []
         work = state() if state else None
         for i, j, same in blocks(table):
-            a = _unpack(table, i, extra)
-            b = a if same else _unpack(table, j, extra)
+            a = _unpack(table, i, extra, sparse)
+            b = a if same else _unpack(table, j, extra, sparse)
             if work is not None:
                 work.add(a, b, same)
                 continue
