@@ -9,8 +9,9 @@ from topiclake.operators.dbscan import Dbscan, dbscan, neighbor_counts
 from topiclake.operators.hdbscan import Hdbscan, hdbscan, reachability_edges
 from topiclake.operators.tiles import unit
 from topiclake.plans import sweep
-from topiclake.session import stage
+from topiclake.session import new_path, stage
 from topiclake.sources import resources
+from topiclake.sources.catalog import Catalog
 from workload import views as v
 from workload.registry import registry
 
@@ -458,3 +459,68 @@ def _(s, d):
 @query("f22_s15_sweep_kmeans")
 def _(s, d):
     return _runs(s, sweep.sweep_kmeans(spaces(s, d), "vec_id", "vec"))
+
+
+RECORDED = [Dbscan(e, m) for e in (1.5, 1.62) for m in (5, 8)]
+
+
+def _quality_sql(i: int) -> str:
+    """The metrics of setting ``i`` over its labelled rows, from the labels ``g{i}``."""
+    return f""", lv{i} AS MATERIALIZED (SELECT vec_id, vec, label FROM m JOIN g{i} USING (vec_id)
+        WHERE label <> -1),
+      dd{i} AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.vec, b.vec)) AS t,
+        count(*) AS n FROM lv{i} a CROSS JOIN lv{i} b GROUP BY ALL),
+      sl{i} AS (SELECT vec_id, max(t / nullif(n - 1, 0)) FILTER (own = other) AS a,
+        min(t / n) FILTER (own <> other) AS b FROM dd{i} GROUP BY vec_id),
+      si{i} AS (SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM sl{i}),
+      ce{i} AS (SELECT label, list(x ORDER BY pos) AS center FROM (SELECT label, pos, avg(z.x) AS x
+        FROM z JOIN lv{i} USING (vec_id) GROUP BY ALL) GROUP BY label),
+      st{i} AS (SELECT label, any_value(center) AS center, avg(list_distance(vec, center)) AS s,
+        sum(list_distance(vec, center) ** 2) AS w, count(*) AS n
+        FROM lv{i} JOIN ce{i} USING (label) GROUP BY label),
+      wo{i} AS (SELECT max((a.s + b.s) / list_distance(a.center, b.center)) AS worst
+        FROM st{i} a JOIN st{i} b ON a.label <> b.label GROUP BY a.label),
+      al{i} AS (SELECT list(x ORDER BY pos) AS mean FROM (SELECT pos, avg(z.x) AS x
+        FROM z JOIN lv{i} USING (vec_id) GROUP BY pos)),
+      ch{i} AS (SELECT sum(n * list_distance(center, mean) ** 2) / (count(*) - 1)
+        / (sum(w) / (sum(n) - count(*))) AS ch, count(*) AS k, sum(n) AS n FROM st{i}, al{i}),
+      lo{i} AS (SELECT 'DBSCAN-{i + 1}' AS name, '{RECORDED[i].eps}' AS eps,
+        '{RECORDED[i].min_samples}' AS min_samples, CAST(k AS VARCHAR) AS n_clusters,
+        CASE WHEN k BETWEEN 2 AND n - 1 THEN round((SELECT s FROM si{i}), 6) ELSE -1 END AS silhouette_avg,
+        CASE WHEN k BETWEEN 2 AND n - 1 THEN round((SELECT avg(worst) FROM wo{i}), 6) ELSE -1 END
+          AS davies_bouldin,
+        CASE WHEN k BETWEEN 2 AND n - 1 THEN round(ch, 6) ELSE -1 END AS calinski_harabasz FROM ch{i})"""
+
+
+@query(
+    "f22_s15_recorded_runs",
+    SCALED.replace("WITH", "WITH RECURSIVE", 1)
+    + "".join(_dbscan_sql(i, p) for i, p in enumerate(RECORDED))
+    + "".join(_quality_sql(i) for i in range(len(RECORDED)))
+    + " UNION ALL ".join(f" SELECT * FROM lo{i}" for i in range(len(RECORDED))),
+)
+def _(s, d):
+    grid = {"eps": [1.5, 1.62], "min_samples": [5, 8], "metric": ["euclidean"]}
+    catalog = Catalog(s, new_path(s, "lake"))
+    sweep.record(catalog, sweep.sweep_dbscan({"minMax": scaled(s, d)}, "vec_id", "vec", grid))
+    runs = catalog.load("results", "runs")
+    return runs.select(
+        "name", *[F.col("params")[p].alias(p) for p in ("eps", "min_samples", "n_clusters")],
+        *[F.round(F.col("metrics")[m], 6).alias(m) for m in metrics.METRICS],
+    )
+
+
+@query("f10_f14_s15_ensemble_runs")
+def _(s, d):
+    """A grid of ensembles, its saved models, and their runs read back from the lake."""
+    rows = scaled(s, d)
+    grid = {"k": [2, 3, 4], "hdbscanLayers": [HDBSCAN], "dbscanLayers": [DBSCAN, DBSCAN[:2]]}
+    catalog = Catalog(s, new_path(s, "lake"))
+    runs = sweep.sweep_ensemble({"minMax": rows}, "vec_id", "vec", grid, new_path(s, "models"))
+    sweep.record(catalog, runs)
+    found = catalog.load("results", "runs")
+    return found.select(
+        "name", F.col("params")["k"].alias("k"), F.col("params")["dbscan"].alias("dbscan"),
+        F.col("params")["n_clusters"].alias("n_clusters"), F.size("artifacts").alias("models"),
+        *[F.round(F.col("metrics")[m], 6).alias(m) for m in metrics.METRICS],
+    )
