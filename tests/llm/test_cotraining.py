@@ -1,8 +1,12 @@
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import DOCUMENT, base_rows
 from topiclake.llm import cotraining as C
+from topiclake.llm.text import buffers, large
 
 GOOD = "the river ran by the old mill and the children of the town came to see the boats go by".split()
 
@@ -88,3 +92,48 @@ def test_edges(spark, docs, no_docs, clashing, tables):
     kept = C.keep_good(clashing, model)
     assert kept.columns == clashing.columns
     assert kept.filter("kept != 'own kept' or score != 'own score'").count() == 0
+
+
+def test_rounds_over_all_documents(tables):
+    """The rounds on the cluster give the model of the same rounds on arrays, and nothing is capped."""
+    docs, _, known = tables
+    model = C.fit(docs, known)
+    rows = sorted(docs.collect(), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest())
+    data, offsets = buffers(large(pa.array([r.text for r in rows])))
+    meta = C.meta_view([r.lang for r in rows], [r.source for r in rows], [r.n_chars for r in rows], offsets)
+    features = [C.text_view(data, offsets), meta]
+    given = {r.doc_id: r.quality for r in known.collect()}
+    labels = np.array([given.get(r.doc_id, -1) for r in rows])
+    ends = [int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[-8:], 16) for r in rows]
+    held = (labels >= 0) & (np.array(ends) % 10 < 3)
+    other = C.cotrain(features, labels, held)
+    for a, b in zip(model.views, other.views):
+        assert (a.mean == b.mean).all() and (a.scale == b.scale).all() and (a.weights == b.weights).all()
+    assert model.threshold == other.threshold and model.handed == other.handed
+    # Every one of the 700 other documents is handed over as soon as a view is sure of it.
+    assert model.handed[-1] > 700
+
+
+def test_one_step_by_plain_loops(tables):
+    """Sums of one exchange against loops over rows."""
+    rng = np.random.default_rng(4)
+    features = [rng.normal(size=(80, 3)), rng.normal(size=(80, 2))]
+    views = [
+        C.View(np.zeros(d), np.ones(d), np.round(rng.normal(size=d + 1) * 4 * C.FINE) / C.FINE) for d in (3, 2)
+    ]
+    found = C._exchange_sums(views, views, features)
+    for i in (0, 1):
+        for label in (0, 1):
+            n, gradient, hessian = 0, np.zeros(len(views[i].weights)), np.zeros((len(views[i].weights),) * 2)
+            for mine, other in zip(features[i], features[1 - i]):
+                q = 1 / (1 + np.exp(-(np.append(np.round(other * 64) / 64, 1) @ views[1 - i].weights)))
+                if (q if label else 1 - q) < C.SURE:
+                    continue
+                z = np.append(np.round(mine * 64) / 64, 1)
+                p = 1 / (1 + np.exp(-(z @ views[i].weights)))
+                n += 1
+                gradient += (p - label) * z
+                hessian += max(p * (1 - p), 1 / 256) * np.outer(z, z)
+            assert found[i][label].rows == n > 0
+            assert np.allclose(found[i][label].gradient, gradient, atol=n * 1e-4)
+            assert np.allclose(found[i][label].hessian, hessian, atol=n * 0.02)

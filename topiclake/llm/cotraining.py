@@ -1,13 +1,16 @@
 """Quality classifier by co-training on two views of a document.
 
 One classifier sees the text's content, the other only its metadata (language, source, stated
-length). Both start from the same labelled rows. In each round each of them labels the unlabelled
-rows of which it is confident, and hands them to the other. In the end both are calibrated on
-labelled rows that were held out, and a third, small model combines the calibrated views. All
-documents are scored in one narrow pass.
-
-The training rows are a bounded sample, those with the least hashes of their keys; the model that
-travels with the tasks has a fixed size.
+length). Both start from the same labelled rows. In each round each of them labels every other document
+of which it is confident, and the other one learns from all of these, by Newton's steps: a step is one
+pass over the documents' features, which adds up a gradient and a Hessian per view and class. In the
+end both are calibrated on labelled rows that were held out, and a third, small model combines the
+calibrated views. All documents are scored in one narrow pass.
+
+Only the labelled rows are a bounded sample, those with the least hashes of their keys. Pseudo-labels
+come from all documents without limit; those of a class weigh at most as much as its labelled rows, so
+the model behaves alike at every size. What travels with the tasks, and what they add up, has a fixed
+size. Features and weights are whole multiples of fixed steps, so sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from pyspark.sql import functions as F
 from topiclake.llm.columns import shield
 from topiclake.llm.sampling import least_rows
 from topiclake.llm.text import LOWER, SOLID, Words, slices
+from topiclake.session import stage
 
-# Rows in the training sample, labelled and unlabelled, at most.
+# Labelled rows in the training sample, at most.
 LABELLED = 6000
-UNLABELLED = 6000
-ROUNDS = 4
-# Pseudo-labels that a view hands over per round and class, at most, and how sure it must be.
-HANDED = 300
+# Rounds of exchange, Newton's steps in each, and how sure a view must be.
+ROUNDS = 3
+STEPS = 3
 SURE = 0.98
+# Steps and limit of standardised features, steps of weights and residuals.
+GRID, LIMIT = 64, 16
+FINE = 1 << 16
 WORD_BUCKETS = 256
 SOURCE_BUCKETS = 64
 # Share of good held-out rows that the threshold keeps.
@@ -74,7 +80,7 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         minlength=n * WORD_BUCKETS,
     ).reshape(n, WORD_BUCKETS)
     columns.append(np.sqrt(buckets / some[:, None]))
-    return np.concatenate(columns, axis=1).astype(np.float32)
+    return np.concatenate(columns, axis=1).astype(np.float16).astype(np.float32)
 
 
 def meta_view(langs: list, sources: list, sizes: list, offsets: np.ndarray) -> np.ndarray:
@@ -93,7 +99,7 @@ def meta_view(langs: list, sources: list, sizes: list, offsets: np.ndarray) -> n
     actual = np.log1p(np.diff(offsets))
     out[:, base + 18] = np.where(stated < 0, 0, np.abs(actual - log))
     out[:, base + 19] = stated == 0
-    return out
+    return out.astype(np.float16).astype(np.float32)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -129,9 +135,69 @@ class Linear:
         return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
 
 
+@dataclass
+class View:
+    """Logistic regression on features standardised over all documents, limited and rounded."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    ridge: float = 2.0
+
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        """Features and a one at the end."""
+        z = np.clip(np.round((x - self.mean) / self.scale * GRID), -LIMIT * GRID, LIMIT * GRID) / GRID
+        return np.hstack([z, np.ones((len(x), 1))])
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return self.standard(x) @ self.weights
+
+    def terms(self, z: np.ndarray, y: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the loss at the weights, summed over rows."""
+        p = sigmoid(z @ self.weights)
+        curve = np.maximum(np.round(p * (1 - p) * 256), 1) / 256
+        return (np.round((p - y) * FINE) / FINE) @ z, (z * curve[:, None]).T @ z
+
+    def moved(self, gradient: np.ndarray, hessian: np.ndarray) -> View:
+        """One step of Newton's; the last weight has no ridge."""
+        penalty = np.append(np.full(len(self.mean), self.ridge), 1e-6)
+        move = np.linalg.solve(hessian + np.diag(penalty), gradient + penalty * self.weights)
+        weights = np.round(np.clip(self.weights - move, -60, 60) * FINE) / FINE
+        return View(self.mean, self.scale, weights, self.ridge)
+
+
+@dataclass
+class Sums:
+    """What one view gets from the pseudo-labels of one class."""
+
+    rows: float
+    gradient: np.ndarray
+    hessian: np.ndarray
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Sums of features and of their squares, in steps that add up exactly; the number of rows."""
+    x = x.astype(float)
+    return np.stack([np.full(x.shape[1], len(x)), np.round(x * 4096).sum(0), np.round(x * x * 4096).sum(0)])
+
+
+def _exchange_sums(givers: list[View], learners: list[View], features: list[np.ndarray]) -> list[list[Sums]]:
+    """For each view and class, the sums over the rows of which the other view is confident."""
+    out = []
+    for i in (0, 1):
+        sure = sigmoid(givers[1 - i].logits(features[1 - i]))
+        z = learners[i].standard(features[i])
+        mine = []
+        for label in (0, 1):
+            picked = z[(sure if label else 1 - sure) >= SURE]
+            mine.append(Sums(len(picked), *learners[i].terms(picked, label)))
+        out.append(mine)
+    return out
+
+
 @dataclass
 class Model:
-    views: list[Linear]
+    views: list[View]
     calibration: list[Linear]
     combined: Linear
     threshold: float
@@ -148,51 +214,130 @@ class Model:
         return sigmoid(self.combined.logits(np.clip(self.calibrated(features), -12, 12)))
 
 
-def cotrain(
-    features: list[np.ndarray], labels: np.ndarray, held: np.ndarray, keep: float = KEEP
+def train(
+    features: list[np.ndarray], labels: np.ndarray, held: np.ndarray, moments: list[np.ndarray], exchange,
+    keep: float = KEEP,
 ) -> Model | None:
-    """Train on rows with labels 0 and 1 and unlabelled rows (-1); ``held`` rows calibrate.
+    """Train on labelled rows (0 and 1), of which the ``held`` ones calibrate, and on pseudo-labels.
 
-    None if the rows to train or to calibrate on lack a label.
+    ``moments`` are those of all documents; ``exchange(givers, learners)`` returns the sums over the
+    unlabelled ones. None if the rows to train or to calibrate on lack a label.
     """
-    train = (labels >= 0) & ~held
-    if any(len(set(labels[m].tolist())) < 2 for m in (train, held & (labels >= 0))):
+    if any(len(set(labels[m].tolist())) < 2 for m in (~held, held)):
         return None
-    given = [labels.copy(), labels.copy()]
-    for g in given:
-        g[held] = -1
+    views, given = [], []
+    for x, (n, total, squares) in zip(features, moments):
+        mean = total / 4096 / n
+        scale = np.sqrt(np.maximum(squares / 4096 / n - mean * mean, 0)) + 1e-3
+        view = View(mean, scale, np.zeros(len(mean) + 1))
+        given.append(view.standard(x[~held]))
+        views.append(view)
+    y = labels[~held]
+    sizes = [int((y == label).sum()) for label in (0, 1)]
+    for i in (0, 1):
+        for _ in range(10):
+            views[i] = views[i].moved(*views[i].terms(given[i], y))
     handed = []
     for _ in range(ROUNDS):
-        views = [Linear().fit(x[g >= 0], g[g >= 0]) for x, g in zip(features, given)]
-        moved = 0
-        proposals = []
-        for i in (0, 1):
-            p = sigmoid(views[i].logits(features[i]))
-            for label, sure in ((1, p), (0, 1 - p)):
-                # Rows that the other view has no label for yet.
-                free = np.flatnonzero((given[1 - i] < 0) & ~held & (sure >= SURE))
-                best = free[np.argsort(-sure[free], kind="stable")][:HANDED]
-                proposals.append((1 - i, best, label))
-        for view, rows, label in proposals:
-            given[view][rows] = label
-            moved += len(rows)
-        handed.append(moved)
-        if not moved:
+        givers = views
+        for _ in range(STEPS):
+            found = exchange(givers, views)
+            moved = []
+            for view, z, mine in zip(views, given, found):
+                gradient, hessian = view.terms(z, y)
+                for size, sums in zip(sizes, mine):
+                    weight = min(1.0, size / max(sums.rows, 1))
+                    gradient, hessian = gradient + weight * sums.gradient, hessian + weight * sums.hessian
+                moved.append(view.moved(gradient, hessian))
+            views = moved
+        handed.append(int(sum(sums.rows for mine in found for sums in mine)))
+        if not handed[-1]:
             break
-    views = [Linear().fit(x[g >= 0], g[g >= 0]) for x, g in zip(features, given)]
-    known = held & (labels >= 0)
-    y = labels[known]
+    y = labels[held]
     calibration = [
-        Linear(ridge=1e-2).fit(v.logits(x[known])[:, None], y) for v, x in zip(views, features)
+        Linear(ridge=1e-2).fit(v.logits(x[held])[:, None], y) for v, x in zip(views, features)
     ]
     model = Model(views, calibration, Linear(), 0.5, handed)
-    odds = np.clip(model.calibrated([x[known] for x in features]), -12, 12)
+    odds = np.clip(model.calibrated([x[held] for x in features]), -12, 12)
     model.combined = Linear(ridge=1.0).fit(odds, y)
-    good = np.sort(model.scores([x[known] for x in features])[y == 1])
+    good = np.sort(model.scores([x[held] for x in features])[y == 1])
     model.threshold = min(0.5, float(good[int((1 - keep) * len(good))]))
     return model
 
 
+def cotrain(
+    features: list[np.ndarray], labels: np.ndarray, held: np.ndarray, keep: float = KEEP
+) -> Model | None:
+    """Train on arrays; rows labelled -1 are the unlabelled ones."""
+    free, known = labels < 0, labels >= 0
+    others = [x[free] for x in features]
+    return train(
+        [x[known] for x in features], labels[known], held[known], [_moments(x) for x in features],
+        lambda givers, learners: _exchange_sums(givers, learners, others), keep,
+    )
+
+
+def _array(column: pa.Array) -> np.ndarray:
+    """Rows of features from a column of bytes."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.float16).reshape(len(parts), -1).astype(np.float32)
+
+
+def _added(rows: DataFrame, add, width: int) -> dict[int, np.ndarray]:
+    """Sums by slot of what ``add(features)`` gives for each batch of (content, meta).
+
+    ``width`` is the length of the longest line of numbers. A task adds up its own batches, so it emits a table of fixed size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                for slot, value in add([_array(batch.column(i)) for i in (0, 1)]):
+                    held[slot] = held[slot] + value if slot in held else value
+        for slot, value in held.items():
+            lines = np.atleast_2d(value)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "slot": pa.array(np.full(len(lines), slot, np.int32)),
+                    "line": pa.array(np.arange(len(lines), dtype=np.int32)),
+                    "total": pa.array(list(lines), pa.list_(pa.float64())),
+                }
+            )
+
+    parts = rows.select("content", "meta").mapInArrow(run, "slot int, line int, total array<double>")
+    # Plain sums: those of a summarizer go by way of means and are not exact.
+    wide = [F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(width)]
+    sums = parts.groupBy("slot", "line").agg(*wide)
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for row in sums.collect():
+        values = [x for x in row[2:] if x is not None]
+        found.setdefault(row.slot, {})[row.line] = np.array(values)
+    return {slot: np.stack([lines[i] for i in range(len(lines))]) for slot, lines in found.items()}
+
+
+def _exchange_on(rows: DataFrame):
+    """``exchange`` of ``train`` over a table of features: one pass, four small tables of sums."""
+
+    def exchange(givers: list[View], learners: list[View]) -> list[list[Sums]]:
+        def add(features: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+            for i, mine in enumerate(_exchange_sums(givers, learners, features)):
+                for label, sums in enumerate(mine):
+                    size = np.full((len(sums.gradient), 1), sums.rows)
+                    yield 2 * i + label, np.hstack([sums.hessian, sums.gradient[:, None], size])
+
+        found = _added(rows, add, 2 + max(len(v.weights) for v in learners))
+        out = []
+        for i in (0, 1):
+            width = len(learners[i].weights)
+            none = np.zeros((width, width + 2))
+            tables = [found.get(2 * i + label, none) for label in (0, 1)]
+            out.append([Sums(float(t[0, -1]), t[:, -2], t[:, :-2]) for t in tables])
+        return out
+
+    return exchange
+
+
 def _featured(df: DataFrame, keep: list[str], make, schema: str) -> DataFrame:
     """Apply ``make(rows, features)`` to the slices of (keep, _lang, _source, _size, _text)."""
     first = len(keep)
@@ -213,52 +358,53 @@ def _documents(df: DataFrame, key: str, text: str, lang: str, source: str, size:
     )
 
 
+def _feature_rows(rows: pa.RecordBatch, features: list[np.ndarray]) -> pa.RecordBatch:
+    found = [pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary()) for x in features]
+    return pa.RecordBatch.from_arrays(
+        [rows.column(0), rows.column(1), *found], ["label", "order", "content", "meta"]
+    )
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text",
     lang: str = "lang", source: str = "source", size: str = "n_chars",
-    labelled: int = LABELLED, unlabelled: int = UNLABELLED, keep: float = KEEP,
+    labelled: int = LABELLED, unlabelled: int | None = None, keep: float = KEEP,
 ) -> Model | None:
-    """Train on a sample of the documents; three labelled rows of ten are held out.
+    """Train on a sample of the labelled documents and on all others; three labelled of ten are held out.
 
-    Rows without a key or a label are not used; of conflicting labels of a key the lower counts, of
-    several rows of a key the least.
+    Labels without a key, or null ones, are not used; of conflicting labels of a key the lower counts, of
+    several rows of a sampled key the least. Every other row, also without a key, with an empty text or
+    repeated, is an unlabelled document; ``unlabelled`` limits these to that many keys on request.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_label"))
     order = F.md5(F.col("_id").cast("string"))
-    chosen = least_rows(known, F.xxhash64(order), labelled)
-    rest = docs.select(F.col(key).alias("_id")).filter("_id is not null")
-    rest = least_rows(rest.join(known.select("_id"), "_id", "left_anti"), F.xxhash64(order), unlabelled)
-    sample = chosen.unionByName(rest.withColumn("_label", F.lit(-1)))
-    # One row for each key and label, the least one, so at most the sum of both bounds.
-    picked = _documents(docs, key, text, lang, source, size).join(F.broadcast(sample), "_id")
+    chosen = stage(least_rows(known, F.xxhash64(order), labelled), "labelled")
+    every = _documents(docs, key, text, lang, source, size)
+    # One row for each key and label, the least one.
     least = F.min(F.struct("_lang", "_source", "_size", "_text")).alias("d")
-    picked = picked.groupBy("_id", "_label").agg(least).select("_id", "_label", "d.*")
-    picked = picked.select(
-        "_label", order.alias("_order"), "_lang", "_source", "_size", "_text"
-    )
-
-    def make(rows: pa.RecordBatch, features: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                rows.column(0), rows.column(1),
-                *(pa.array([v.tobytes() for v in np.ascontiguousarray(x)], pa.binary()) for x in features),
-            ],
-            ["label", "order", "content", "meta"],
-        )
-
-    rows = _featured(
-        picked, ["_label", "_order"], make, "label int, order string, content binary, meta binary"
-    ).collect()
+    picked = every.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(least)
+    picked = picked.select("_label", order.alias("_order"), "d.*")
+    schema = "label int, order string, content binary, meta binary"
+    rows = _featured(picked, ["_label", "_order"], _feature_rows, schema).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.order, r.content, r.meta))
-    features = [
-        np.stack([np.frombuffer(bytes(r[i]), np.float32) for r in rows]) for i in (2, 3)
-    ]
+    features = [_array(pa.array([bytes(r[i]) for r in rows])) for i in (2, 3)]
     found = np.array([r.label for r in rows])
-    held = np.array([int(r.order[-8:], 16) % 10 < 3 for r in rows]) & (found >= 0)
-    return cotrain(features, found, held, keep)
+    held = np.array([int(r.order[-8:], 16) % 10 < 3 for r in rows])
+    if any(len(set(found[m].tolist())) < 2 for m in (~held, held)):
+        return None
+    rest = every.join(F.broadcast(chosen.select("_id")), "_id", "left_anti")
+    if unlabelled is not None:
+        keys = least_rows(rest.select("_id").filter("_id is not null"), F.xxhash64(order), unlabelled)
+        rest = rest.join(F.broadcast(keys.distinct()), "_id", "left_semi")
+    rest = rest.select(F.lit(-1).alias("_label"), order.alias("_order"), "_lang", "_source", "_size", "_text")
+    rest = stage(_featured(rest, ["_label", "_order"], _feature_rows, schema).select("content", "meta"), "features")
+    widest = max(x.shape[1] for x in features)
+    sums = _added(rest, lambda features: enumerate(_moments(x) for x in features), widest)
+    moments = [_moments(x) + sums.get(i, 0) for i, x in enumerate(features)]
+    return train(features, found, held, moments, _exchange_on(rest), keep)
 
 
 def score(
