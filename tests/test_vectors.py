@@ -395,6 +395,42 @@ def test_kmeans(spark):
     assert curve[0] > curve[1] > curve[2]
 
 
+def test_greedy_starts(spark):
+    """Each next centre is the trial of least cost, against plain loops over all rows."""
+    x = blobs(9, 80, d=3, k=5)
+    df = frame(spark, x)
+    run = kmeans.Run(5, seed=7)
+    ids = np.arange(80)
+    got = kmeans._starts(df, [run, kmeans.Run(1), kmeans.Run(3, "random")])
+    assert [len(c) for c in got] == [5, 1, 3]
+    centers = x[[(-np.log(kmeans._uniform(ids, 7, 0))).argmin()]]
+    tried = []
+    for step in range(1, 6):
+        near = ((x[:, None] - centers[None]) ** 2).sum(2).min(1)
+        if step > 1:
+            costs = [np.minimum(near, ((x - t) ** 2).sum(1)).sum() for t in tried]
+            centers = np.vstack([centers, tried[int(np.argmin(costs))]])
+            near = ((x[:, None] - centers[None]) ** 2).sum(2).min(1)
+        with np.errstate(divide="ignore"):
+            draws = [-np.log(kmeans._uniform(ids, 7, 64 * step + j)) / near for j in range(3)]
+        tried = [x[d.argmin()] for d in draws]
+    np.testing.assert_array_equal(got[0], centers)
+
+
+def test_empty_centers_move(spark):
+    """A centre without rows takes the farthest row; copies of few values leave it where it is."""
+    x = np.array([[0.0], [1.0], [2.0], [50.0]])
+    centers = [np.array([[1.0], [500.0], [600.0]]), np.array([[1.0], [40.0], [45.0]])]
+    df = frame(spark, x)
+    found = kmeans._pass(df, centers)
+    size, total = kmeans._relocated(df, centers, found)[0]
+    assert size.tolist() == [2, 1, 1] and total[:, 0].tolist() == [1.0 + 2.0, 50.0, 0.0]
+    size, total = kmeans._relocated(df, centers, found)[1]
+    assert size.tolist() == [3, 1, 0] and total[:, 0].tolist() == [3.0, 50.0, 0.0]
+    model = kmeans.fit_kmeans(frame(spark, np.zeros((6, 2))), "id", "vec", [kmeans.Run(3), kmeans.Run(3, "random")])
+    assert [m.inertia for m in model] == [0.0, 0.0]
+
+
 @pytest.mark.parametrize("local", [10**6, 0])
 def test_components(spark, local):
     rng = np.random.default_rng(1)

@@ -1,7 +1,10 @@
 """K-means for many runs at once: one scan per iteration serves every k, start and restart.
 
 The driver holds the centres only, whose number depends on the runs and not on the rows. Tasks add
-up sums per centre, so one row per task and centre is shuffled.
+up sums per centre, so one row per task and centre is shuffled. k-means++ tries several rows for each next
+centre and takes the one that leaves the least cost; the pass that weighs these trials draws the rows to
+try after each of them, so a centre costs one pass. A centre without rows moves to the row that is farthest
+from its own centre.
 """
 
 from __future__ import annotations
@@ -57,28 +60,24 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids, _matrix(pa.chunked_array([batch.column(1)]), np.float64)
 
 
-def _draw(rows: DataFrame, runs: list[Run], chosen: list, take: list[int], step: int) -> list:
-    """Draw rows per run: uniform at first, then in proportion to the squared distance from the
-    centres chosen so far. The least of −log(u) / weight over all rows is such a draw."""
+def _least(rows: DataFrame, take: list[int], rank) -> list[list]:
+    """For each run the rows of the least ranks: (rank, id, x), as many as ``take``.
+
+    ``rank(run, ids, x)`` ranks the rows of a batch; infinite ranks do not count.
+    """
 
     def candidates(batches):
-        best: list = [None] * len(runs)
+        best: list = [[] for _ in take]
         for batch in batches:
             ids, x = _columns(batch)
-            if not len(ids):
-                continue
-            for r, run in enumerate(runs):
-                if not take[r]:
+            for r, n in enumerate(take):
+                if not n or not len(ids):
                     continue
-                rank = -np.log(_uniform(ids, run.seed, step))
-                if chosen[r] is not None:
-                    weight = _squared(x, chosen[r]).min(1)
-                    with np.errstate(divide="ignore"):
-                        rank = np.where(weight > 0, rank / weight, np.inf)
-                first = np.argsort(rank, kind="stable")[: take[r]]
-                found = list(zip(rank[first], ids[first], x[first]))
-                best[r] = sorted((best[r] or []) + found, key=lambda t: t[:2])[: take[r]]
-        flat = [(r, p, i, v) for r, b in enumerate(best) if b for p, i, v in b]
+                ranks = rank(r, ids, x)
+                first = np.lexsort((ids, ranks))[:n]
+                found = list(zip(ranks[first], ids[first], x[first]))
+                best[r] = sorted(best[r] + found, key=lambda t: t[:2])[:n]
+        flat = [(r, p, i, v) for r, b in enumerate(best) for p, i, v in b if p < np.inf]
         yield pa.RecordBatch.from_pydict({
             "run": pa.array([f[0] for f in flat], pa.int32()),
             "rank": pa.array([float(f[1]) for f in flat], pa.float64()),
@@ -88,29 +87,119 @@ def _draw(rows: DataFrame, runs: list[Run], chosen: list, take: list[int], step:
 
     found = rows.mapInArrow(candidates, "run int, rank double, id long, x array<double>")
     order = Window.partitionBy("run").orderBy("rank", "id")
-    most = max(take)
-    found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    out: list = [[] for _ in runs]
+    found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(take))
+    out: list = [[] for _ in take]
     for row in found.orderBy("run", "place").toLocalIterator():
         # Every task may offer as many rows as the run takes in all.
         if row["place"] <= take[row["run"]]:
-            out[row["run"]].append(row["x"])
-    return [np.array(o) if o else None for o in out]
+            out[row["run"]].append((row["rank"], row["id"], np.array(row["x"])))
+    return out
+
+
+def _try(rows: DataFrame, runs: list[Run], chosen: list, tried: list, step: int) -> dict:
+    """(cost, rows to try next) by run and trial, in one pass.
+
+    ``tried`` has the rows under trial of each run, none before the first trial. The cost is the sum of
+    squared distances to the nearest centre with the trial among the centres; the least of −log(u) / weight
+    over all rows is a draw in proportion to the weight, here what the row itself costs.
+    """
+
+    def weigh(batches):
+        cost, best = {}, {}
+        for batch in batches:
+            ids, x = _columns(batch)
+            if not len(ids):
+                continue
+            for r, run in enumerate(runs):
+                if chosen[r] is None:
+                    continue
+                near = _squared(x, chosen[r]).min(1)
+                trials = _squared(x, tried[r]) if len(tried[r]) else np.full((len(x), 1), np.inf)
+                for t in range(trials.shape[1]):
+                    left = np.minimum(near, trials[:, t])
+                    cost[r, t] = cost.get((r, t), 0.0) + float(left.sum())
+                    for j in range(_trials(run.k)):
+                        with np.errstate(divide="ignore"):
+                            rank = -np.log(_uniform(ids, run.seed, 64 * step + j)) / left
+                        i = np.lexsort((ids, rank))[0]
+                        new = (float(rank[i]), int(ids[i]), x[i])
+                        if rank[i] < np.inf and new[:2] < best.get((r, t, j), (np.inf,))[:2]:
+                            best[r, t, j] = new
+        keys = [(r, t, j) for r, t in cost for j in range(_trials(runs[r].k))]
+        found = [best.get(k) for k in keys]
+        yield pa.RecordBatch.from_pydict({
+            "run": pa.array([k[0] for k in keys], pa.int32()),
+            "trial": pa.array([k[1] for k in keys], pa.int32()),
+            "draw": pa.array([k[2] for k in keys], pa.int32()),
+            "cost": pa.array([cost[k[:2]] for k in keys], pa.float64()),
+            "rank": pa.array([f and f[0] for f in found], pa.float64()),
+            "id": pa.array([f and f[1] for f in found], pa.int64()),
+            "x": pa.array([f and f[2] for f in found], pa.list_(pa.float64())),
+        })
+
+    schema = "run int, trial int, draw int, cost double, rank double, id long, x array<double>"
+    first = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "id", "x"))).alias("first")
+    parts = rows.mapInArrow(weigh, schema).groupBy("run", "trial", "draw").agg(F.sum("cost").alias("cost"), first)
+    out: dict = {}
+    for row in sorted(parts.collect(), key=lambda r: (r.run, r.trial, r.draw)):
+        cost, following = out.setdefault((row.run, row.trial), (row.cost, []))
+        if row.first is not None:
+            following.append(np.array(row.first.x))
+    return out
+
+
+def _trials(k: int) -> int:
+    """Rows tried for each next centre."""
+    return 2 + int(np.log(k))
 
 
 def _starts(rows: DataFrame, runs: list[Run]) -> list[np.ndarray]:
     take = [r.k if r.init == "random" else 1 for r in runs]
-    centers = _draw(rows, runs, [None] * len(runs), take, 0)
-    for step in range(1, max(r.k for r in runs)):
-        take = [int(r.init != "random" and r.k > step) for r in runs]
-        if not any(take):
+    drawn = _least(rows, take, lambda r, ids, x: -np.log(_uniform(ids, runs[r].seed, 0)))
+    centers = [np.array([x for _, _, x in d]) for d in drawn]
+    tried: list = [[] for _ in runs]
+    for step in range(1, max(r.k for r in runs) + 1):
+        open_ = [
+            c if r.init != "random" and len(c) and len(c) < r.k and (step == 1 or len(t)) else None
+            for r, c, t in zip(runs, centers, tried)
+        ]
+        if all(c is None for c in open_):
             break
-        for i, new in enumerate(_draw(rows, runs, centers, take, step)):
-            if new is not None:
-                centers[i] = np.vstack([centers[i], new])
+        weighed = _try(rows, runs, open_, tried, step)
+        for r, c in enumerate(open_):
+            if c is None:
+                continue
+            options = [(weighed[r, t][0], t) for t in range(max(len(tried[r]), 1))]
+            best = min(options)[1]
+            if len(tried[r]):
+                centers[r] = np.vstack([c, tried[r][best]])
+            # No row is left to try where every row is a centre already.
+            tried[r] = np.array(weighed[r, best][1])
     return centers
 
 
+def _relocated(
+    rows: DataFrame, centers: list[np.ndarray], found: list[tuple]
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(size, total) per run; a centre without rows takes the row farthest from its own centre."""
+    out = [(size.copy(), total.copy()) for size, total, _ in found]
+    take = [int((size == 0).sum()) for size, _ in out]
+    if not any(take):
+        return out
+
+    def far(r, ids, x):
+        cost = _squared(x, centers[r]).min(1)
+        return np.where(cost > 0, -cost, np.inf)
+
+    for r, moved in enumerate(_least(rows, take, far)):
+        size, total = out[r]
+        for slot, (_, _, x) in zip(np.flatnonzero(size == 0), moved):
+            owner = int(_squared(x[None, :], centers[r]).argmin())
+            size[owner], total[owner] = size[owner] - 1, total[owner] - x
+            size[slot], total[slot] = 1, x
+    return out
+
+
 def _pass(rows: DataFrame, centers: list[np.ndarray]):
     """Assign every row in every run: (sizes, sums, cost) per centre of the stacked centres."""
     stacked = np.vstack(centers)
@@ -159,7 +248,8 @@ def fit_kmeans(
 ) -> list[Fitted]:
     """Lloyd's iterations of all runs side by side; a run leaves when its centres stand still.
 
-    A centre that loses all its rows stays where it is.
+    A centre that loses all its rows takes the row that is farthest from its own centre; it stays where
+    it is if every row lies on a centre.
     """
     rows = stage(df.select(F.col(key).cast("long").alias(key), vec), "points")
     var = Summarizer.variance(array_to_vector(F.col(vec)))
@@ -169,7 +259,9 @@ def fit_kmeans(
     inertia = [0.0] * len(runs)
     for _ in range(max_iter):
         still = []
-        for i, (size, total, cost) in zip(active, _pass(rows, [centers[i] for i in active])):
+        found = _pass(rows, [centers[i] for i in active])
+        sums = _relocated(rows, [centers[i] for i in active], found)
+        for i, (size, total), (_, _, cost) in zip(active, sums, found):
             new = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centers[i])
             shift = float(((new - centers[i]) ** 2).sum())
             centers[i], inertia[i] = new, cost

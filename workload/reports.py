@@ -355,6 +355,35 @@ def _(s, d):
     return _rounded(temporal.hour_means(v.event_posts(s, d), "created_at"))
 
 
+def _bootstrap_sql(by: str) -> str:
+    """Poisson weights by MD5 of seed, date and replicate; percentiles of the weighted means."""
+    weight = " + ".join(f"(u >= {p!r})::INT" for p in temporal.POISSON)
+    return f"""WITH t AS (SELECT CAST(ts AS DATE) AS dd, {by} AS part, count(*) AS posts FROM events GROUP BY ALL),
+    r AS (SELECT dd, i, {weight} AS w FROM (SELECT dd, i,
+        ('0x' || substr(md5('0:' || dd || ':' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+        FROM (SELECT DISTINCT dd FROM t), range(1, {temporal.REPLICATES + 1}) x(i))),
+    b AS (SELECT part, i, sum(w * posts) / nullif(sum(w), 0) AS m FROM t JOIN r USING (dd) GROUP BY ALL),
+    q AS (SELECT part, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM b GROUP BY part)
+    SELECT part, round(avg(posts), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high
+    FROM t JOIN q USING (part) GROUP BY part"""
+
+
+@query("a7_weekday_bootstrap", _bootstrap_sql("CAST(isodow(ts) - 1 AS INT)"))
+def _(s, d):
+    posts = v.event_posts(s, d)
+    daily = posts.groupBy(
+        F.to_date("created_at").alias("DATA"), F.weekday("created_at").alias("part")
+    ).agg(F.count("*").alias("posts"))
+    return _rounded(temporal.bootstrap_interval(daily, ["part"], "DATA", "posts"), ("mean", "low", "high"))
+
+
+@query("a8_hour_bootstrap", _bootstrap_sql("CAST(hour(ts) AS INT)"))
+def _(s, d):
+    hourly = temporal.posts_per_day_and_hour(v.event_posts(s, d), "created_at")
+    means = temporal.bootstrap_interval(hourly.withColumn("part", F.col("HORA")), ["part"], "DATA", "posts")
+    return _rounded(means, ("mean", "low", "high"))
+
+
 def _star(s, d):
     """Labelled posts with surrogate keys, joined with the author and time dimensions."""
     rows = labels.clustered(v.labelled(s, d, text=False))
