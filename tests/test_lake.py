@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topiclake.functions import keywords, segment, vectorize
+from topiclake.operators import words
 from topiclake.plans import bronze, gold, silver
 from topiclake.sources import feed, resources
 from topiclake.sources.catalog import Catalog
@@ -457,3 +458,25 @@ def test_vectors(spark):
 
     got = {r.id: r.embedding for r in vectorize.vectorize(df, "t", encoder).collect()}
     assert got == {1: [5.0, 1.0], 2: [8.0, 1.0], 3: [0.0, 1.0]}
+
+
+@pytest.mark.parametrize("few", [32, 3, 1])
+def test_vocabulary_pairs(spark, monkeypatch, few):
+    """Sets and bitmaps give the pairs of plain Python, with words that every cluster knows."""
+    monkeypatch.setattr(words, "FEW", few)
+    rng = np.random.default_rng(5)
+    rows = [(c, " ".join([f"all{i}" for i in range(70)] + [f"w{i}" for i in rng.integers(0, 40, 12)]))
+            for c in range(-1, 50)]
+    rows += [(50, "lonely"), (51, ""), (51, None), (None, "all1 all2"), (3, "all1 all1")]
+    df = spark.createDataFrame(rows, "label int, text string").repartition(4)
+    held = {}
+    for c, text in rows:
+        if c is not None:
+            held.setdefault(c, set()).update(w for w in (text or "").split(" ") if w)
+    want = {}
+    for a in held:
+        for b in held:
+            if a < b and held[a] & held[b]:
+                want[a, b] = (len(held[a] & held[b]), len(held[a] | held[b]))
+    got = {(r.a, r.b): (r.both, r.either) for r in words.vocabulary_jaccard(df, "label", "text").collect()}
+    assert got == want

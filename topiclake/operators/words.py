@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiclake.functions.words import tokens
+from topiclake.operators.keys import assign_keys
+from topiclake.session import stage
 
 COUNTERS = ["like_count", "repost_count", "quote_count", "reply_count"]
 
+# Clusters that a word may be known to before it is counted in bitmaps; their width in words of 64 bits, and
+# the tasks that share a block.
+FEW = 32
+LANES = 16
+SALTS = 8
+
 
 def word_counts(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
     by = by or []
@@ -117,28 +125,64 @@ def vocabulary(df: DataFrame, label: str, text: str, include_noise: bool = True)
     return rows.select(label, F.explode(tokens(text)).alias("word")).distinct()
 
 
+def _shared_rare(vocab: DataFrame, label: str, known: DataFrame) -> DataFrame:
+    """(a, b, words) from words of at most ``FEW`` clusters: sets first, each unfolded to pairs once."""
+    sets = (
+        vocab.join(known.filter(F.col("k").between(2, FEW)).select("word"), "word")
+        .groupBy("word")
+        .agg(F.array_sort(F.collect_set(label)).alias("s"))
+        .groupBy("s")
+        .agg(F.count("*").alias("words"))
+    )
+    return (
+        sets.select("s", "words", F.posexplode("s").alias("i", "a"))
+        .select("a", "words", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+        .select("a", "b", "words")
+    )
+
+
+def _shared_common(vocab: DataFrame, label: str, known: DataFrame) -> DataFrame:
+    """(a, b, words) from words of more clusters: a bitmap per cluster and block of 64 × ``LANES`` words.
+
+    A pair of clusters is a row once per block, not once per word. The rows of a block are dealt to
+    ``SALTS`` tasks by the cluster, because a block may hold every cluster.
+    """
+    numbered = assign_keys(known.filter(F.col("k") > FEW).select("word"), "id", 0)
+    bit = F.expr("shiftleft(1L, cast(pmod(id, 64) AS int))")
+    lane = F.pmod(F.floor(F.col("id") / 64), F.lit(LANES))
+    lanes = [F.coalesce(F.bit_or(F.when(lane == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(LANES)]
+    blocks = vocab.join(numbered, "word").groupBy(
+        F.col(label).alias("c"), F.floor(F.col("id") / (64 * LANES)).alias("block")
+    ).agg(*lanes)
+    blocks = stage(blocks, "bitmaps")
+    salt = F.pmod(F.hash("c"), F.lit(SALTS))
+    left = blocks.withColumn("salt", salt).alias("x")
+    right = blocks.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).alias("y")
+    near = (F.col("x.block") == F.col("y.block")) & (F.col("x.salt") == F.col("y.salt"))
+    both = sum(
+        (F.bit_count(F.col(f"x.w{i}").bitwiseAND(F.col(f"y.w{i}"))) for i in range(LANES)), F.lit(0)
+    )
+    return left.join(right, near & (F.col("x.c") < F.col("y.c"))).groupBy(
+        F.col("x.c").alias("a"), F.col("y.c").alias("b")
+    ).agg(F.sum(both).alias("words"))
+
+
 def vocabulary_jaccard(
     df: DataFrame, label: str, text: str, include_noise: bool = True
 ) -> DataFrame:
     """Jaccard similarity of the vocabularies of every two clusters that share a word.
 
-    Words with the same set of clusters are counted together first; only those few sets are then
-    unfolded to pairs of clusters.
+    Words of few clusters are counted by their sets of clusters, and only those few sets are unfolded
+    to pairs; words of many clusters are counted in bitmaps, so no list grows with the clusters.
     """
-    vocab = vocabulary(df, label, text, include_noise)
+    vocab = stage(vocabulary(df, label, text, include_noise).filter(F.col(label).isNotNull()), "vocabulary")
     sizes = vocab.groupBy(label).agg(F.count("*").alias("size"))
-    sets = (
-        vocab.groupBy("word")
-        .agg(F.array_sort(F.collect_set(label)).alias("s"))
-        .groupBy("s")
-        .agg(F.count("*").alias("words"))
-    )
+    known = vocab.groupBy("word").agg(F.count("*").alias("k"))
     shared = (
-        sets.filter(F.size("s") > 1)
-        .select("s", "words", F.posexplode("s").alias("i", "a"))
-        .select("a", "words", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+        _shared_rare(vocab, label, known).unionByName(_shared_common(vocab, label, known))
         .groupBy("a", "b")
         .agg(F.sum("words").alias("both"))
+        .filter("both > 0")
     )
     left = sizes.select(F.col(label).alias("a"), F.col("size").alias("size_a"))
     right = sizes.select(F.col(label).alias("b"), F.col("size").alias("size_b"))
