@@ -3,6 +3,7 @@
 import numpy as np
 
 from topiclake.operators import tiles
+from topiclake.operators import metrics
 from topiclake.operators.dbscan import Dbscan, dbscan
 from topiclake.operators.tiles import tile_join
 
@@ -59,3 +60,29 @@ def test_blocks_are_bounded_however_many_rows_a_tile_has(spark):
     out = tile_join(df, seen, "rows long, pairs long", "id", "vec", tile_rows=n).collect()
     assert max(r["rows"] for r in out) <= tiles.BLOCK_ROWS
     assert sum(r["pairs"] for r in out) == n * (n - 1) // 2
+
+
+def test_undefined_settings_compare_no_rows(spark, monkeypatch):
+    """One cluster and noise: -1 without a pass over pairs; among others, only defined settings are compared."""
+    x = np.random.default_rng(4).normal(size=(40, 3))
+    df = frame(spark, x)
+    passes = []
+    real = metrics.silhouettes
+    monkeypatch.setattr(metrics, "silhouettes", lambda rows, *a: passes.append(rows) or real(rows, *a))
+    labels = [(s, i, [0 if i else -1, i % 3 - 1, i % 2][s]) for s in range(3) for i in range(40)]
+    table = spark.createDataFrame(labels, "setting int, id long, label int")
+    alone = metrics.evaluate_many(df, "id", "vec", table.filter("setting = 0")).first()
+    assert not passes and alone.n_clusters == 1 and alone.silhouette_avg == -1
+    found = {r.setting: r for r in metrics.evaluate_many(df, "id", "vec", table).collect()}
+    assert passes[0].first().sets is not None and len(passes[0].first().sets) == 2
+    assert found[0].silhouette_avg == found[0].davies_bouldin == -1 and found[0].n_clusters == 1
+    for s, own in ((1, [i % 3 - 1 for i in range(40)]), (2, [i % 2 for i in range(40)])):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        values = []
+        for i in range(40):
+            if own[i] == -1:
+                continue
+            mean = {c: d[i, [j for j in range(40) if own[j] == c and j != i]].mean() for c in set(own) - {-1}}
+            a, b = mean.pop(own[i]), min(mean.values())
+            values.append((b - a) / max(a, b))
+        assert abs(found[s].silhouette_avg - np.mean(values)) < 1e-9
