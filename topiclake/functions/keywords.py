@@ -1,16 +1,17 @@
 """Keyword extraction by the statistics of a single text (Campos et al., YAKE!, 2020).
 
 Posts reach this step lower-cased, without punctuation and as one sentence, so the casing, sentence
-position and sentence spread features are constants. All statistics belong to one post: its tokens
-are shuffled once, by post, and every later step (term, neighbour, phrase) works inside that
-partitioning with sorts only.
+position and sentence spread features are constants. All statistics belong to one post: its text is
+shuffled once, by post, and every later step (term, neighbour, phrase) is an expression on the arrays of
+that row, in time T log T of its tokens. No row per token is ever sorted or spilled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topiclake.functions.words import MIN_LENGTH
@@ -19,92 +20,154 @@ from topiclake.functions.words import MIN_LENGTH
 POSITION = math.log(math.log(3.0))
 
 
-def _neighbours(occurrences: Column, sides: list[str]) -> Column:
-    pairs = F.transform(occurrences, lambda o: F.array(*[o[s] for s in sides]))
-    return F.filter(F.flatten(pairs), lambda w: w.isNotNull())
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def term_scores(df: DataFrame, key: str, text: str, window: int = 2) -> DataFrame:
-    """(key, term, tf, score, positions) of every term of every text; low scores matter most."""
-    arr = df.select(key, F.split(F.trim(text), " +").alias("t")).repartition(key)
-    # Neighbours are only counted, so 64-bit digests stand for them.
-    arr = arr.withColumn("h", F.transform("t", lambda w: F.xxhash64(w)))
-    left = [f"l{i}" for i in range(1, window + 1)]
-    right = [f"r{i}" for i in range(1, window + 1)]
-    # Neighbours come from shifted copies of the token array, side by side.
-    none = F.array().cast("array<long>")
-    shifted = [
-        F.concat(F.array_repeat(F.lit(None).cast("long"), i), "h") for i in range(1, window + 1)
-    ] + [
-        F.when(F.size("t") > i, F.slice("h", i + 1, F.size("h"))).otherwise(none)
-        for i in range(1, window + 1)
-    ]
-    zipped = arr.select(
-        key, "t", *[c.alias(n) for c, n in zip(shifted, left + right)]
-    ).select(key, F.posexplode(F.arrays_zip("t", *left, *right)).alias("pos", "w"))
-    words = zipped.filter("w.t is not null and w.t <> ''")
-    terms = words.groupBy(key, F.col("w.t").alias("term")).agg(
-        F.collect_list(F.struct("pos", *[F.col(f"w.{s}").alias(s) for s in left + right])).alias("o")
+def _runs(rows: Column, name: str) -> Column:
+    """The runs of equal ``name`` in a sorted array of structs, each as an array."""
+    starts = F.array_compact(
+        F.transform(rows, lambda x, i: F.when(~x[name].eqNullSafe(F.get(rows, i - 1)[name]), i))
     )
-    long = F.length("term") >= MIN_LENGTH
-    per_text = Window.partitionBy(key)
-    tf = F.col("tf").cast("double")
-    terms = terms.select(
-        key, "term", F.size("o").alias("tf"),
-        F.transform("o", lambda o: o["pos"]).alias("positions"),
-        _neighbours(F.col("o"), left).alias("left"), _neighbours(F.col("o"), right).alias("right"),
-    ).select(
-        "*",
-        F.max("tf").over(per_text).alias("max_tf"),
-        F.avg(F.when(long, tf)).over(per_text).alias("avg_tf"),
-        F.stddev_pop(F.when(long, tf)).over(per_text).alias("std_tf"),
+    return _let(
+        starts,
+        lambda at: F.transform(
+            at, lambda i, k: F.slice(rows, i + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - i)
+        ),
     )
 
-    def side(name: str) -> Column:
-        """0.5 + share of different neighbours among all, weighted by relative frequency."""
-        different, total = F.size(F.array_distinct(name)), F.size(name)
-        share = F.coalesce(F.try_divide(different, total), F.lit(0.0))
-        return 0.5 + share * (tf / F.col("max_tf"))
 
-    related = side("left") + side("right")
-    frequent = tf / (F.col("avg_tf") + F.col("std_tf"))
-    score = POSITION * related / (frequent / related + 1.0 / related)
-    return terms.filter(long).select(key, "term", "tf", score.alias("score"), "positions")
+def _tokens(texts: Column) -> Column:
+    """(term, pos, h) of every word of every text; neighbours are only counted, so digests stand for them."""
+    def words(text: Column) -> Column:
+        return F.transform(
+            F.split(F.trim(text), " +"),
+            lambda w, i: F.struct(w.alias("term"), i.alias("pos"), F.xxhash64(w).alias("h")),
+        )
+
+    return F.filter(F.flatten(F.transform(texts, words)), lambda x: x["term"] != "")
+
+
+def _side(tokens: Column, places: Column, steps: list[int]) -> Column:
+    """Neighbours of a term at the given distances, in the text of the occurrence."""
+    def near(o: Column) -> Column:
+        found = [F.get(tokens, o["at"] + step) for step in steps]
+        return F.array_compact(F.array(*[
+            F.when(x["pos"] == o["pos"] + step, x["h"]) for x, step in zip(found, steps)
+        ]))
+
+    return F.flatten(F.transform(places, near))
+
+
+def _scored(terms: Column) -> Column:
+    """(term, tf, score, positions) of the terms that are long enough."""
+    long = F.filter(terms, lambda x: F.length(x["term"]) >= MIN_LENGTH)
+    counts = F.transform(long, lambda x: x["tf"].cast("long"))
+    zero = F.lit(0).cast("long")
+
+    def level(c: Column) -> Column:
+        """Mean and deviation of the counts of long terms, from whole sums; the greatest count of all."""
+        n, total = F.size(c), F.aggregate(c, zero, lambda s, x: s + x)
+        squares = F.aggregate(c, zero, lambda s, x: s + x * x)
+        return F.struct(
+            F.try_divide(total + F.sqrt(n * squares - total * total), n).alias("usual"),
+            F.array_max(F.transform(terms, lambda x: x["tf"])).alias("most"),
+        )
+
+    def score(x: Column, usual: Column, most: Column) -> Column:
+        tf = x["tf"].cast("double")
+
+        def side(name: str) -> Column:
+            """0.5 + share of different neighbours among all, weighted by relative frequency."""
+            different, total = F.size(F.array_distinct(x[name])), F.size(x[name])
+            return 0.5 + F.coalesce(F.try_divide(different, total), F.lit(0.0)) * (tf / most)
+
+        return _let(
+            side("left") + side("right"),
+            lambda related: POSITION * related / (tf / usual / related + 1.0 / related),
+        )
+
+    return _let(
+        _let(counts, level),
+        lambda t: F.transform(long, lambda x: F.struct(
+            x["term"].alias("term"), x["tf"].alias("tf"), score(x, t["usual"], t["most"]).alias("score"),
+            x["positions"].alias("positions"),
+        )),
+    )
+
+
+def _terms(texts: Column, window: int) -> Column:
+    """Scored terms of the texts of one key."""
+    steps = range(1, window + 1)
+
+    def counted(tokens: Column) -> Column:
+        placed = F.sort_array(F.transform(
+            tokens, lambda x, i: F.struct(x["term"].alias("term"), x["pos"].alias("pos"), i.alias("at"))
+        ))
+        return F.transform(_let(placed, lambda rows: _runs(rows, "term")), lambda o: F.struct(
+            o[0]["term"].alias("term"), F.size(o).alias("tf"),
+            F.transform(o, lambda x: x["pos"]).alias("positions"),
+            _side(tokens, o, [-i for i in steps]).alias("left"), _side(tokens, o, list(steps)).alias("right"),
+        ))
+
+    return _let(_let(_tokens(texts), counted), _scored)
+
+
+def _phrases(terms: Column, n: int) -> Column:
+    """(keyword, score, first) of the phrases of up to n neighbouring terms."""
+    places = F.sort_array(F.flatten(F.transform(terms, lambda x: F.transform(
+        x["positions"], lambda p: F.struct(p.alias("pos"), x["term"].alias("term"), x["score"].alias("score"))
+    ))))
+
+    def phrase(p: Column) -> Column:
+        return F.struct(
+            F.array_join(F.transform(p, lambda x: x["term"]), " ").alias("keyword"),
+            p[0]["pos"].alias("pos"),
+            F.aggregate(p, F.lit(1.0), lambda a, x: a * x["score"]).alias("product"),
+            F.aggregate(p, F.lit(0.0), lambda a, x: a + x["score"]).alias("total"),
+        )
+
+    def begun(rows: Column) -> Column:
+        """Phrases by their first term; a run is broken by a short word, so positions must follow."""
+        return F.flatten(F.transform(rows, lambda x, i: F.array_compact(F.array(*[
+            F.when(
+                F.get(rows, i + (size - 1))["pos"] == x["pos"] + (size - 1),
+                _let(F.slice(rows, i + 1, size), phrase),
+            ) for size in range(1, n + 1)
+        ]))))
+
+    grouped = _let(F.sort_array(_let(places, begun)), lambda rows: _runs(rows, "keyword"))
+    return F.transform(grouped, lambda g: F.struct(
+        g[0]["keyword"].alias("keyword"),
+        (g[0]["product"] / ((g[0]["total"] + 1.0) * F.size(g))).alias("score"),
+        g[0]["pos"].alias("first"),
+    ))
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, texts): one row per key, the only shuffle; texts of an equal key count together."""
+    return df.select(key, text).repartition(key).groupBy(key).agg(F.collect_list(text).alias("texts"))
+
+
+def term_scores(df: DataFrame, key: str, text: str, window: int = 2) -> DataFrame:
+    """(key, term, tf, score, positions) of every term of every text; low scores matter most."""
+    return _texts(df, key, text).select(key, F.inline(_terms(F.col("texts"), window)))
 
 
 def keyword_candidates(
     df: DataFrame, key: str, text: str, n: int = 3, window: int = 2
 ) -> DataFrame:
     """(key, keyword, score, first): phrases of up to n neighbouring terms with their scores."""
-    terms = term_scores(df, key, text, window)
-    rows = terms.select(key, "term", "score", F.explode("positions").alias("pos"))
-    order = Window.partitionBy(key).orderBy("pos")
-    item = F.struct("term", "score", "pos")
-    ahead = rows.select(
-        key, "pos", F.array(*[F.lead(item, i).over(order) for i in range(n)]).alias("run")
-    )
-    # A run is broken by a short word: positions must follow each other.
-    whole = F.transform(
-        F.sequence(F.lit(1), F.lit(n)),
-        lambda size: F.slice(F.col("run"), 1, size),
-    )
-    phrases = ahead.select(key, "pos", F.explode(whole).alias("p")).filter(
-        F.element_at("p", -1)["pos"] == F.col("pos") + F.size("p") - 1
-    )
-    product = F.aggregate("p", F.lit(1.0), lambda a, x: a * x["score"])
-    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["score"])
-    keyword = F.array_join(F.transform("p", lambda x: x["term"]), " ")
-    found = phrases.select(
-        key, "pos", keyword.alias("keyword"), product.alias("product"), total.alias("total")
-    )
-    return found.groupBy(key, "keyword").agg(
-        (F.first("product") / ((F.first("total") + 1.0) * F.count("*"))).alias("score"),
-        F.min("pos").alias("first"),
-    )
+    found = _let(_terms(F.col("texts"), window), lambda terms: _phrases(terms, n))
+    return _texts(df, key, text).select(key, F.inline(found))
 
 
-def _similar(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+def _alike(a: Column, b: Column, dedup: float) -> Column:
+    """Whether two keywords are more similar than ``dedup``; lengths alone rule most out, exactly."""
+    longest = F.greatest(F.length(a), F.length(b))
+    apart = F.abs(F.length(a) - F.length(b))
+    return (1 - apart / longest > dedup) & (1 - F.levenshtein(a, b) / longest > dedup)
 
 
 def extract_keywords(
@@ -117,20 +180,27 @@ def extract_keywords(
     ``top``; only scores below ``max_score`` count, so others are dropped before the selection,
     which cannot change what comes before them.
     """
-    good = keyword_candidates(df, key, text, n, window).filter(F.col("score") < max_score)
+    found = _let(_terms(F.col("texts"), window), lambda terms: _phrases(terms, n))
+    good = F.filter(found, lambda x: x["score"] < max_score)
     ordered = F.transform(
         # Rounded, so that equal scores reached by other products stay equal.
-        F.array_sort(F.collect_list(F.struct(F.round("score", 12), "first", "keyword"))),
+        F.sort_array(F.transform(
+            good, lambda x: F.struct(F.round(x["score"], 12).alias("score"), x["first"], x["keyword"].alias("keyword"))
+        )),
         lambda s: s["keyword"],
     )
-    lists = good.groupBy(key).agg(ordered.alias("k"))
-    taken = F.aggregate(
-        "k",
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when(
-            (F.size(acc) < top) & ~F.exists(acc, lambda y: _similar(y, x) > dedup),
-            F.concat(acc, F.array(x)),
-        ).otherwise(acc),
-    )
-    words = F.array_distinct(F.split(F.array_join(taken, " "), " "))
-    return lists.select(key, F.array_join(words, " ").alias("yaked"))
+
+    def taken(k: Column) -> Column:
+        best = F.aggregate(
+            k,
+            F.array().cast("array<string>"),
+            lambda acc, x: F.when(
+                (F.size(acc) < top) & ~F.exists(acc, lambda y: _alike(y, x, dedup)),
+                F.concat(acc, F.array(x)),
+            ).otherwise(acc),
+        )
+        words = F.array_distinct(F.split(F.array_join(best, " "), " "))
+        return F.when(F.size(k) > 0, F.array(F.array_join(words, " ")))
+
+    # Unfolded, not filtered: a filter would be moved below and compute the keywords again.
+    return _texts(df, key, text).select(key, F.explode(_let(ordered, taken)).alias("yaked"))
