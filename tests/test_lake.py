@@ -480,3 +480,76 @@ def test_vocabulary_pairs(spark, monkeypatch, few):
                 want[a, b] = (len(held[a] & held[b]), len(held[a] | held[b]))
     got = {(r.a, r.b): (r.both, r.either) for r in words.vocabulary_jaccard(df, "label", "text").collect()}
     assert got == want
+
+
+def test_backlog_gives_the_loads_of_single_days(spark, tmp_path, monkeypatch):
+    """All days in one pass: the same rows, keys, marks and numbers as day by day, also after a break."""
+    write_days(spark, f"{tmp_path}/in")
+    single = Catalog(spark, f"{tmp_path}/single")
+    while bronze.load_oldest_day(single, f"{tmp_path}/in"):
+        silver.refresh(single, silver.cleaned_words)
+    once = Catalog(spark, f"{tmp_path}/once")
+    assert bronze.load_backlog(once, f"{tmp_path}/in") == ["2024-12-16", "2024-12-17", "2024-12-18"]
+    assert bronze.load_backlog(once, f"{tmp_path}/in") == []
+    append = Catalog.append
+
+    def breaks(self, df, layer, table):
+        if table == "loads":
+            raise RuntimeError("lost")
+        append(self, df, layer, table)
+
+    monkeypatch.setattr(Catalog, "append", breaks)
+    with pytest.raises(RuntimeError):
+        silver.refresh(once, silver.cleaned_words, each=True)
+    monkeypatch.undo()
+    assert silver.refresh(once, silver.cleaned_words, each=True) == 6
+    assert silver.refresh(once, silver.cleaned_words, each=True) == 0
+
+    def rows(catalog, table, *columns):
+        return sorted(map(tuple, catalog.load("silver", table).select(*columns).collect()), key=str)
+
+    for table, columns in (("loads", ("mark", "last_post")), ("author", ("SK_author", "author")),
+                           ("time", ("SK_time", "created_at")), ("ledger", ("h1", "h2", "day_collect", "load"))):
+        assert rows(once, table, *columns) == rows(single, table, *columns)
+    assert facts(once) == facts(single)
+    assert dense(once, "posts", "SK_post") == 6
+    last = {i: r.last_post for i, r in enumerate(once.load("silver", "loads").orderBy("last_post").collect())}
+    for r in once.load("silver", "posts").collect():     # the keys of a load end at its number
+        assert last.get(r.load - 1, 0) < r.SK_post <= last[r.load]
+
+
+def test_backlog_jobs_do_not_grow_with_the_days(spark, tmp_path):
+    """Sixteen days start as many jobs as two."""
+    started = []
+    for n in (2, 16):
+        rows = [post(f"a{i}.x", f"Winter pictures number{i} mountain", days=i) for i in range(n)]
+        path = f"{tmp_path}/in{n}"
+        df = spark.createDataFrame(rows, RAW_ROWS).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+        feed.write_csv(df, path, ["day"])
+        catalog = Catalog(spark, f"{tmp_path}/lake{n}")
+        spark.sparkContext.setJobGroup(path, "backlog")
+        assert len(bronze.load_backlog(catalog, path)) == n
+        assert silver.refresh(catalog, silver.cleaned_words, each=True) == n
+        started.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(path)))
+        assert catalog.load("silver", "loads").count() == n
+    assert started[1] <= started[0] + 6
+
+
+def test_spread_runs_no_join(spark, tmp_path):
+    """Posts are spread over the cores without a job that joins them."""
+    from workload import views
+
+    for name, rows in (
+        ("documents", "SELECT id AS doc_id, 'a b' AS text FROM range(50)"),
+        ("events", "SELECT id AS event_id, timestamp_ntz'2024-01-01' AS ts, id AS user_id, 1.0D AS value FROM range(50)"),
+    ):
+        spark.sql(rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.sparkContext.setJobGroup("views", "views")
+        rows = views.cleaned(spark, str(tmp_path))
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("views"))
+        assert before <= 2                                # the schemas of the two files
+        assert rows.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))

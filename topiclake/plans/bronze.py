@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiclake.sources.catalog import Catalog
-from topiclake.sources.feed import input_files, oldest_files, read_csv
+from topiclake.sources.feed import DATE, input_files, oldest_files, read_csv
 
 
 def with_day(df: DataFrame) -> DataFrame:
@@ -28,26 +28,45 @@ def load_oldest_day(catalog: Catalog, landing: str) -> str | None:
     list is written last and names the batch: rows that a load left behind when it broke off belong
     to a batch that is not listed, and nothing reads them.
     """
-    spark = catalog.spark
+    dates = _load_files(catalog, oldest_files(_new_files(catalog, landing)))
+    return dates[0] if dates else None
+
+
+def load_backlog(catalog: Catalog, landing: str) -> list[str]:
+    """Append all days of files not loaded yet in one pass; returns their dates, the oldest first.
+
+    Each day is a batch of its own, as if the days had been loaded one by one; the jobs do not grow
+    with the number of days.
+    """
+    return _load_files(catalog, _new_files(catalog, landing))
+
+
+def _new_files(catalog: Catalog, landing: str) -> DataFrame:
     known = catalog.load("bronze", "files")
-    new = input_files(spark, landing).join(known.select("file"), "file", "left_anti")
-    found = [(r["file"], r["file_date"]) for r in oldest_files(new).collect()]
+    return input_files(catalog.spark, landing).join(known.select("file"), "file", "left_anti")
+
+
+def _load_files(catalog: Catalog, files: DataFrame) -> list[str]:
+    """Append the rows of the files, a batch for each date."""
+    found = [(r["file"], r["file_date"]) for r in files.collect()]
     if not found:
-        return None
-    batch = uuid.uuid4().hex
-    posts = read_csv(spark, [f for f, _ in found])
+        return []
+    run = uuid.uuid4().hex
+    posts = read_csv(catalog.spark, [f for f, _ in found])
     posts = with_day(posts).withColumn("source_file", F.col("_metadata.file_path"))
-    catalog.append(posts.withColumn("batch", F.lit(batch)), "bronze", "posts")
-    listed = spark.createDataFrame(
-        [(*f, batch) for f in found], "file string, file_date string, batch string"
+    date = F.regexp_extract("source_file", DATE, 1)
+    catalog.append(posts.withColumn("batch", F.concat(F.lit(f"{run}-"), date)), "bronze", "posts")
+    listed = catalog.spark.createDataFrame(
+        [(f, d, f"{run}-{d}") for f, d in found], "file string, file_date string, batch string"
     )
-    catalog.append(listed, "bronze", "files")
-    return found[0][1]
+    # One file, so that the batches are listed together or not at all.
+    catalog.append(listed.coalesce(1), "bronze", "files")
+    return sorted({d for _, d in found})
 
 
 def batches(catalog: Catalog) -> DataFrame:
-    """(batch) of the finished loads."""
-    return catalog.load("bronze", "files").select("batch").distinct()
+    """(batch, file_date) of the finished loads; the date is that of the oldest file."""
+    return catalog.load("bronze", "files").groupBy("batch").agg(F.min("file_date").alias("file_date"))
 
 
 def posts(catalog: Catalog) -> DataFrame:

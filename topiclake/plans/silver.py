@@ -79,14 +79,18 @@ def lake_keywords(catalog: Catalog) -> TextPlan:
 def distinct_posts(df: DataFrame) -> DataFrame:
     """One row per (created_at, text, author), with its highest counters.
 
-    A grouped maximum shrinks re-collected copies inside each task before anything is shuffled.
+    A grouped maximum shrinks re-collected copies inside each task before anything is shuffled. Copies
+    from several loads (column ``load``) are a post of the first of them.
     """
-    rest = [c for c in df.columns if c not in IDENTITY]
+    load = [c for c in df.columns if c == "load"]
+    rest = [c for c in df.columns if c not in (*IDENTITY, *load)]
     if not rest:
         return df.distinct()
     first = [c for c in COUNTERS if c in rest] + [c for c in rest if c not in COUNTERS]
-    best = df.groupBy(*IDENTITY).agg(F.max(F.struct(*first)).alias("b"))
-    return best.select(*IDENTITY, *[F.col(f"b.{c}").alias(c) for c in rest])
+    best = df.groupBy(*IDENTITY).agg(
+        F.max(F.struct(*first)).alias("b"), *[F.min(c).alias(c) for c in load]
+    )
+    return best.select(*IDENTITY, *[F.col(f"b.{c}").alias(c) for c in rest], *load)
 
 
 def newer_than(df: DataFrame, mark, column: str = "created_at") -> DataFrame:
@@ -94,15 +98,42 @@ def newer_than(df: DataFrame, mark, column: str = "created_at") -> DataFrame:
 
 
 def unread_batches(catalog: Catalog) -> list[str]:
-    """Finished bronze batches that no finished load has read."""
+    """Finished bronze batches that no finished load has read, those of the oldest files first."""
     loads = catalog.load("silver", "loads").count()
     done = catalog.load("silver", "reads").filter(F.col("load") < loads).select("batch")
-    return [r.batch for r in bronze_batches(catalog).join(done, "batch", "left_anti").collect()]
+    unread = bronze_batches(catalog).join(done, "batch", "left_anti")
+    return [r.batch for r in unread.orderBy("file_date", "batch").collect()]
+
+
+def planned_loads(catalog: Catalog, batches: list[str], each: bool) -> dict[str, int]:
+    """The number of the load that is to read each batch: the next one, or with ``each`` one after another.
+
+    The plan is written down first. A load that is run again after a break gives the batches of its
+    first try the same numbers, whatever has come in between, and so replaces what that try left.
+    """
+    first = catalog.load("silver", "loads").count()
+    old = catalog.load("silver", "plans").filter(F.col("load") >= first)
+    kept = {r.batch: r.load for r in old.groupBy("batch").agg(F.max("load").alias("load")).collect()}
+    plan = {b: kept[b] for b in batches if b in kept}
+    new = [b for b in batches if b not in kept]
+    after = max(plan.values(), default=first - 1) + 1
+    plan |= {b: after + i if each else first for i, b in enumerate(new)}
+    if new:
+        rows = [(b, plan[b]) for b in new]
+        listed = catalog.spark.createDataFrame(rows, TABLES["silver", "plans"]).coalesce(1)
+        catalog.append(listed, "silver", "plans")
+    return plan
 
 
-def new_posts(catalog: Catalog, batches: list[str], until=None) -> DataFrame:
-    """Posts of the given bronze batches, which are partitions, whenever they were created."""
+def new_posts(
+    catalog: Catalog, batches: list[str], until=None, loads: dict[str, int] | None = None
+) -> DataFrame:
+    """Posts of the given bronze batches, which are partitions, whenever they were created; with
+    ``loads`` the number of the load that reads their batch stands in ``load``."""
     rows = catalog.load("bronze", "posts").filter(F.col("batch").isin(batches))
+    if loads:
+        numbers = catalog.spark.createDataFrame(list(loads.items()), TABLES["silver", "plans"])
+        rows = rows.join(F.broadcast(numbers), "batch")  # one row per batch
     rows = rows.drop("source_file", "batch")
     return rows if until is None else rows.filter(F.col("created_at") <= F.lit(until))
 
@@ -161,15 +192,17 @@ def raise_counters(catalog: Catalog, copies: DataFrame) -> int:
 
 
 def new_times(minutes: DataFrame, known: DataFrame, start: int) -> DataFrame:
-    """Minutes that the time dimension does not hold yet, with keys in order of time."""
-    fresh = minutes.distinct().join(known.select("created_at"), "created_at", "left_anti")
-    keyed = assign_keys(fresh, "SK_time", start, ["created_at"])
+    """Minutes that the time dimension does not hold yet, with keys in order of their load and of time."""
+    fresh = minutes.groupBy("created_at").agg(F.min("load").alias("load"))
+    fresh = fresh.join(known.select("created_at"), "created_at", "left_anti")
+    keyed = assign_keys(fresh, "SK_time", start, ["load", "created_at"])
     return keyed.select("SK_time", "created_at", *calendar_parts("created_at"))
 
 
 def new_authors(authors: DataFrame, known: DataFrame, start: int) -> DataFrame:
-    fresh = authors.distinct().join(known.select("author"), "author", "left_anti")
-    return assign_keys(fresh, "SK_author", start, ["author"])
+    fresh = authors.groupBy("author").agg(F.min("load").alias("load"))
+    fresh = fresh.join(known.select("author"), "author", "left_anti")
+    return assign_keys(fresh, "SK_author", start, ["load", "author"]).drop("load")
 
 
 def with_keys(posts: DataFrame, time: DataFrame, author: DataFrame) -> DataFrame:
@@ -184,21 +217,26 @@ def with_keys(posts: DataFrame, time: DataFrame, author: DataFrame) -> DataFrame
 
 def load_posts(
     catalog: Catalog, bronze: DataFrame, text_plan: TextPlan | None = None,
-    batches: list[str] | None = None,
+    batches: dict[str, int] | None = None,
 ) -> int:
     """Load a batch of bronze rows into the star; returns the number of new posts.
 
+    Rows with a column ``load`` are those of several loads, done in one pass: keys, marks and numbers
+    become the same as if they had been done one after another.
+
     Posts that an earlier load has loaded are known by their digests, so late and repeated posts
     are safe whatever the order of the loads; higher counters of a repeated post replace those it
-    had. ``batches`` are the bronze batches read in full.
-    The row in ``loads`` is written last. A load that broke off before it is simply run again: it
+    had. ``batches`` are the bronze batches read in full, with the numbers of their loads.
+    The rows in ``loads`` are written last. A load that broke off before it is simply run again: it
     has the same number, ignores what its first try left in the ledger and replaces its posts.
     """
-    load, last_post = catalog.load("silver", "loads").agg(
-        F.count("*").cast("int"), F.coalesce(F.max("last_post"), F.lit(0))
+    load, last_post, held = catalog.load("silver", "loads").agg(
+        F.count("*").cast("int"), F.coalesce(F.max("last_post"), F.lit(0)), F.max("mark")
     ).first()
-    posts = with_month(digests(distinct_posts(bronze.dropna(subset=["text"]))))
-    posts = stage(posts.withColumn("load", F.lit(load)), "distinct")
+    numbers = sorted(set(batches.values())) if batches else [load]
+    if "load" not in bronze.columns:
+        bronze = bronze.withColumn("load", F.lit(load))
+    posts = stage(with_month(digests(distinct_posts(bronze.dropna(subset=["text"])))), "distinct")
     ledger = catalog.load("silver", "ledger").filter(F.col("load") < load)
     seen = stage(seen_in(ledger, posts, "SK_post"), "seen")
     again = posts.join(seen.filter("SK_post is not null"), ["day_collect", "h1", "h2"])
@@ -206,45 +244,55 @@ def load_posts(
     posts = posts.join(seen, ["day_collect", "h1", "h2"], "left_anti")
     # Written before its row ids are used, so that they cannot change.
     numbered = stage(posts.withColumn("_row", F.monotonically_increasing_id()), "posts")
-    mark = high_water(numbered, "created_at")
-    if mark is None and not batches:
+    ends = numbered.groupBy("load").agg(F.max("created_at").alias("mark")).collect()  # one row per load
+    marks = {r.load: r.mark for r in ends if r.mark is not None}
+    if not marks and not batches:
         return 0
-    if mark is None:
-        # Nothing new, but the batches are read.
-        mark = high_water(catalog.load("silver", "loads"), "mark")
     text_plan = text_plan or lake_keywords(catalog)
     words = text_plan(numbered.withColumn("created_at", to_minute("created_at")), "_row")
     # Written once, with its keys: the two dimensions and the fact all start from it.
-    batch = assign_keys(words.filter(F.trim("yaked") != ""), "SK_post", last_post + 1)
+    # Spark moves no filter below a column that is not deterministic; below the cleaning, it would
+    # clean every text twice.
+    kept = words.withColumn("_at", F.monotonically_increasing_id()).filter(F.trim("yaked") != "")
+    batch = assign_keys(kept, "SK_post", last_post + 1, within="load" if len(numbers) > 1 else None).drop("_at")
 
     time, author = catalog.load("silver", "time"), catalog.load("silver", "author")
     last_time, last_author = high_water(time, "SK_time"), high_water(author, "SK_author")
-    times = new_times(batch.select("created_at"), time, (last_time or 0) + 1)
+    times = new_times(batch.select("created_at", "load"), time, (last_time or 0) + 1)
     catalog.append(times, "silver", "time")
-    authors = new_authors(batch.select("author"), author, (last_author or 0) + 1)
+    authors = new_authors(batch.select("author", "load"), author, (last_author or 0) + 1)
     catalog.append(authors, "silver", "author")
     time, author = catalog.load("silver", "time"), catalog.load("silver", "author")
     catalog.replace_load(with_keys(batch, time, author), "silver", "posts")
     # The mark and the ledger cover the posts that were read, also those without words.
     listed = numbered.select("_row", "h1", "h2", "month_collect", "day_collect", "load")
     catalog.replace_load(listed.join(batch.select("_row", "SK_post"), "_row", "left"), "silver", "ledger")
-    reads = [(b, load) for b in batches or []]
+    reads = list((batches or {}).items())
     catalog.append(catalog.spark.createDataFrame(reads, TABLES["silver", "reads"]), "silver", "reads")
-    count = batch.count()
-    row = [(mark, last_post + count)]
-    catalog.append(
-        catalog.spark.createDataFrame(row, TABLES["silver", "loads"]), "silver", "loads"
-    )
-    return count
-
-
-def refresh(catalog: Catalog, text_plan: TextPlan | None = None, until=None) -> int:
+    counts = {r.load: r["count"] for r in batch.groupBy("load").count().collect()}  # one row per load
+    rows, last = [], last_post
+    for n in numbers:
+        mark = marks.get(n, held)  # without new posts, the mark of the loads before
+        held = mark if held is None else max(held, mark)
+        last += counts.get(n, 0)
+        rows.append((mark, last))
+    # One file, so that the loads are finished together or not at all.
+    finished = catalog.spark.createDataFrame(rows, TABLES["silver", "loads"]).coalesce(1)
+    catalog.append(finished, "silver", "loads")
+    return last - last_post
+
+
+def refresh(catalog: Catalog, text_plan: TextPlan | None = None, until=None, each: bool = False) -> int:
     """Load everything new from bronze, or what was created up to ``until``.
 
-    A batch that was read in part is read again by the next load.
+    A batch that was read in part is read again by the next load. With ``each`` every batch is a load of
+    its own, in order of their files' dates, but all are done in one pass: the jobs do not grow with
+    their number.
     """
     batches = unread_batches(catalog)
     if not batches:
         return 0
-    rows = new_posts(catalog, batches, until)
-    return load_posts(catalog, rows, text_plan, batches if until is None else None)
+    if until is not None:
+        return load_posts(catalog, new_posts(catalog, batches, until), text_plan)
+    plan = planned_loads(catalog, batches, each)
+    return load_posts(catalog, new_posts(catalog, batches, loads=plan), text_plan, plan)

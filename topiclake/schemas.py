@@ -38,6 +38,8 @@ TABLES = {
     ("silver", "revised"): "day_collect int, mark string",
     # Bronze batches that a load has read in full.
     ("silver", "reads"): "batch string, load int",
+    # The numbers of the loads that batches are meant for, written before they begin.
+    ("silver", "plans"): "batch string, load int",
     # Words of the corpus with their counts, learnt once.
     ("silver", "vocabulary"): "word string, n long",
     ("gold", "posts"): GOLD_POSTS,

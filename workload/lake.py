@@ -8,7 +8,7 @@ from topiclake.functions import keywords, segment, vectorize
 from topiclake.operators.keys import assign_keys
 from topiclake.operators.labels import star
 from topiclake.plans import bronze, gold, silver
-from topiclake.session import new_path, spread
+from topiclake.session import new_path
 from topiclake.sources import feed, resources
 from topiclake.sources.catalog import Catalog, high_water
 from topiclake.streaming import landing as streams
@@ -32,18 +32,18 @@ def landing(spark, sf_dir) -> str:
     """CSV files of the posts, one dated folder per day of creation."""
     path = new_path(spark, "landing")
     day = F.date_format("created_at", "yyyy-MM-dd")
-    feed.write_csv(spread(raw(spark, sf_dir)).withColumn("day", day), path, ["day"])
+    feed.write_csv(raw(spark, sf_dir).withColumn("day", day), path, ["day"])
     return path
 
 
 def lake(spark, sf_dir) -> Catalog:
-    """Bronze, silver and gold after one load per day of files; built once per session."""
+    """Bronze, silver and gold after one load per day of files, all days in one pass; built once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         catalog = Catalog(spark, new_path(spark, "lake"))
         files = landing(spark, sf_dir)
-        while bronze.load_oldest_day(catalog, files) is not None:
-            silver.refresh(catalog, silver.cleaned_words)
+        bronze.load_backlog(catalog, files)
+        silver.refresh(catalog, silver.cleaned_words, each=True)
         gold.refresh(catalog)
         _built[key] = catalog
     return _built[key]
@@ -62,7 +62,7 @@ RAW_SQL = (
 @query("s1_flatten_feed", RAW_SQL)
 def _(s, d):
     path = new_path(s, "feed")
-    rows = spread(raw(s, d))
+    rows = raw(s, d)
     post = F.struct(
         F.struct(F.col("author").alias("handle")).alias("author"),
         F.struct("text", F.col("created_at").cast("string").alias("created_at")).alias("record"),
@@ -75,7 +75,7 @@ def _(s, d):
 @query("s2_s5_csv_round_trip", RAW_SQL)
 def _(s, d):
     path = new_path(s, "csv")
-    feed.write_csv(spread(raw(s, d)), path)
+    feed.write_csv(raw(s, d), path)
     return plain_time(feed.read_csv(s, path))
 
 
@@ -480,7 +480,7 @@ def _(s, d):
 
 @query("x1_x5_keyword_words")
 def _(s, d):
-    return silver.keyword_words(spread(v.posts(s, d).select("SK_post", "text")), "SK_post")
+    return silver.keyword_words(v.posts(s, d).select("SK_post", "text"), "SK_post")
 
 
 @query("f1_m3_vectors")
@@ -511,7 +511,7 @@ def landed_twice(s, d, silver_too=False):
     marks = new_path(s, "progress"), new_path(s, "progress")
     second = raw(s, d).withColumn("like_count", F.expr("like_count + like_count % 3 - 1"))
     for name, rows in (("first", raw(s, d)), ("second", second)):
-        feed.write_csv(spread(rows), f"{path}/{name}")
+        feed.write_csv(rows, f"{path}/{name}")
         streams.start_bronze(out, path, marks[0]).awaitTermination()
         if silver_too:
             streams.start_silver(out, marks[1], silver.cleaned_words).awaitTermination()
