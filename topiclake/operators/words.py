@@ -16,6 +16,8 @@ COUNTERS = ["like_count", "repost_count", "quote_count", "reply_count"]
 FEW = 32
 LANES = 16
 SALTS = 8
+# Frequent words that are broadcast with their numbers.
+NUMBERED_ROWS = 1_000_000
 
 
 def word_counts(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
@@ -68,12 +70,16 @@ def vocab_coverage(df: DataFrame, key: str, text: str, min_freq: int = 150) -> D
 def cooccurrence(df: DataFrame, text: str, min_freq: int = 150, directed: bool = False) -> DataFrame:
     """Weighted edges between neighbouring frequent words of the same post.
 
-    Neighbours come from the token array itself, so no window sort is needed, and pairs are counted
-    before the frequent words are joined, so the joins see each pair once.
+    Neighbours come from the token array itself, so no window sort is needed. Frequent words that a
+    count finds few enough for a broadcast are numbered, and only pairs of them are counted, as one
+    number each; else pairs are counted before the frequent words are joined.
     """
     arr = df.select(tokens(text).alias("w1"))
     arr = arr.filter(F.size("w1") > 1).withColumn("w2", F.slice("w1", 2, F.size("w1")))
     pairs = arr.select(F.inline(F.arrays_zip("w1", "w2"))).filter("w2 is not null")
+    often = stage(frequent_words(df, text, min_freq).select("word"), "frequent")
+    if often.limit(NUMBERED_ROWS + 1).count() <= NUMBERED_ROWS:
+        return _numbered_edges(pairs, often, directed)
     if not directed:
         pairs = pairs.select(
             F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")
@@ -83,12 +89,31 @@ def cooccurrence(df: DataFrame, text: str, min_freq: int = 150, directed: bool =
         .groupBy("w1", "w2")
         .agg(F.count("*").alias("weight"))
     )
-    often = frequent_words(df, text, min_freq).select("word")
     for side in ("w1", "w2"):
         edges = edges.join(often.withColumnRenamed("word", side), side, "left_semi")
     return edges.select("w1", "w2", "weight")
 
 
+def _numbered_edges(pairs: DataFrame, often: DataFrame, directed: bool) -> DataFrame:
+    """Edges of the pairs (w1, w2) of different frequent words; the number of a pair holds those of both."""
+    # Numbers follow the order of the words: the least of two belongs to the least word.
+    ids = stage(assign_keys(often, "id", 0, ["word"]), "ids")
+    for side in ("w1", "w2"):
+        named = ids.select(F.col("word").alias(side), F.col("id").alias(f"{side}_id"))
+        pairs = pairs.join(F.broadcast(named), side)  # counted
+    a, b = F.col("w1_id"), F.col("w2_id")
+    ends = (a, b) if directed else (F.least(a, b), F.greatest(a, b))
+    counts = pairs.filter(a != b).groupBy((ends[0] * 2**32 + ends[1]).alias("pair")).agg(
+        F.count("*").alias("weight")
+    )
+    places = {"w1": F.shiftright("pair", 32), "w2": F.col("pair").bitwiseAND(F.lit(2**32 - 1))}
+    edges = counts.select("weight", *[place.alias(f"{side}_id") for side, place in places.items()])
+    for side in places:
+        named = ids.select(F.col("word").alias(side), F.col("id").alias(f"{side}_id"))
+        edges = edges.join(F.broadcast(named), f"{side}_id")  # counted
+    return edges.select("w1", "w2", "weight")
+
+
 def top_words_per_cluster(df: DataFrame, label: str, text: str, n: int = 5) -> DataFrame:
     """The rank filter becomes a group limit below the shuffle, so a hot label is cut early."""
     order = Window.partitionBy(label).orderBy(F.desc("n"), "word")
