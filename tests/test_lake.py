@@ -553,3 +553,49 @@ def test_spread_runs_no_join(spark, tmp_path):
         assert rows.count() == 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+
+
+def test_landing_writes_texts_once(spark, tmp_path, monkeypatch):
+    """A stream's batch reaches bronze without a staged copy, and no group of it is shuffled by its texts."""
+    rows = [post("ann.x", "First mountain picture", like=i % 3) for i in range(6)]
+    rows += [post(None, "x"), post("x", None), post("x", None, like=4)]   # nulls in different columns
+    feed.write_csv(spark.createDataFrame(rows, RAW_ROWS).coalesce(1), f"{tmp_path}/in/a")
+    staged = []
+    monkeypatch.setattr(streams, "stage", lambda df, name: staged.append(name) or df, raising=False)
+    catalog = Catalog(spark, f"{tmp_path}/lake")
+    streams.start_bronze(catalog, f"{tmp_path}/in", f"{tmp_path}/c").awaitTermination(120)
+    got = {(r.author, r.text, r.like_count) for r in catalog.load("bronze", "posts").collect()}
+    assert got == {("ann.x", "First mountain picture", 2), (None, "x", 1), ("x", None, 4)}
+    assert catalog.load("bronze", "ledger").count() == 3 and staged == []
+
+
+def test_blank_filter_cleans_no_text_twice(spark, tmp_path, monkeypatch):
+    """The filter on blank posts stays above the cleaning."""
+    plans, real = [], silver.assign_keys
+    monkeypatch.setattr(silver, "assign_keys", lambda df, *a, **k: plans.append(df) or real(df, *a, **k))
+    catalog = Catalog(spark, f"{tmp_path}/lake")
+    rows = spark.createDataFrame([post("ann.x", "Winter pictures"), post("bob.x", "...")], RAW_ROWS)
+    assert silver.load_posts(catalog, bronze.with_day(rows), silver.cleaned_words) == 1
+    text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("array_join") == 1
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_edges_by_numbers_and_by_words(spark, monkeypatch, directed):
+    """Both ways of counting pairs give equal edges, and the numbered one shuffles no words of pairs."""
+    texts = [("b a b a c b",), ("a b é z é",), ("z z a",), ("rare b a",), (None,), ("",), ("a",)] * 2
+    df = spark.createDataFrame(texts, "post string")
+    edges = words.cooccurrence(df, "post", 4, directed)
+    got = sorted(map(tuple, edges.collect()))
+    monkeypatch.setattr(words, "NUMBERED_ROWS", 0)
+    assert got == sorted(map(tuple, words.cooccurrence(df, "post", 4, directed).collect()))
+    assert ("a", "b", 10 if not directed else 4) in got
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(w1" not in plan
+
+
+def test_null_authors_get_a_key_in_every_load(spark):
+    rows = spark.createDataFrame([(None, 0), ("b", 0), ("a", 1), (None, 1), ("b", 1), (None, 1)], "author string, load int")
+    known = spark.createDataFrame([("c", 1)], "author string, SK_author long")
+    got = silver.new_authors(rows, known, 2).collect()
+    assert sorted((r.SK_author, r.author) for r in got) == [(2, None), (3, "b"), (4, None), (5, "a")]

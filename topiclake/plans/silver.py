@@ -139,9 +139,9 @@ def new_posts(
 
 
 def digests(df: DataFrame) -> DataFrame:
-    return df.withColumn("h1", F.xxhash64(*IDENTITY)).withColumn(
-        "h2", F.xxhash64(F.lit(1), *IDENTITY)
-    )
+    """Two hashes of the identity. A hash passes over nulls, so which columns are null is hashed as well."""
+    parts = [*IDENTITY, *[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(IDENTITY)]]
+    return df.withColumn("h1", F.xxhash64(*parts)).withColumn("h2", F.xxhash64(F.lit(1), *parts))
 
 
 def seen_in(ledger: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
@@ -191,17 +191,21 @@ def raise_counters(catalog: Catalog, copies: DataFrame) -> int:
     return n
 
 
+def first_loads(rows: DataFrame, column: str) -> DataFrame:
+    """(column, load): each value with the first load that has it; null, which no join finds again, with all."""
+    again = F.when(F.col(column).isNull(), F.col("load")).alias("_again")
+    return rows.groupBy(column, again).agg(F.min("load").alias("load")).drop("_again")
+
+
 def new_times(minutes: DataFrame, known: DataFrame, start: int) -> DataFrame:
     """Minutes that the time dimension does not hold yet, with keys in order of their load and of time."""
-    fresh = minutes.groupBy("created_at").agg(F.min("load").alias("load"))
-    fresh = fresh.join(known.select("created_at"), "created_at", "left_anti")
+    fresh = first_loads(minutes, "created_at").join(known.select("created_at"), "created_at", "left_anti")
     keyed = assign_keys(fresh, "SK_time", start, ["load", "created_at"])
     return keyed.select("SK_time", "created_at", *calendar_parts("created_at"))
 
 
 def new_authors(authors: DataFrame, known: DataFrame, start: int) -> DataFrame:
-    fresh = authors.groupBy("author").agg(F.min("load").alias("load"))
-    fresh = fresh.join(known.select("author"), "author", "left_anti")
+    fresh = first_loads(authors, "author").join(known.select("author"), "author", "left_anti")
     return assign_keys(fresh, "SK_author", start, ["load", "author"]).drop("load")
 
 
@@ -236,14 +240,14 @@ def load_posts(
     numbers = sorted(set(batches.values())) if batches else [load]
     if "load" not in bronze.columns:
         bronze = bronze.withColumn("load", F.lit(load))
-    posts = stage(with_month(digests(distinct_posts(bronze.dropna(subset=["text"])))), "distinct")
+    posts = with_month(digests(distinct_posts(bronze.dropna(subset=["text"]))))
+    # Written before its row ids are used, so that they cannot change.
+    posts = stage(posts.withColumn("_row", F.monotonically_increasing_id()), "distinct")
     ledger = catalog.load("silver", "ledger").filter(F.col("load") < load)
     seen = stage(seen_in(ledger, posts, "SK_post"), "seen")
     again = posts.join(seen.filter("SK_post is not null"), ["day_collect", "h1", "h2"])
     raise_counters(catalog, again.select("SK_post", "day_collect", *COUNTERS))
-    posts = posts.join(seen, ["day_collect", "h1", "h2"], "left_anti")
-    # Written before its row ids are used, so that they cannot change.
-    numbered = stage(posts.withColumn("_row", F.monotonically_increasing_id()), "posts")
+    numbered = posts.join(seen, ["day_collect", "h1", "h2"], "left_anti")
     ends = numbered.groupBy("load").agg(F.max("created_at").alias("mark")).collect()  # one row per load
     marks = {r.load: r.mark for r in ends if r.mark is not None}
     if not marks and not batches:

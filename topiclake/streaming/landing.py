@@ -8,10 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from topiclake.plans.bronze import with_day, with_month
 from topiclake.plans.silver import (
-    COUNTERS, TextPlan, counters, digests, distinct_posts, load_posts, seen_in,
+    COUNTERS, TextPlan, counters, digests, load_posts, seen_in,
 )
 from topiclake.schemas import RAW, TABLES
-from topiclake.session import stage
 from topiclake.sources.catalog import Catalog
 from topiclake.sources.feed import CSV
 
@@ -30,13 +29,14 @@ def read_landing(
 
 def recollected_once(posts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each post once, with its highest counters, unless the ledger has it with counters as high,
-    however old it is."""
-    fresh = digests(distinct_posts(posts))
-    seen = seen_in(ledger, posts, *COUNTERS).groupBy("day_collect", "h1", "h2").agg(
-        F.max(counters()).alias("_known")
-    )
-    joined = fresh.join(seen, ["day_collect", "h1", "h2"], "left")
-    return joined.filter(F.col("_known").isNull() | (counters() > F.col("_known"))).drop("_known")
+    however old it is. Posts and ledger meet by the digests, so the texts are shuffled once."""
+    same = ["day_collect", "h1", "h2"]
+    rest = [c for c in posts.columns if c not in (*COUNTERS, "day_collect")]
+    best = F.max(F.struct(*COUNTERS, *rest)).alias("_best")
+    fresh = digests(posts).groupBy(*same).agg(best)
+    seen = seen_in(ledger, posts, *COUNTERS).groupBy(*same).agg(F.max(counters()).alias("_known"))
+    fresh = fresh.join(seen, same, "left").select("day_collect", "_known", "_best.*")
+    return fresh.filter(F.col("_known").isNull() | (counters() > F.col("_known"))).drop("_known")
 
 
 def start_bronze(
@@ -52,12 +52,13 @@ def start_bronze(
 
     def land(batch: DataFrame, number: int) -> None:
         name = f"stream-{number}"
-        rows = stage(with_day(batch), "parsed")
-        ledger = catalog.load("bronze", "ledger").filter(F.col("batch") != name)
-        rows = recollected_once(rows, ledger) if once else digests(rows)
-        rows = stage(with_month(rows).withColumn("batch", F.lit(name)), "landed")
-        catalog.replace_load(rows, "bronze", "posts")
-        catalog.replace_load(rows, "bronze", "ledger")
+        rows = with_day(batch)
+        if once:
+            rows = recollected_once(rows, catalog.load("bronze", "ledger").filter(F.col("batch") != name))
+        catalog.replace_load(rows.withColumn("batch", F.lit(name)), "bronze", "posts")
+        # From the rows as they are written, so that no other copy of the texts is.
+        landed = catalog.load("bronze", "posts").filter(F.col("batch") == name)
+        catalog.replace_load(digests(with_month(landed)), "bronze", "ledger")
         listed = [(None, None, name)]
         catalog.append(
             catalog.spark.createDataFrame(listed, TABLES["bronze", "files"]), "bronze", "files"
