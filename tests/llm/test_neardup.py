@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import base_rows
 from topiclake.llm import neardup as N
@@ -174,3 +175,26 @@ def test_long_lists_of_several_components(spark, monkeypatch):
             rows.append((len(rows), edited(rng, own, rng.randrange(0, 5), f"e{len(rows)}")))
     check(spark, rows, 2)
     check(spark, rows, 5)
+
+
+def test_only_what_may_go_is_shuffled(spark):
+    """Rows that are not listed are told by a bitmap, without a join; listed ones are never missed."""
+    rows = spark.range(20_000).selectExpr(
+        "if(id % 1000 = 7, null, id) as doc_id", "unhex(md5(string(id))) as _key", "repeat('x', 9) as text"
+    )
+    listed = rows.filter("_key in (unhex(md5('7')), unhex(md5('12'))) or doc_id % 100 = 3")
+    listed = listed.select(F.col("doc_id").alias("_drop_id"), F.col("_key").alias("_drop_key"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        safe, asked = N._apart(rows, ["doc_id", "_key"], listed)
+        text = safe._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in text and "SortMergeJoin" not in text
+        assert safe.columns == asked.columns == rows.columns
+        assert safe.count() + asked.count() == 20_000 and safe.count() > 17_000
+        same = F.col("doc_id").eqNullSafe(F.col("_drop_id")) & (F.col("_key") == F.col("_drop_key"))
+        assert safe.join(listed, same, "left_semi").isEmpty()
+        assert asked.join(listed, same, "left_semi").count() == 202
+        assert N._apart(rows, ["doc_id", "_key"], listed.filter("false"))[0].count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

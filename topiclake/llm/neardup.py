@@ -42,6 +42,8 @@ TILE, TILE_BYTES = 1024, 64 << 20
 # Pairs of one hub that are confirmed in a row, and nodes whose names may be broadcast to find texts.
 HUB_PAIRS = 512
 SMALL_NODES = 1_000_000
+# Bits of a bitmap for each row it lists; bits in a row of Spark's bitmaps, and rows of 4 kB at most.
+LISTED_BITS, PIECE_BITS, MAX_PIECES = 16, 32_768, 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
@@ -437,7 +439,33 @@ def drop_near_duplicates(
     gone = grouped.filter("not (kept and first_set)").select(*pair).unionByName(again.select(*pair))
     gone = stage(gone.distinct(), "gone")
     marked = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    safe, asked = _apart(marked, [key, "_key"], gone)
     same = F.col(key).eqNullSafe(F.col("_drop_id")) & (F.col("_key") == F.col("_drop_key"))
-    left = marked.join(gone, same, "left_anti")
-    back = marked.join(repeated, same, "left_semi").dropDuplicates([key, "_key"])
-    return restore(left.unionByName(back))
+    left = asked.join(gone, same, "left_anti")
+    # What comes back is among what goes.
+    back = asked.join(repeated, same, "left_semi").dropDuplicates([key, "_key"])
+    return restore(safe.unionByName(left).unionByName(back))
+
+
+def _apart(rows: DataFrame, names: list[str], listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that are surely not in the table ``listed``, and the others, which a join must tell.
+
+    Every listed row sets one bit of a bitmap of ``LISTED_BITS`` bits for each and bounded size, which is
+    broadcast; a row whose bit is not set needs no join, so only what is listed is shuffled, and of the
+    rest one row in ``LISTED_BITS``, or more where the bound holds.
+    """
+    pieces = math.ceil(LISTED_BITS * listed.count() / PIECE_BITS)
+    pieces = min(max(pieces, 1), MAX_PIECES)
+
+    def spot(columns: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(pieces * PIECE_BITS))
+
+    bits = listed.select(spot(listed.columns).alias("_spot")).groupBy(
+        F.floor(F.col("_spot") / PIECE_BITS).alias("_piece")
+    ).agg(F.bitmap_construct_agg(F.pmod("_spot", F.lit(PIECE_BITS))).alias("_bits"))
+    bits = F.broadcast(stage(bits, "bits"))  # MAX_PIECES rows at most
+    place = F.pmod(spot(names), F.lit(PIECE_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+    found = rows.withColumn("_piece", F.floor(spot(names) / PIECE_BITS)).join(bits, "_piece", "left")
+    return found.filter(~is_set).select(*rows.columns), found.filter(is_set).select(*rows.columns)
