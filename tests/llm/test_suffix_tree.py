@@ -101,3 +101,27 @@ def test_edges(spark, clashing, no_docs):
     many = clashing.withColumn("learn", F.lit(True))
     model = T.train(many, "text", "learn")
     assert T.score(many, ["doc_id", "kept", "key"], "text", model).filter("kept = 'own kept'").count() == many.count()
+
+
+def test_full_counters_pass_on_and_levels_move_no_successors(spark, languages, monkeypatch):
+    """Counts that tasks pass on in parts add up; contexts are broadcast, so successors are not sorted."""
+    model, found = scored(spark, languages)
+    monkeypatch.setattr(T, "HELD", 50)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, real = [], T.stage
+    monkeypatch.setattr(
+        T, "stage", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a)
+    )
+    try:
+        parts, again = scored(spark, languages)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r.doc_id: round(r.score, 6) for r in again} == {r.doc_id: round(r.score, 6) for r in found}
+    assert all((a.contexts == b.contexts).all() for a, b in zip(model.tree.levels, parts.tree.levels))
+    assert not any("SortMergeJoin" in p for p in plans)
+    counter = T.Counter()
+    counter.add(np.arange(40))
+    assert not counter.full()
+    counter.add(np.arange(20, 60))
+    assert counter.full()

@@ -44,13 +44,14 @@ SUFFIX = 3
 HELD = 1 << 21
 
 
-def word_classes(words: Words) -> np.ndarray:
-    """Class of each word: a hash of its last three bytes."""
-    key = np.zeros(len(words.starts), np.uint64)
+def word_classes(words: Words, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Class of each word, or of the chosen ones: a hash of its last three bytes."""
+    starts, ends = words.starts[chosen], words.ends[chosen]
+    key = np.zeros(len(starts), np.uint64)
     for i in range(1, SUFFIX + 1):
-        at = words.ends - i
+        at = ends - i
         key = key * np.uint64(257)
-        key += np.where(at >= words.starts, words.data[np.maximum(at, 0)], 0).astype(np.uint64)
+        key += np.where(at >= starts, words.data[np.maximum(at, 0)], 0).astype(np.uint64)
     return (mix(key + np.uint64(1)) >> np.uint64(52)).astype(np.int64)
 
 
@@ -61,13 +62,22 @@ class Counter:
         self.keys, self.counts, self.values, self.held = [], [], [], 0
 
     def add(self, keys: np.ndarray, values: np.ndarray | None = None) -> None:
-        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        if values is None:
+            keys, counts = np.unique(keys, return_counts=True)
+            self.values.append(np.zeros(len(keys), np.int64))
+        else:
+            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            self.values.append(values[first])
         self.keys.append(keys)
         self.counts.append(counts)
-        self.values.append(values[first] if values is not None else np.zeros(len(keys), np.int64))
         self.held += len(keys)
-        if self.held > HELD:
-            self.total()
+
+    def full(self) -> bool:
+        """Whether so many different keys are held that they must go."""
+        if self.held <= HELD:
+            return False
+        self.total()
+        return self.held > HELD // 2
 
     def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.keys) > 1:
@@ -83,29 +93,35 @@ class Counter:
         return (self.keys + [empty])[0], (self.counts + [empty])[0], (self.values + [empty])[0]
 
 
-def _emit(counter: Counter) -> Iterator[pa.RecordBatch]:
+def _emit(counter: Counter, valued: bool) -> Iterator[pa.RecordBatch]:
     keys, counts, values = counter.total()
     for i in range(0, len(keys), 1 << 17):
         part = slice(i, i + (1 << 17))
-        yield pa.RecordBatch.from_pydict(
-            {"key": keys[part].view(np.int64), "n": counts[part], "value": values[part].astype(np.int32)}
-        )
+        columns = {"key": keys[part].view(np.int64), "n": counts[part]}
+        yield pa.RecordBatch.from_pydict(columns | ({"value": values[part].astype(np.int32)} if valued else {}))
+
 
+def _counted(
+    df: DataFrame, add: Callable[[Counter, np.ndarray, np.ndarray], None], valued: bool = False
+) -> DataFrame:
+    """(key, n) over all texts, and ``value`` if asked for: each task adds up its own before the shuffle.
 
-def _counted(df: DataFrame, add: Callable[[Counter, np.ndarray, np.ndarray], None]) -> DataFrame:
-    """(key, n, value) over all texts: each task adds up its own before the shuffle."""
+    A task that holds too many keys passes on what it has and begins anew.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in batches:
             for _, data, offsets in slices(batch, "_text"):
                 add(counter, data, offsets)
-        yield from _emit(counter)
+                if counter.full():
+                    yield from _emit(counter, valued)
+                    counter = Counter()
+        yield from _emit(counter, valued)
 
-    return (
-        df.select("_text").mapInArrow(run, "key long, n long, value int")
-        .groupBy("key").agg(F.sum("n").alias("n"), F.min("value").alias("value"))
-    )
+    rows = df.select("_text").mapInArrow(run, "key long, n long" + (", value int" if valued else ""))
+    least = [F.min("value").alias("value")] if valued else []
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), *least)
 
 
 @dataclass
@@ -140,17 +156,26 @@ class Tree:
         at = np.minimum(np.searchsorted(self.words, kinds), len(self.words) - 1)
         return at[kind], (self.words[at] == kinds)[kind]
 
+    def symbols_of(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol, place and presence of the words with the given hashes."""
+        at, known = self.look_up(hashes)
+        symbols = np.zeros(len(hashes), np.int64)
+        symbols[known] = self.symbols[at[known]]
+        others = np.flatnonzero(symbols == 0)
+        symbols[others] = 1 + word_classes(words, others)
+        return symbols, at, known
+
     def sequence(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts, each closed by 0; text of each; and of the words, place and presence."""
-        hashes = words.hashes()
-        at, known = self.look_up(hashes)
-        own = np.zeros(len(hashes), np.int64)
-        own[known] = self.symbols[at[known]]
-        symbols = np.where(own > 0, own, 1 + word_classes(words))
+        symbols, at, known = self.symbols_of(words, words.hashes())
         closes = words.bounds[1:]
         texts = np.insert(words.texts(), closes, np.arange(len(closes)))
         return np.insert(symbols, closes, 0), texts, at, known
 
+    def closed(self, words: Words) -> np.ndarray:
+        """The symbols of all texts, each closed by 0."""
+        return np.insert(self.symbols_of(words, words.hashes())[0], words.bounds[1:], 0)
+
     def context(self, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of the ``depth`` symbols before each; and whether they are all of one text.
 
@@ -236,7 +261,7 @@ def _grow(spark, texts: DataFrame, tree: Tree, total: int, depth: int) -> Level:
 
     def add(counter: Counter, data: np.ndarray, offsets: np.ndarray) -> None:
         known: Tree = shared.value
-        symbols = known.sequence(Words(LOWER[data], offsets, SOLID))[0]
+        symbols = known.closed(Words(LOWER[data], offsets, SOLID))
         context, good = known.context(symbols, depth)
         if wanted is None:
             counter.add(context[good] * size + symbols[good])
@@ -258,7 +283,8 @@ def _grow(spark, texts: DataFrame, tree: Tree, total: int, depth: int) -> Level:
         .agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
         .filter(F.col("all") >= least)
     )
-    rows = counted.join(contexts, "context")
+    # At most 1 / CONTEXT rows: the successors stay where they are.
+    rows = counted.join(F.broadcast(contexts), "context")
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What each successor gains over the suffix's distribution, left out once."""
@@ -287,7 +313,7 @@ def _grow(spark, texts: DataFrame, tree: Tree, total: int, depth: int) -> Level:
     )
     kept = stage(kept, "states")
     floor = max(LEAST_ENTRY, ENTRY * total)
-    entries = counted.filter(F.col("n") >= floor).join(kept, "context")
+    entries = counted.filter(F.col("n") >= floor).join(F.broadcast(kept), "context")
     context, symbol, n, whole = _columns(entries, ["context", "symbol", "n", "all"])
     states = np.sort(_columns(kept, ["context"])[0])
     paths = wanted.value[states] if wanted is not None else states
@@ -340,7 +366,7 @@ def train(docs: DataFrame, text: str, learn: str, depth: int = DEPTH) -> Model:
         words = Words(LOWER[data], offsets, SOLID)
         counter.add(words.hashes(), word_classes(words))
 
-    words = stage(_counted(texts, add), "words")
+    words = stage(_counted(texts, add, valued=True), "words")
     tree = _vocabulary(texts, words, n_texts)
     total = int(words.agg(F.sum("n")).first()[0] or 0) + n_texts
     for level in range(1, depth + 1):
@@ -377,9 +403,8 @@ def score(docs: DataFrame, keep: list[str], text: str, model: Model) -> DataFram
                 counted = np.zeros(len(owner))
                 if len(tree.counts):
                     counted[known] = np.log10(tree.counts[at[known]] + 1)
-                within = np.where(
-                    symbols[symbols > 0] <= CLASSES, counted - tree.outside[word_classes(words)], 0
-                )
+                kinds = symbols[symbols > 0]
+                within = np.where(kinds <= CLASSES, counted - tree.outside[np.minimum(kinds, CLASSES) - 1], 0)
                 scores = scores + np.bincount(owner, weights=within, minlength=n)
                 base = np.bincount(owner, weights=counted - tree.total, minlength=n)
                 base = base + (np.log10(tree.ends + 1) - tree.total)
