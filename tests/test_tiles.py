@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from topiclake.operators import tiles
 from topiclake.operators import metrics
 from topiclake.operators.dbscan import Dbscan, dbscan
@@ -86,3 +88,22 @@ def test_undefined_settings_compare_no_rows(spark, monkeypatch):
             a, b = mean.pop(own[i]), min(mean.values())
             values.append((b - a) / max(a, b))
         assert abs(found[s].silhouette_avg - np.mean(values)) < 1e-9
+
+
+def test_silhouettes_of_many_clusters(spark):
+    """Members in order of their clusters, over tiles and strips of any size: the sums of all clusters do not leave."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 3))
+    x[7] = x[8]
+    sets = np.stack([np.arange(90) % 30, rng.integers(-1, 4, 90), np.where(np.arange(90) < 70, 3, rng.integers(-1, 20, 90))], 1)
+    rows = [(1000 + i, v.tolist(), s.tolist()) for i, (v, s) in enumerate(zip(x, sets))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, sets array<long>")
+    expected = {(r.setting, r.id): r.silhouette for r in metrics.silhouettes(df, "id", "vec", 7).collect()}
+    assert len(expected) == (sets != -1).sum()
+    for many, size in (([0, 1, 2], 7), ([0, 2], 11), ([1], 200)):
+        found = {(r.setting, r.id): r.silhouette for r in metrics.silhouettes(df, "id", "vec", size, many).collect()}
+        assert found.keys() == expected.keys()
+        assert max(abs(found[k] - v) for k, v in expected.items()) < 1e-9
+    # A row leaves each of 9 strips of members with its own cluster, the nearest one and those cut at the ends.
+    sums = metrics._cluster_sums(df.withColumn("sets", F.slice("sets", 1, 1)), "id", "vec", [0], 10)
+    assert sums.count() <= 90 * 9 * 4 < 90 * 9 * 30
