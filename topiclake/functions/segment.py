@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -21,7 +23,11 @@ CHUNK = 512
 
 def learn_vocabulary(df: DataFrame, text: str, min_count: int = 2) -> DataFrame:
     """(word, n): the words of the corpus that occur ``min_count`` times or more."""
-    counts = word_counts(df, text)
+    return frequent(word_counts(df, text), min_count)
+
+
+def frequent(counts: DataFrame, min_count: int = 2) -> DataFrame:
+    """The vocabulary of a table of word counts."""
     return counts.filter((F.col("n") >= min_count) & (F.col("word") != "")).select("word", "n")
 
 
@@ -53,15 +59,57 @@ def split_word(word: str, parts: dict[int, list[tuple[int, float]]]) -> str:
     return " ".join(reversed(found))
 
 
+def cheapest_cuts(
+    lengths: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, cost: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``split_word`` for all words of a batch: for each place of each word what its division costs and where
+    the last part starts, and the place of each word's start in these lists.
+
+    A piece is a known part of the word ``row`` from ``start`` to ``end``. Ends are taken in ascending order, all
+    words at a time; of equal costs the part that starts first counts.
+    """
+    base = np.append(0, np.cumsum(lengths + 1))[:-1]
+    best = np.full(int((lengths + 1).sum()), np.inf)
+    cut = np.zeros(len(best), np.int64)
+    best[base] = 0.0
+    order = np.lexsort((start, row, end))
+    row, start, end, cost = row[order], start[order], end[order], cost[order]
+    steps = np.append(np.flatnonzero(np.append(True, end[1:] != end[:-1])), len(end)) if len(end) else []
+    for low, high in zip(steps[:-1], steps[1:]):
+        of, begin = row[low:high], start[low:high]
+        sums = best[base[of] + begin] + cost[low:high]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        least = np.minimum.reduceat(sums, first)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
+        at = np.flatnonzero(sums == least[group])
+        at = at[np.append(True, group[at][1:] != group[at][:-1])]
+        place = base[of[first]] + end[low]
+        best[place] = least
+        cut[place] = np.where(least < np.inf, begin[at], 0)
+    return best, cut, base
+
+
+def divided_words(words: pa.Array, starts: pa.Array, sizes: pa.Array, costs: pa.Array) -> pa.Array:
+    """Cheapest division of each word into known parts; the word itself if there is none."""
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(words)), pc.list_value_length(starts).to_numpy(zero_copy_only=False))
+    start, size, cost = (a.flatten().to_numpy(zero_copy_only=False) for a in (starts, sizes, costs))
+    best, cut, base = cheapest_cuts(lengths, row, start.astype(np.int64), start.astype(np.int64) + size, cost)
+    out = words.to_pylist()
+    whole = base + lengths
+    for i in np.flatnonzero((best[whole] < np.inf) & (cut[whole] > 0)).tolist():
+        word, end, found = out[i], int(lengths[i]), []
+        while end:
+            begin = int(cut[base[i] + end])
+            found.append(word[begin:end])
+            end = begin
+        out[i] = " ".join(reversed(found))
+    return pa.array(out, pa.string())
+
+
 @F.arrow_udf(StringType())
 def _divide(words: pa.Array, starts: pa.Array, sizes: pa.Array, costs: pa.Array) -> pa.Array:
-    out = []
-    for word, *known in zip(*(a.to_pylist() for a in (words, starts, sizes, costs))):
-        parts: dict[int, list[tuple[int, float]]] = {}
-        for start, size, cost in zip(*known):
-            parts.setdefault(start + size, []).append((start, cost))
-        out.append(split_word(word, parts))
-    return pa.array(out, pa.string())
+    return divided_words(words, starts, sizes, costs)
 
 
 def _trie_level(costs: DataFrame, size: int) -> DataFrame:
@@ -134,15 +182,19 @@ def divisions(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found.filter("divided <> word")
 
 
-def segment_words(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+def segment_words(
+    df: DataFrame, text: str, vocabulary: DataFrame, words: DataFrame | None = None
+) -> DataFrame:
     """Replace every word of ``text`` by its division.
 
-    Each different word of the table is divided once. Of the texts, only the words that change are
+    Each different word of the table is divided once; ``words`` has them if they are known already. Of the texts, only the words that change are
     shuffled; where Spark finds their list small, it is broadcast.
     """
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
     tokens = rows.select("_row", F.posexplode(F.split(text, " ")).alias("at", "word"))
-    words = tokens.select("word").filter("word <> ''").distinct()
+    if words is None:
+        words = tokens.select("word").distinct()
+    words = words.select("word").filter("word <> ''")
     changed = stage(divisions(words, vocabulary), "divisions")
     places = (
         tokens.join(changed, "word")

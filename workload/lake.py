@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from topiclake.functions import keywords, segment, vectorize
 from topiclake.operators.keys import assign_keys
 from topiclake.operators.labels import star
+from topiclake.operators.words import word_counts
 from topiclake.plans import bronze, gold, silver
-from topiclake.session import new_path
+from topiclake.session import new_path, stage
 from topiclake.sources import feed, resources
 from topiclake.sources.catalog import Catalog, high_water
 from topiclake.streaming import landing as streams
@@ -466,7 +467,8 @@ SEGMENTED = f"""WITH RECURSIVE {v.CLEANED},
 @query("x2_segmented_words", SEGMENTED)
 def _(s, d):
     rows = v.cleaned(s, d, written=True).select("SK_post", "post")
-    return segment.segment_words(rows, "post", segment.learn_vocabulary(rows, "post"))
+    counts = stage(word_counts(rows, "post"), "counts")
+    return segment.segment_words(rows, "post", segment.frequent(counts), counts)
 
 
 @query(
