@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from topiclake.operators.keys import assign_keys
 from topiclake.operators.words import word_counts
-from topiclake.session import stage
+from topiclake.session import SMALL_ROWS, stage
 
 # Letters of the first prefix table of the trie.
 PREFIX = 4
 # Starts of a word that are cut from the same copy of its text.
 CHUNK = 512
+# Bits of a bitmap for each word it lists; bits in a row of Spark's bitmaps, and rows of 4 kB at most.
+LISTED_BITS, PIECE_BITS, MAX_PIECES = 16, 32_768, 4096
 
 
 def learn_vocabulary(df: DataFrame, text: str, min_count: int = 2) -> DataFrame:
@@ -89,12 +92,14 @@ def cheapest_cuts(
     return best, cut, base
 
 
-def divided_words(words: pa.Array, starts: pa.Array, sizes: pa.Array, costs: pa.Array) -> pa.Array:
-    """Cheapest division of each word into known parts; the word itself if there is none."""
+def divided_words(
+    words: pa.Array, row: np.ndarray, start: np.ndarray, size: np.ndarray, cost: np.ndarray
+) -> pa.Array:
+    """Cheapest division of each word into known parts; the word itself if there is none.
+
+    The pieces are parts of the words ``row``."""
     lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(words)), pc.list_value_length(starts).to_numpy(zero_copy_only=False))
-    start, size, cost = (a.flatten().to_numpy(zero_copy_only=False) for a in (starts, sizes, costs))
-    best, cut, base = cheapest_cuts(lengths, row, start.astype(np.int64), start.astype(np.int64) + size, cost)
+    best, cut, base = cheapest_cuts(lengths, row, start, start + size, cost)
     out = words.to_pylist()
     whole = base + lengths
     for i in np.flatnonzero((best[whole] < np.inf) & (cut[whole] > 0)).tolist():
@@ -107,9 +112,34 @@ def divided_words(words: pa.Array, starts: pa.Array, sizes: pa.Array, costs: pa.
     return pa.array(out, pa.string())
 
 
-@F.arrow_udf(StringType())
-def _divide(words: pa.Array, starts: pa.Array, sizes: pa.Array, costs: pa.Array) -> pa.Array:
-    return divided_words(words, starts, sizes, costs)
+def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, divided) of the words that change, from rows in order of ids: those of words, those of pieces.
+
+    A batch may end within the pieces of a word; its rows wait for the next one.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            ids = [held[0].column(0)[0], batch.column(0)[-1]] if batch.num_rows and held[0].num_rows else [0, 0]
+            if ids[0] == ids[1]:
+                held = [x for x in held if x.num_rows]
+                continue
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        ids = rows.column("id").to_numpy()
+        ready = len(ids) if batch is None else int(np.searchsorted(ids, ids[-1]))
+        held = rows.slice(ready).to_batches()
+        rows, ids = rows.slice(0, ready), ids[:ready]
+        named = rows.column("word").is_valid().to_numpy()
+        words = rows.column("word").drop_null().combine_chunks()
+        start, size, cost = (
+            rows.column(c).drop_null().to_numpy().astype(t) for c, t in (("start", int), ("size", int), ("cost", float))
+        )
+        new = divided_words(words, np.searchsorted(ids[named], ids[~named]), start, size, cost)
+        changed = pc.not_equal(new, words)
+        yield pa.RecordBatch.from_arrays([words.filter(changed), new.filter(changed)], ["word", "divided"])
 
 
 def _trie_level(costs: DataFrame, size: int) -> DataFrame:
@@ -170,16 +200,30 @@ def known_pieces(words: DataFrame, costs: DataFrame) -> DataFrame:
 def divisions(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, divided) of the different words that a division changes.
 
-    The vocabulary may be of any size; a word's known pieces meet in one row.
+    The vocabulary may be of any size; a word and its known pieces meet in one task, as rows in order.
     """
     costs = stage(word_costs(vocabulary), "costs")
     numbered = stage(assign_keys(words.select("word"), "id"), "words")
-    grouped = known_pieces(numbered, costs).groupBy("id").agg(
-        F.collect_list(F.struct(F.col("start") - 1, "size", "cost")).alias("k")
+    pieces = known_pieces(numbered, costs).select("id", F.lit(None).cast("string").alias("word"), F.col("start") - 1, "size", "cost")
+    none = [F.lit(None).cast(t) for t in ("int", "int", "double")]
+    pieces = pieces.toDF("id", "word", "start", "size", "cost").unionByName(
+        numbered.select("id", "word", *none).toDF("id", "word", "start", "size", "cost")
     )
-    divided = _divide("word", F.col("k")["col1"], F.col("k")["size"], F.col("k")["cost"])
-    found = grouped.join(numbered, "id").select("word", divided.alias("divided"))
-    return found.filter("divided <> word")
+    return pieces.repartition("id").sortWithinPartitions("id").mapInArrow(_divided, "word string, divided string")
+
+
+def _perhaps_listed(tokens: DataFrame, listed: DataFrame, count: int) -> DataFrame:
+    """The rows of ``tokens`` whose word may be among the ``count`` words ``listed``, and few others.
+
+    A word sets one bit of a bitmap of ``LISTED_BITS`` bits for each, at most 16 MB, which is broadcast.
+    """
+    pieces = min(max(math.ceil(LISTED_BITS * count / PIECE_BITS), 1), MAX_PIECES)
+    spot = F.pmod(F.xxhash64("word"), F.lit(pieces * PIECE_BITS))
+    piece, place = F.floor(spot / PIECE_BITS).alias("_piece"), F.pmod(spot, F.lit(PIECE_BITS))
+    bits = listed.groupBy(piece).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    found = tokens.withColumn("_piece", piece).join(F.broadcast(stage(bits, "bits")), "_piece")  # MAX_PIECES rows at most
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*tokens.columns)
 
 
 def segment_words(
@@ -187,8 +231,8 @@ def segment_words(
 ) -> DataFrame:
     """Replace every word of ``text`` by its division.
 
-    Each different word of the table is divided once; ``words`` has them if they are known already. Of the texts, only the words that change are
-    shuffled; where Spark finds their list small, it is broadcast.
+    Each different word of the table is divided once; ``words`` has them if they are known already. Of the texts, only the words that change, and few others, are
+    shuffled; where a count finds their list small, it is broadcast.
     """
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
     tokens = rows.select("_row", F.posexplode(F.split(text, " ")).alias("at", "word"))
@@ -196,6 +240,11 @@ def segment_words(
         words = tokens.select("word").distinct()
     words = words.select("word").filter("word <> ''")
     changed = stage(divisions(words, vocabulary), "divisions")
+    count = changed.count()
+    if count <= SMALL_ROWS:
+        changed = F.broadcast(changed)
+    else:
+        tokens = _perhaps_listed(tokens, changed, count)
     places = (
         tokens.join(changed, "word")
         .groupBy("_row")
