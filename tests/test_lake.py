@@ -599,3 +599,18 @@ def test_null_authors_get_a_key_in_every_load(spark):
     known = spark.createDataFrame([("c", 1)], "author string, SK_author long")
     got = silver.new_authors(rows, known, 2).collect()
     assert sorted((r.SK_author, r.author) for r in got) == [(2, None), (3, "b"), (4, None), (5, "a")]
+
+
+def test_dimensions_of_rows_without_a_load(spark):
+    """Rows of one load need no column for it, and rows of a null author or minute keep their keys."""
+    minute = [dt.datetime(2024, 1, 5, 10, m) for m in (3, 1)]
+    rows = [(1, "b", minute[0]), (2, "a", minute[1]), (3, None, minute[1]), (4, "b", None), (5, None, None)]
+    rows = spark.createDataFrame(rows, "SK_post long, author string, created_at timestamp")
+    none = spark.createDataFrame([], "created_at timestamp, author string")
+    time = silver.new_times(rows.select("created_at"), none, 1)
+    author = silver.new_authors(rows.select("author"), none, 1)
+    assert sorted((r.SK_author, r.author) for r in author.collect()) == [(1, None), (2, "a"), (3, "b")]
+    facts = silver.with_keys(rows, time, author, nulls=True)
+    assert sorted((r.SK_post, r.SK_author, r.SK_time) for r in facts.collect()) == [
+        (1, 3, 3), (2, 2, 2), (3, 1, 2), (4, 3, 1), (5, 1, 1)]
+    assert silver.with_keys(rows, time, author).count() == 2

@@ -192,7 +192,12 @@ def raise_counters(catalog: Catalog, copies: DataFrame) -> int:
 
 
 def first_loads(rows: DataFrame, column: str) -> DataFrame:
-    """(column, load): each value with the first load that has it; null, which no join finds again, with all."""
+    """(column, load): each value with the first load that has it; null, which no join finds again, with all.
+
+    Rows without a column ``load`` are those of one load.
+    """
+    if "load" not in rows.columns:
+        rows = rows.withColumn("load", F.lit(0))
     again = F.when(F.col(column).isNull(), F.col("load")).alias("_again")
     return rows.groupBy(column, again).agg(F.min("load").alias("load")).drop("_again")
 
@@ -209,14 +214,21 @@ def new_authors(authors: DataFrame, known: DataFrame, start: int) -> DataFrame:
     return assign_keys(fresh, "SK_author", start, ["load", "author"]).drop("load")
 
 
-def with_keys(posts: DataFrame, time: DataFrame, author: DataFrame) -> DataFrame:
+def with_keys(posts: DataFrame, time: DataFrame, author: DataFrame, nulls: bool = False) -> DataFrame:
     """Surrogate keys from the whole dimensions, old and new rows alike.
 
     The size of the written tables decides between a broadcast and a sorted join, in which a very
-    busy author is split.
+    busy author is split. With ``nulls`` a null is a value like others, for dimensions of one load, which
+    hold it once.
     """
-    minutes = time.select("created_at", "SK_time")
-    return posts.join(minutes, "created_at").join(author.select("author", "SK_author"), "author")
+    minutes, authors = time.select("created_at", "SK_time"), author.select("author", "SK_author")
+    if not nulls:
+        return posts.join(minutes, "created_at").join(authors, "author")
+    keyed = posts
+    for known, value in ((minutes, "created_at"), (authors, "author")):
+        known = known.withColumnRenamed(value, "_value")
+        keyed = keyed.join(known, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
+    return keyed
 
 
 def load_posts(

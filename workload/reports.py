@@ -391,7 +391,7 @@ def _star(s, d):
     none = s.createDataFrame([], "created_at timestamp, author string")
     time = stage(silver.new_times(rows.select("created_at"), none, 1), "time")
     author = stage(silver.new_authors(rows.select("author"), none, 1), "author")
-    facts = silver.with_keys(rows, time, author).drop("created_at", "author")
+    facts = silver.with_keys(rows, time, author, nulls=True).drop("created_at", "author")
     return labels.star(facts, author, time)
 
 
