@@ -496,3 +496,21 @@ def test_index_within(spark, monkeypatch):
     monkeypatch.setattr(keys, "SMALL_ROWS", 5)
     large = {(r.g, r.x): r.i for r in index_within(df, "g", "x", "i").collect()}
     assert small == large and small[(2, 33)] == 11
+
+
+def test_small_tables_are_copied_to_the_runs(spark, monkeypatch):
+    """Runs dealt to tasks come to the same centres as one pass of all rows an iteration."""
+    x = blobs(3, 300, d=3, k=4)
+    x[7] = x[5]
+    df = frame(spark, x)
+    runs = [kmeans.Run(k, init, 42 + i) for k in (2, 4) for init in ("k-means++", "random") for i in range(3)]
+    passes, real = [], kmeans._pass
+    monkeypatch.setattr(kmeans, "_pass", lambda *a: passes.append(a) or real(*a))
+    dealt = kmeans.fit_kmeans(df, "id", "vec", runs)
+    assert not passes  # no job an iteration
+    monkeypatch.setattr(kmeans, "SMALL_BYTES", 0)
+    spread = kmeans.fit_kmeans(df.repartition(3), "id", "vec", runs)
+    assert passes and [m.run for m in dealt] == runs
+    for a, b in zip(dealt, spread):
+        np.testing.assert_allclose(a.centers, b.centers)
+        np.testing.assert_allclose(a.inertia, b.inertia)

@@ -5,10 +5,15 @@ up sums per centre, so one row per task and centre is shuffled. k-means++ tries
 centre and takes the one that leaves the least cost; the pass that weighs these trials draws the rows to
 try after each of them, so a centre costs one pass. A centre without rows moves to the row that is farthest
 from its own centre.
+
+A table whose counted size is small is copied to the tasks instead, and each takes some of the runs from their
+start to their end: the same steps over all rows, without a job for each of hundreds of iterations.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +23,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topiclake.operators.tiles import _matrix
+from topiclake.operators.tiles import TILE_BYTES, _matrix, _pack
 from topiclake.session import stage
 
+# Largest table, in bytes of its vectors, of which tasks take copies; and its rows that are looked at together.
+SMALL_BYTES, BLOCK_ROWS = 64 << 20, 8192
+
 
 @dataclass(frozen=True)
 class Run:
@@ -36,6 +44,21 @@ class Fitted:
     inertia: float
 
 
+@dataclass
+class Held:
+    """All rows, in the memory of a task."""
+
+    ids: np.ndarray
+    x: np.ndarray
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(self.ids), BLOCK_ROWS):
+            yield self.ids[i:i + BLOCK_ROWS], self.x[i:i + BLOCK_ROWS]
+
+
+Rows = DataFrame | Held
+
+
 def _uniform(ids: np.ndarray, seed: int, step: int) -> np.ndarray:
     """Reproducible numbers in (0, 1) per row id, by the finalizer of splitmix64."""
     with np.errstate(over="ignore"):
@@ -60,24 +83,33 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids, _matrix(pa.chunked_array([batch.column(1)]), np.float64)
 
 
-def _least(rows: DataFrame, take: list[int], rank) -> list[list]:
+def _blocks(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return (_columns(batch) for batch in batches if batch.num_rows)
+
+
+def _least(rows: Rows, take: list[int], rank) -> list[list]:
     """For each run the rows of the least ranks: (rank, id, x), as many as ``take``.
 
     ``rank(run, ids, x)`` ranks the rows of a batch; infinite ranks do not count.
     """
 
-    def candidates(batches):
+    def least(blocks):
         best: list = [[] for _ in take]
-        for batch in batches:
-            ids, x = _columns(batch)
+        for ids, x in blocks:
             for r, n in enumerate(take):
-                if not n or not len(ids):
+                if not n:
                     continue
                 ranks = rank(r, ids, x)
                 first = np.lexsort((ids, ranks))[:n]
                 found = list(zip(ranks[first], ids[first], x[first]))
                 best[r] = sorted(best[r] + found, key=lambda t: t[:2])[:n]
-        flat = [(r, p, i, v) for r, b in enumerate(best) for p, i, v in b if p < np.inf]
+        return [[f for f in b if f[0] < np.inf] for b in best]
+
+    if isinstance(rows, Held):
+        return least(rows.blocks())
+
+    def candidates(batches):
+        flat = [(r, p, i, v) for r, b in enumerate(least(_blocks(batches))) for p, i, v in b]
         yield pa.RecordBatch.from_pydict({
             "run": pa.array([f[0] for f in flat], pa.int32()),
             "rank": pa.array([float(f[1]) for f in flat], pa.float64()),
@@ -96,7 +128,7 @@ def _least(rows: DataFrame, take: list[int], rank) -> list[list]:
     return out
 
 
-def _try(rows: DataFrame, runs: list[Run], chosen: list, tried: list, step: int) -> dict:
+def _try(rows: Rows, runs: list[Run], chosen: list, tried: list, step: int) -> dict:
     """(cost, rows to try next) by run and trial, in one pass.
 
     ``tried`` has the rows under trial of each run, none before the first trial. The cost is the sum of
@@ -104,12 +136,9 @@ def _try(rows: DataFrame, runs: list[Run], chosen: list, tried: list, step: int)
     over all rows is a draw in proportion to the weight, here what the row itself costs.
     """
 
-    def weigh(batches):
+    def weighed(blocks):
         cost, best = {}, {}
-        for batch in batches:
-            ids, x = _columns(batch)
-            if not len(ids):
-                continue
+        for ids, x in blocks:
             for r, run in enumerate(runs):
                 if chosen[r] is None:
                     continue
@@ -121,10 +150,20 @@ def _try(rows: DataFrame, runs: list[Run], chosen: list, tried: list, step: int)
                     for j in range(_trials(run.k)):
                         with np.errstate(divide="ignore"):
                             rank = -np.log(_uniform(ids, run.seed, 64 * step + j)) / left
-                        i = np.lexsort((ids, rank))[0]
+                        i = np.flatnonzero(rank == rank.min())
+                        i = i[ids[i].argmin()]
                         new = (float(rank[i]), int(ids[i]), x[i])
                         if rank[i] < np.inf and new[:2] < best.get((r, t, j), (np.inf,))[:2]:
                             best[r, t, j] = new
+        return cost, best
+
+    if isinstance(rows, Held):
+        cost, best = weighed(rows.blocks())
+        draws = {(r, t): [best.get((r, t, j)) for j in range(_trials(runs[r].k))] for r, t in cost}
+        return {k: (cost[k], [new[2] for new in found if new]) for k, found in draws.items()}
+
+    def weigh(batches):
+        cost, best = weighed(_blocks(batches))
         keys = [(r, t, j) for r, t in cost for j in range(_trials(runs[r].k))]
         found = [best.get(k) for k in keys]
         yield pa.RecordBatch.from_pydict({
@@ -153,7 +192,7 @@ def _trials(k: int) -> int:
     return 2 + int(np.log(k))
 
 
-def _starts(rows: DataFrame, runs: list[Run]) -> list[np.ndarray]:
+def _starts(rows: Rows, runs: list[Run]) -> list[np.ndarray]:
     take = [r.k if r.init == "random" else 1 for r in runs]
     drawn = _least(rows, take, lambda r, ids, x: -np.log(_uniform(ids, runs[r].seed, 0)))
     centers = [np.array([x for _, _, x in d]) for d in drawn]
@@ -179,7 +218,7 @@ def _starts(rows: DataFrame, runs: list[Run]) -> list[np.ndarray]:
 
 
 def _relocated(
-    rows: DataFrame, centers: list[np.ndarray], found: list[tuple]
+    rows: Rows, centers: list[np.ndarray], found: list[tuple]
 ) -> list[tuple[np.ndarray, np.ndarray]]:
     """(size, total) per run; a centre without rows takes the row farthest from its own centre."""
     out = [(size.copy(), total.copy()) for size, total, _ in found]
@@ -200,27 +239,33 @@ def _relocated(
     return out
 
 
-def _pass(rows: DataFrame, centers: list[np.ndarray]):
+def _pass(rows: Rows, centers: list[np.ndarray]):
     """Assign every row in every run: (sizes, sums, cost) per centre of the stacked centres."""
     stacked = np.vstack(centers)
     ends = np.cumsum([0] + [len(c) for c in centers])
 
-    def sums(batches):
+    def added_up(blocks):
         size = np.zeros(len(stacked), np.int64)
         cost = np.zeros(len(stacked))
         total = np.zeros_like(stacked)
-        for batch in batches:
-            _, x = _columns(batch)
-            if not len(x):
-                continue
+        for _, x in blocks:
             d = _squared(x, stacked)
+            at = np.arange(len(x))
+            member = np.zeros(d.shape)
             for lo, hi in zip(ends[:-1], ends[1:]):
-                near = d[:, lo:hi].argmin(1)
-                member = np.zeros((len(x), hi - lo))
-                member[np.arange(len(x)), near] = 1.0
-                size[lo:hi] += member.sum(0).astype(np.int64)
-                total[lo:hi] += member.T @ x
-                cost[lo:hi] += (member * d[:, lo:hi]).sum(0)
+                near = lo + d[:, lo:hi].argmin(1)
+                member[at, near] = 1.0
+                size += np.bincount(near, minlength=len(stacked))
+                cost += np.bincount(near, d[at, near], len(stacked))
+            total += member.T @ x
+        return size, cost, total
+
+    if isinstance(rows, Held):
+        size, cost, total = added_up(rows.blocks())
+        return [(size[lo:hi], total[lo:hi], float(cost[lo:hi].sum())) for lo, hi in zip(ends[:-1], ends[1:])]
+
+    def sums(batches):
+        size, cost, total = added_up(_blocks(batches))
         full = np.nonzero(size)[0]
         yield pa.RecordBatch.from_pydict({
             "slot": pa.array(full, pa.int64()), "size": size[full], "cost": cost[full],
@@ -243,17 +288,8 @@ def _pass(rows: DataFrame, centers: list[np.ndarray]):
     ]
 
 
-def fit_kmeans(
-    df: DataFrame, key: str, vec: str, runs: list[Run], max_iter: int = 300, tol: float = 1e-4
-) -> list[Fitted]:
-    """Lloyd's iterations of all runs side by side; a run leaves when its centres stand still.
-
-    A centre that loses all its rows takes the row that is farthest from its own centre; it stays where
-    it is if every row lies on a centre.
-    """
-    rows = stage(df.select(F.col(key).cast("long").alias(key), vec), "points")
-    var = Summarizer.variance(array_to_vector(F.col(vec)))
-    limit = tol * float(rows.agg(var.alias("v")).first()["v"].toArray().mean())
+def _settled(rows: Rows, runs: list[Run], limit: float, max_iter: int) -> list[Fitted]:
+    """The runs from their first centres until these stand still."""
     centers = _starts(rows, runs)
     active = list(range(len(runs)))
     inertia = [0.0] * len(runs)
@@ -275,6 +311,53 @@ def fit_kmeans(
     return [Fitted(r, c, v) for r, c, v in zip(runs, centers, inertia)]
 
 
+def _dealt(
+    rows: DataFrame, key: str, vec: str, runs: list[Run], limit: float, max_iter: int, size: int
+) -> list[Fitted]:
+    """``_settled`` with the runs dealt to tasks, each of which takes a copy of the small table."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = min(len(runs), 2 * cores)
+    tiles = _pack(rows, key, vec, {}, math.ceil(size / TILE_BYTES))
+    groups = F.sequence(F.lit(0), F.lit(tasks - 1))
+    copies = tiles.withColumn("group", F.explode(groups)).repartitionByRange(tasks, "group")
+
+    def work(table: pa.Table) -> pa.Table:
+        mine = list(range(table.column("group")[0].as_py(), len(runs), tasks))
+        ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")])
+        x = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("x")])
+        order = np.argsort(ids, kind="stable")
+        held = Held(ids[order], x.reshape(len(ids), -1)[order])
+        found = _settled(held, [runs[i] for i in mine], limit, max_iter)
+        return pa.table({
+            "run": pa.array(mine, pa.int32()), "inertia": pa.array([f.inertia for f in found], pa.float64()),
+            "k": pa.array([len(f.centers) for f in found], pa.int32()),
+            "centers": pa.array([f.centers.ravel() for f in found], pa.list_(pa.float64())),
+        })
+
+    found = copies.groupBy("group").applyInArrow(work, "run int, inertia double, k int, centers array<double>")
+    # Centres only, whose number depends on the runs and not on the rows.
+    rows_of = sorted(found.collect(), key=lambda r: r.run)
+    return [Fitted(runs[r.run], np.array(r.centers).reshape(r.k, -1), r.inertia) for r in rows_of]
+
+
+def fit_kmeans(
+    df: DataFrame, key: str, vec: str, runs: list[Run], max_iter: int = 300, tol: float = 1e-4
+) -> list[Fitted]:
+    """Lloyd's iterations of all runs side by side; a run leaves when its centres stand still.
+
+    A centre that loses all its rows takes the row that is farthest from its own centre; it stays where
+    it is if every row lies on a centre.
+    """
+    rows = stage(df.select(F.col(key).cast("long").alias(key), vec), "points")
+    var = Summarizer.variance(array_to_vector(F.col(vec)))
+    found = rows.agg(var.alias("v"), F.count("*").alias("n"), F.max(F.size(vec)).alias("width")).first()
+    limit = tol * float(found["v"].toArray().mean())
+    size = 8 * found["n"] * max(found["width"] or 1, 1)
+    if 0 < size <= SMALL_BYTES and runs:
+        return _dealt(rows, key, vec, runs, limit, max_iter, size)
+    return _settled(rows, runs, limit, max_iter)
+
+
 def assign(df: DataFrame, key: str, vec: str, models: list[Fitted]) -> DataFrame:
     """(setting, key, label): nearest centre of every row in every model."""
     centers = [m.centers for m in models]
