@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import base_rows
 from topiclake.llm import secrets as S
@@ -204,3 +205,36 @@ def test_runs_without_digits_are_candidates(spark):
     spans = {r.doc_id: r.spans for r in S.find_secrets(df, ["doc_id"], "text", network).collect()}
     assert [any(s.kind == "network" for s in spans[i]) for i in range(200)] == found.tolist()
     assert {(r.label, r.digit) for r in S.labelled_findings(df).collect()} == {(0, False), (0, True), (1, False)}
+
+
+def test_all_findings_train_and_calibrate(spark, monkeypatch):
+    """Beyond the sample the network learns from every finding, however the table is cut, and the threshold is the
+    recall of all held-out secrets."""
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda n: "".join(rng.choice(letters, n))
+    rows = [(i, f'so the {key(6)}mentations{i % 7} and token = "{key(12 + i % 30)}" on {i:013d} went by') for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "PART", 300)
+    monkeypatch.setattr(S, "FEW", 20)
+    monkeypatch.setattr(S, "BINS", 7)
+    first = S.fit(df, sample=40, made=0)
+    again = S.fit(df.repartition(5), sample=40, made=0)
+    for a, b in zip(first.weights(), again.weights()):
+        np.testing.assert_array_equal(a, b)
+    np.testing.assert_allclose(first.threshold, again.threshold, rtol=1e-9)
+    seen = S.labelled_findings(df).filter("label = 1").withColumn("order", F.md5("window")).collect()
+    held = [r for r in seen if int(r.order[-8:], 16) % 10 < 3]
+    scores = first.probabilities(np.stack([np.frombuffer(bytes(r.window), np.uint8) for r in held]))
+    assert len(held) > 100 and (scores < first.threshold).sum() == int(0.05 * len(held) + 1e-9)
+    # Other findings outside the sample give other weights.
+    most = S.fit(df.filter("doc_id < 500"), sample=40, made=0)
+    assert any((a != b).any() for a, b in zip(first.weights(), most.weights()))
+
+
+def test_ranked(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW", 3)
+    monkeypatch.setattr(S, "BINS", 4)
+    values = [0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.5, 1.5, 2.0, 900.0, -3.0, 7.0, 7.25, 7.5]
+    df = spark.createDataFrame([(v,) for v in values], "z double")
+    assert [S._ranked(df, i) for i in range(len(values))] == sorted(values)
